@@ -1,9 +1,20 @@
-"""Queries of the training-data operators."""
+"""Queries of the training-data operators, and SQL where it can express them on whole tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import importlib
 
+#: modules that define QUERIES and ORACLES
+MODULES = ("q_splits", "q_pieces", "q_mixing")
 
-def oracle_sql():
-    return {}
+
+def _each(what: str) -> dict:
+    return {k: v for m in MODULES for k, v in getattr(importlib.import_module(f"casemill.llm.{m}"), what).items()}
+
+
+def queries() -> dict:
+    return _each("QUERIES")
+
+
+def oracle_sql() -> dict:
+    return _each("ORACLES")
