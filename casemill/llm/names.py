@@ -145,7 +145,7 @@ def _proper(given: str) -> str:
 
 def given_alike(a: str, b: str) -> bool:
     """Both spell one given name: equal, a nickname of the other, or one edit apart."""
-    if a == b or _proper(a) in _FULL.get(b, ()) or _proper(b) in _FULL.get(a, ()):
+    if a == b or _proper(a) == _proper(b) or _proper(a) in _FULL.get(b, ()) or _proper(b) in _FULL.get(a, ()):
         return True
     return len(a) > 3 and len(b) > 3 and not (a in NICKNAMES and b in NICKNAMES) and distance(a, b) <= 1
 
@@ -179,7 +179,8 @@ def persons(rows: list[dict]) -> list[str]:
         if len(r["given"]) > 1:
             full[r["given"]] += r["n"]
     # true given names lead; nicknames that fit two of them lead nobody and join only where one fits
-    certain = Counter({g: n for g, n in full.items() if g not in _FULL or g in NICKNAMES})
+    proper = {_proper(g) for g in full}
+    certain = Counter({g: n for g, n in full.items() if g not in _FULL or g in NICKNAMES or not _FULL[g] & proper})
     group = _cluster(certain, given_alike)
     names = defaultdict(list)
     for g, k in group.items():
@@ -199,10 +200,11 @@ def persons(rows: list[dict]) -> list[str]:
         k = group.get(r["given"], -1)
         if k >= 0 and r["middle"]:
             middles[k][r["middle"]] += r["n"]
+    leads = lambda g: names.get(group[g], [""])[0] == g
     # (group, middle) are the people; a group without any middle is one person
     people = {(k, m) for k in set(group.values()) if k >= 0 for m in (middles[k] or [""])}
     weight = {(k, m): middles[k][m] for k, m in people}
-    initial = {k: {r["given"][0] for r in rows if group.get(r["given"]) == k} for k in group.values()}
+    initial = {k: {x[0] for g in full if group.get(g) == k for x in (g, *(_FULL[g] if g in _FULL and leads(g) else ()))} for k in group.values()}
     leader = {k: names[k][0][0] if names.get(k) else "" for k in group.values()}
     out = []
     for r in rows:
