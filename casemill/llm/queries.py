@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: modules that define QUERIES and ORACLES
-MODULES = ("q_splits", "q_pieces", "q_mixing", "q_leaks", "q_nearest", "q_near_copies", "q_names", "q_sentences")
+MODULES = ("q_splits", "q_pieces", "q_mixing", "q_leaks", "q_nearest", "q_near_copies", "q_names", "q_sentences", "q_scans")
 
 
 def _each(what: str) -> dict:
