@@ -69,7 +69,7 @@ class Perceptron:
 
     def __init__(self, weights: dict[str, dict[str, float]] | None = None):
         self.w: dict[str, dict[str, float]] = weights or {}
-        self._sum: dict = defaultdict(lambda: defaultdict(float))
+        self._sum: dict[tuple[str, str], float] = defaultdict(float)
         self._t = 0
 
     def scores(self, features: list[str], classes: list[str]) -> list[float]:
@@ -86,7 +86,7 @@ class Perceptron:
             for f, c in pairs:
                 row = self.w.setdefault(f, {})
                 row[c] = row.get(c, 0.0) + step
-                self._sum[f][c] += step * self._t
+                self._sum[f, c] += step * self._t
 
     def tick(self) -> None:
         self._t += 1
@@ -94,7 +94,8 @@ class Perceptron:
     def average(self) -> None:
         for f, row in self.w.items():
             for c in row:
-                row[c] -= self._sum[f][c] / max(1, self._t)
+                row[c] -= self._sum[f, c] / max(1, self._t)
+        self._sum.clear()
 
 
 # ---------------------------------------------------------------- lines
