@@ -33,7 +33,8 @@ for _seen, _meant in MISREADINGS:
     _BY_SEEN[_seen].append(_meant)
 
 _WORD = re.compile(r"[A-Za-z□][\w□|]*(?:[-'’][A-Za-z□][\w□|]*)*|\d[\w□|]*[a-z□][\w□|]*")
-_BROKEN = re.compile(r"\S+-[ \t]*\n\s*\S+")
+_BREAK = re.compile(r"-[ \t]*\n\s*")
+_MARKS = re.compile(r"[.,;:!?()\[\]“”\"$%§¶–]+")
 _ORDINAL = re.compile(r"\d+(?:st|nd|rd|th|s|d|a|b|c|[a-h]|k|m|bn|pm|am)(?:-\d+)?")
 _NUMBER = re.compile(r"^\s*(?:(?P<bare>\d{1,4})|-\s?(?P<dash>\d{1,4})\s?-|\[\s?(?P<bracket>\d{1,4})\s?\]|\(\s?(?P<paren>\d{1,4})\s?\)|[Pp][a□]g[ec]\s+(?P<page>\d{1,4})(?:\s+of\s+\d+)?|(?P<of>\d{1,4})\s+of\s+\d{1,4})\s*$")
 _EDGED = re.compile(r"\S {3,}\S|\d\s*$|^\s*\d|^ {5,}\S|^ {1,3}\S")
@@ -60,8 +61,27 @@ def skeleton(line: str) -> str:
 
 
 def edged(line: str) -> bool:
-    """Whether a line can be a running header: short, with a number at an end or inside, or set off from the margin."""
-    return 4 < len(line) < 110 and line[-1:] not in ",;-" and bool(_EDGED.search(line))
+    """Whether a line can be a running header: short, with a number at an end or a gap inside, or set off from the margin."""
+    if not 4 < len(line) < 110:
+        return False
+    first, last = line[0], line[-1]
+    if not (first == " " or last == " " or first.isdigit() or last.isdigit() or "   " in line) or last in ",;-":
+        return False
+    return bool(_EDGED.search(line))
+
+
+def unbroken(text: str) -> str:
+    """The text without the words at the two sides of a hyphen at a line's end."""
+    parts, at = [], 0
+    for m in _BREAK.finditer(text):
+        start = m.start()
+        while start > at and not text[start - 1].isspace():
+            start -= 1
+        parts.append(text[at:start])
+        at = m.end()
+        while at < len(text) and not text[at].isspace():
+            at += 1
+    return "".join(parts) + text[at:] if parts else text
 
 
 class Perceptron:
@@ -378,7 +398,7 @@ class Repairer:
         broken = [k for k, x in enumerate(page.lines) if x.rstrip().endswith("-") and len(x.rstrip()) > 1 and x.rstrip()[-2].isalpha()]
         if not kinds:
             return [], text
-        local = Counter(w.lower() for w in _WORD.findall(_BROKEN.sub(" ", text)))
+        local = Counter(w.lower() for w in _WORD.findall(unbroken(text)))
         noise = [(k + 1, c) for k, c in kinds.items()]
         bad: set[int] = set()
         body = [k for k in range(len(page.lines)) if k not in kinds and not page.blank[k]]
@@ -462,7 +482,7 @@ def fit(texts: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Repaire
         again: Counter = Counter()
         for batch in batches:
             for t in batch["text"]:
-                words.update(_WORD.findall(_BROKEN.sub(" ", t).lower()))
+                words.update(_MARKS.sub(" ", unbroken(t).lower()).split())
                 here = Counter(skeleton(x) for x in t.split("\n") if edged(x))
                 bones.update(here.keys())
                 again.update(k for k, n in here.items() if n > 2)
