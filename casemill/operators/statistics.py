@@ -30,9 +30,10 @@ def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(rho, n): Pearson's correlation of average ranks."""
+    """(rho, n): Pearson's correlation of average ranks; null if a side is constant."""
     rows = average_rank(average_rank(df.where(f"{x} is not null and {y} is not null").select(x, y), x, "_rx"), y, "_ry")
-    return rows.agg(F.round(F.corr("_rx", "_ry"), 6).alias("rho"), F.count("*").alias("n"))
+    spread = F.stddev_pop("_rx") * F.stddev_pop("_ry")
+    return rows.agg(F.round(F.try_divide(F.covar_pop("_rx", "_ry"), F.when(spread > 0, spread)), 6).alias("rho"), F.count("*").alias("n"))
 
 
 def confusion(df: DataFrame, true: str, pred: str) -> DataFrame:
