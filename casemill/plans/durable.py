@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,11 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/casemill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """Hints a broadcast where df has at most ``most`` (narrow) rows; else the planner joins as it sees fit.
+
+    df should be cheap to count, like a written table.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
