@@ -12,10 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.plans.durable import broadcast_if_small, durable
+
 #: vectors that the partition and the classifier are fitted on, at most
 SAMPLE = 6144
-#: vectors a part should hold, and parts at most: a part needs some dozens of sample vectors
-PART_SIZE, MAX_PARTS = 512, 96
+#: vectors a part should hold, and parts of one level at most: a part needs some dozens of sample vectors
+PART_SIZE, MAX_PARTS = 512, 64
 #: members and queries of one block
 BLOCK = 4096
 #: parts that a query is sent to: until so much of the probability is covered, at most PROBES
@@ -118,14 +120,77 @@ def fit_router(x: np.ndarray, parts: int, k: int = 10, epochs: int = 24, seed: i
     return w
 
 
-def route(x: np.ndarray, w: np.ndarray, cover: float, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(parts, wanted): the most probable parts of each unit row, and which of them it is sent to."""
-    p = softmax(np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float32) @ w)
-    top = np.argsort(-p, axis=1, kind="stable")[:, :probes]
-    mass = np.take_along_axis(p, top, axis=1).cumsum(axis=1)
-    wanted = np.ones(top.shape, bool)
-    wanted[:, 2:] = mass[:, 1:-1] < cover
-    return top, wanted
+class Router:
+    """Parts of one level, or of two: each part of the first may be cut again by a classifier of its own."""
+
+    def __init__(self, first: np.ndarray | None, second: dict[int, np.ndarray] | None = None, fan: int = 1):
+        self.first, self.second, self.fan = first, second or {}, fan
+
+    def top(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(parts, probabilities) of each unit row, the most probable first; part = first * fan + second."""
+        if self.first is None:
+            return np.zeros((len(x), 1), int), np.ones((len(x), 1))
+        xb = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float32)
+        p = softmax(xb @ self.first)
+        top = np.argsort(-p, axis=1, kind="stable")[:, :probes]
+        mass = np.take_along_axis(p, top, axis=1)
+        if self.fan == 1:
+            return top, mass
+        parts, values = np.zeros((len(x), top.shape[1] * probes), int), np.zeros((len(x), top.shape[1] * probes))
+        for c in range(top.shape[1]):
+            for f in np.unique(top[:, c]):
+                rows = np.flatnonzero(top[:, c] == f)
+                w = self.second.get(int(f))
+                q = softmax(xb[rows] @ w) if w is not None else np.ones((rows.size, 1))
+                inner = np.argsort(-q, axis=1, kind="stable")[:, :probes]
+                at = c * probes + np.arange(inner.shape[1])
+                parts[rows[:, None], at] = f * self.fan + inner
+                values[rows[:, None], at] = mass[rows, c][:, None] * np.take_along_axis(q, inner, axis=1)
+        order = np.argsort(-values, axis=1, kind="stable")[:, :probes]
+        return np.take_along_axis(parts, order, 1), np.take_along_axis(values, order, 1)
+
+    def route(self, x: np.ndarray, cover: float, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(parts, wanted): the most probable parts of each unit row, and which of them it is sent to, two at least."""
+        top, mass = self.top(x, probes)
+        wanted = mass > 0
+        wanted[:, :1] = True
+        wanted[:, 2:] &= mass.cumsum(axis=1)[:, 1:-1] < cover
+        return top, wanted
+
+
+def _power(n: int, most: int) -> int:
+    return 1 << max(0, min(most, n).bit_length() - 1)
+
+
+def _fit(rows: DataFrame, by: str, parts: int) -> dict[int, np.ndarray]:
+    """A classifier for each value of ``by``, fitted where its sample lies; the weights come to the driver."""
+    fit = lambda pdf: pd.DataFrame({"g": pdf[by].iloc[:1], "w": [fit_router(unit(np.stack(pdf["vector"]).astype(np.float32)), parts).tobytes()]})
+    return {r["g"]: np.frombuffer(r["w"], np.float32).reshape(-1, parts) for r in rows.groupBy(by).applyInPandas(fit, "g int, w binary").toLocalIterator()}
+
+
+def fit_levels(vectors: DataFrame, n: int, sample: int, part_size: int, max_parts: int) -> Router:
+    """The router of n vectors. A sample is what lies below a cut of the keys' hash, about ``sample`` rows each."""
+    whole = n // part_size
+    parts = _power(whole, max_parts)
+    if parts < 2:
+        return Router(None)
+    spot = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+    router = Router(_fit(vectors.where(spot < sample / n).select("vector", F.lit(0).alias("g")), "g", parts)[0])
+    fan = _power(whole // parts, max_parts)
+    if fan < 2:
+        return router
+    shared = vectors.sparkSession.sparkContext.broadcast(router)
+
+    def place(batches):
+        for batch in batches:
+            if not batch.empty:
+                part = shared.value.top(unit(np.stack(batch["vector"].to_numpy()).astype(np.float32)), 1)[0][:, 0]
+                yield batch.assign(g=part)
+
+    placed = vectors.mapInPandas(place, "key long, vector array<float>, g int")
+    sizes = vectors.sparkSession.createDataFrame(placed.groupBy("g").count().collect(), "g int, n long")  # max_parts rows
+    drawn = placed.join(F.broadcast(sizes), "g").where((spot < sample / F.col("n")) & (F.col("n") >= 2 * part_size)).select("g", "vector")
+    return Router(router.first, _fit(drawn, "g", fan), fan)
 
 
 def usable(df: DataFrame, key: str, vector: str, order: str) -> DataFrame:
@@ -141,11 +206,11 @@ def usable(df: DataFrame, key: str, vector: str, order: str) -> DataFrame:
     )
     newest = Window.partitionBy("key").orderBy(F.desc("stamp"), F.desc("h"))
     marks = rows.select("key", "stamp", F.xxhash64("vector").alias("h")).distinct()
-    old = marks.withColumn("n", F.row_number().over(newest)).where("n > 1").select("key", "stamp", "h")
+    old = broadcast_if_small(durable(marks.withColumn("n", F.row_number().over(newest)).where("n > 1").select("key", "stamp", "h"), "old"))
     return rows.withColumn("h", F.xxhash64("vector")).join(old, ["key", "stamp", "h"], "left_anti").select("key", "vector")
 
 
-def knn(vectors: DataFrame, k: int = 5, sample: int = SAMPLE, part_size: int = PART_SIZE, cover: float = COVER, probes: int = PROBES) -> DataFrame:
+def knn(vectors: DataFrame, k: int = 5, sample: int = SAMPLE, part_size: int = PART_SIZE, cover: float = COVER, probes: int = PROBES, max_parts: int = MAX_PARTS) -> DataFrame:
     """(key, neighbour, cosine, rank): for every row of (key, vector) its k most similar others.
 
     vectors: long keys and usable vectors of one width; rows of one key must be equal. Equal cosines rank by the smaller key. With no more
@@ -154,28 +219,17 @@ def knn(vectors: DataFrame, k: int = 5, sample: int = SAMPLE, part_size: int = P
     and of queries, so no task holds more than BLOCK of each, however full a part is.
     """
     spark = vectors.sparkSession
-    vectors = vectors.select("key", "vector")
-    n = vectors.count()
-    parts = min(MAX_PARTS, n // part_size)
-    parts = 1 << max(0, parts.bit_length() - 1)
-    w = None
-    if parts > 1:
-        drawn = vectors.orderBy(F.xxhash64("key"), "key").limit(sample).select("vector", F.lit(0).alias("all"))
-        fitted = drawn.groupBy("all").applyInPandas(lambda pdf: pd.DataFrame({"w": [fit_router(unit(np.stack(pdf["vector"]).astype(np.float32)), parts).tobytes()]}), "w binary")
-        w = np.frombuffer(fitted.first()[0], np.float32).reshape(-1, parts)
-    shared = spark.sparkContext.broadcast(w)  # width * MAX_PARTS floats
+    vectors = vectors.select("key", F.col("vector").cast("array<float>").alias("vector"))
+    router = fit_levels(vectors, vectors.count(), sample, part_size, max_parts)
+    shared = spark.sparkContext.broadcast(router)  # width * MAX_PARTS * (MAX_PARTS + 1) floats at most
 
     def send(with_data: bool):
         def rows(batches):
-            w = shared.value
             for batch in batches:
                 if batch.empty:
                     continue
                 x, keys = np.stack(batch["vector"].to_numpy()).astype(np.float32), batch["key"].to_numpy()
-                if w is None:
-                    top, wanted = np.zeros((len(x), 1), int), np.ones((len(x), 1), bool)
-                else:
-                    top, wanted = route(unit(x), w, cover, probes)
+                top, wanted = shared.value.route(unit(x), cover, probes)
                 r, c = np.nonzero(wanted[:, 1:])
                 part, key = np.concatenate([top[:, 0], top[r, c + 1]]), np.concatenate([keys, keys[r]])
                 out = pd.DataFrame({"part": part, "key": key, "home": np.arange(part.size) < len(x)})
@@ -187,7 +241,7 @@ def knn(vectors: DataFrame, k: int = 5, sample: int = SAMPLE, part_size: int = P
         return rows
 
     sizes = vectors.mapInPandas(send(False), "part int, key long, home boolean").groupBy("part").agg(F.ceil(F.count_if("home") / BLOCK).alias("mb"), F.ceil(F.count("*") / BLOCK).alias("qb"))
-    sizes = spark.createDataFrame(sizes.collect(), "part int, mb long, qb long")  # at most MAX_PARTS rows
+    sizes = spark.createDataFrame(sizes.collect(), "part int, mb long, qb long")  # a row a part
     h = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
     placed = vectors.mapInPandas(send(True), "part int, key long, home boolean, data binary").join(F.broadcast(sizes), "part").where("mb > 0")
     placed = placed.withColumn("own_m", h % F.col("mb")).withColumn("own_q", F.shiftright(h, 8) % F.col("qb"))
