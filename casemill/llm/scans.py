@@ -47,7 +47,7 @@ def skeleton(line: str) -> str:
     for token in line.lower().split():
         letters = sum(c.isalpha() for c in token)
         digits = sum(c.isdigit() for c in token)
-        if digits and digits >= letters:
+        if digits and digits >= letters and not (token[0].isalpha() and digits == 1):
             out.append("#")
         else:
             folded = re.sub(r"[^a-z]", "", token.translate(_FOLD).replace("rn", "m").replace("cl", "d").replace("rl", "n").replace("ll", "u"))
@@ -137,12 +137,17 @@ class Page:
                 self.number[k] = (m.lastgroup or "bare", int(m[m.lastgroup]))
         self.chain = self._chain()
         self.common = common
-        self.bones = {k: b for k in self.short if k not in self.number and self._apart(k) and edged(self.lines[k].replace("\f", "")) and len(b := skeleton(self.lines[k])) > 3}
+        self.bones = {k: b for k in self.short if k not in self.number and edged(self.lines[k].replace("\f", "")) and len(b := skeleton(self.lines[k])) > 3 and (self._apart(k) or self._usual(b))}
         self.times = Counter(self.bones.values())
 
     def _apart(self, k: int) -> bool:
-        """Next to a blank line, a form feed, a page number or an edge of the text."""
-        return any(not 0 <= j < len(self.lines) or self.blank[j] or self.feed[j] or j in self.number for j in (k - 1, k + 1)) or self.feed[k]
+        """Next to a blank line, a form feed, a page number or an edge of the text, or far from the margin."""
+        return self.lines[k].replace("\f", "").startswith("      ") or any(not 0 <= j < len(self.lines) or self.blank[j] or self.feed[j] or j in self.number for j in (k - 1, k + 1)) or self.feed[k]
+
+    def _usual(self, bone: str) -> bool:
+        """A skeleton that many texts repeat."""
+        df, again = self.common.get(bone, (0, 0))
+        return df >= 5 and again * 8 >= df
 
     def _chain(self) -> set[int]:
         """Lines of the longest run of page numbers of one form that rise by one, or by a few where pages lack theirs."""
@@ -212,9 +217,11 @@ class Page:
             return None if indented and not self.chain else "body"
         b = self.bones.get(k, "")
         df, again = self.common.get(b, (0, 0))
-        if self.times[b] > 2 and (again * 4 >= df or not df):
+        if "after:number" in self._beside(k, False):
+            return "body"
+        if self.times[b] > 2 and (again * 8 >= df or not df) or again * 8 >= df >= 20:
             return "header"
-        return "body" if again * 5 < df or self.times[b] == 1 and not df else None
+        return "body" if again * 8 < df or self.times[b] == 1 and not df else None
 
     def candidates(self) -> list[int]:
         return [*self.number, *self.bones]
@@ -496,7 +503,10 @@ def fit(texts: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Repaire
     lexicon = {r["what"]: r["n"] for r in kept if r["kind"] == "w"}
     again = {r["what"]: r["n"] for r in kept if r["kind"] == "r"}
     common = {r["what"]: (r["n"], again.get(r["what"], 0)) for r in kept if r["kind"] == "b"}
-    drawn = [r["text"] for r in texts.orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
+    # the sample's hashes first, so that no task sends texts that others outbid; equal texts count once
+    h = texts.withColumn("h", F.xxhash64("text"))
+    chosen = [r["h"] for r in h.select("h").distinct().orderBy("h").limit(sample).collect()]
+    drawn = [r["text"] for r in h.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()] if chosen else []
     return Repairer(lexicon, common, train_lines(drawn, common), train_words(lexicon))
 
 
