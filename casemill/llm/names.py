@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -312,14 +313,26 @@ def entities(names: DataFrame, max_edits: int = 1) -> DataFrame:
     family = follow.join(onward, ["tag", "lead"], "left").select("tag", "head", F.coalesce("next", "lead").alias("family"))
     placed = parts.join(family, ["tag", "head"], "left").withColumn("family", F.coalesce("family", "head"))
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("name", kind="stable")
-        rows = pdf.to_dict("records")
-        labels = firms(rows) if pdf["org"].iloc[0] else persons(rows)
-        prefix = f"{pdf['tag'].iloc[0]}:{pdf['family'].iloc[0]}:"
-        return pd.DataFrame({"name": pdf["name"], "entity": [prefix + x for x in labels]})
-
-    return placed.groupBy("tag", "family").applyInPandas(settle, "name string, entity string")
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by family; a family may run on into the next batch."""
+        held: list[dict] = []
+
+        def done() -> list[tuple[str, str]]:
+            labels = (firms if held[0]["org"] else persons)(held)
+            return [(r["name"], f"{r['tag']}:{r['family']}:{x}") for r, x in zip(held, labels)]
+
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                if held and (r["tag"], r["family"]) != (held[0]["tag"], held[0]["family"]):
+                    out += done()
+                    held = []
+                held.append(r)
+            yield pd.DataFrame(out, columns=["name", "entity"])
+        if held:
+            yield pd.DataFrame(done(), columns=["name", "entity"])
+
+    return placed.repartition("tag", "family").sortWithinPartitions("tag", "family", "name").mapInPandas(settle, "name string, entity string")
 
 
 def link(records: DataFrame, key: str, name: str) -> DataFrame:
