@@ -494,7 +494,7 @@ def fit(texts: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Repaire
                 bones.update(here.keys())
                 again.update(k for k, n in here.items() if n > 2)
         for kind, found in (("w", words), ("b", bones), ("r", again)):
-            yield pd.DataFrame({"kind": kind, "what": list(found), "n": list(found.values())})
+            yield pd.DataFrame([(kind, what, n) for what, n in found.items()], columns=["kind", "what", "n"])
 
     counted = durable(texts.mapInPandas(count, "kind string, what string, n long").groupBy("kind", "what").agg(F.sum("n").alias("n")), "lexicon")
     sizes = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
