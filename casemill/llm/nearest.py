@@ -81,13 +81,14 @@ def partition(graph: np.ndarray, parts: int, seed: int = 5) -> np.ndarray:
     u, v = np.concatenate([u, v]), np.concatenate([v, u])
     part = np.zeros(n, int)
     for _ in range(int(np.log2(parts))):
+        halves = np.zeros(n, int)
         for p in range(part.max() + 1):
             nodes = np.flatnonzero(part == p)
             local = np.full(n, -1)
             local[nodes] = np.arange(nodes.size)
             inside = (local[u] >= 0) & (local[v] >= 0)
-            side = bisect(nodes, local[u[inside]], local[v[inside]], rng)
-            part[nodes] = 2 * p + side
+            halves[nodes] = 2 * p + bisect(nodes, local[u[inside]], local[v[inside]], rng)
+        part = halves
     return part
 
 
