@@ -336,7 +336,11 @@ def train_words(lexicon: dict[str, int], amount: int = 12_000, seed: int = 3) ->
 
 class Repairer:
     def __init__(self, lexicon: dict[str, int], common: dict[str, tuple[int, int]], lines: Perceptron, words: Perceptron):
-        self.lexicon, self.common, self.lines, self.words = lexicon, common, lines, words
+        self.lexicon, self.common, self.lines, self.words = dict(lexicon), common, lines, words
+        for w, n in lexicon.items():
+            if "-" in w:  # the parts of compounds are words too
+                for part in w.split("-"):
+                    self.lexicon[part] = self.lexicon.get(part, 0) + n
         self.memo: dict[str, tuple[str, int] | None] = {}
 
     def global_edit(self, word: str) -> tuple[str, int] | None:
@@ -379,6 +383,11 @@ class Repairer:
         x, y = a.rpartition("-")[2], tail
         return not (count(x) > 200 and count(y) > 200 and len(x) > 2 and len(y) > 2)
 
+    def _words_broken(self, lines: list[str], broken: list[int]) -> int:
+        """Line ends that break a word of the lexicon, which nothing but a page does."""
+        parts = [(re.search(r"[A-Za-z]+-$", lines[k].rstrip()), re.match(r"\s*([a-z]+)", lines[k + 1])) for k in broken if k + 1 < len(lines)]
+        return sum(1 for a, b in parts if a and b and self.lexicon.get((a[0][:-1] + b[1]).lower(), 0) >= 5)
+
     @property
     def prefixes(self) -> dict[str, int]:
         """Counts of two neighbouring parts of compounds, so that off-balance counts from off-balance-sheet."""
@@ -403,7 +412,7 @@ class Repairer:
             if (c == "page_number") == (k in page.number) and c != "body":
                 kinds[k] = c
         broken = [k for k, x in enumerate(page.lines) if x.rstrip().endswith("-") and len(x.rstrip()) > 1 and x.rstrip()[-2].isalpha()]
-        if not kinds:
+        if not kinds and self._words_broken(page.lines, broken) < 2:
             return [], text
         local = Counter(w.lower() for w in _WORD.findall(unbroken(text)))
         noise = [(k + 1, c) for k, c in kinds.items()]
@@ -514,7 +523,7 @@ def repair(records: DataFrame, key: str, text: str, with_text: bool = True, repa
     """(key, noise array<struct<line_no, kind>>, text): the noise found in each text and the text without it.
 
     Kinds: header, page_number, hyphen, misread; lines are split at line feeds and counted from 1. A text without page
-    furniture counts as not scanned and is returned as it is, without noise. Null texts are left out, blank ones have no
+    furniture and broken words counts as not scanned and is returned as it is, without noise. Null texts are left out, blank ones have no
     noise. Rows come out as often as they go in. Each text is read whole by one task.
     """
     rows = records.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
