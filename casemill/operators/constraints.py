@@ -31,40 +31,61 @@ def circuit(court):
     return F.try_element_at(F.create_map(*pairs), court)
 
 
+def _inside(small: DataFrame, large: DataFrame, grams: int) -> DataFrame:
+    """(x, y): non-empty values x of ``small`` that lie in values y of ``large``, each a distinct column v.
+
+    No cross join: if x lies in y, the first n letters of x are among the n-grams of y, where n is ``grams`` or the
+    length of x if that is less.
+    """
+    size = F.least(F.length("v"), F.lit(grams))
+    heads = small.where("v <> ''").select(F.col("v").alias("x"), F.substring(F.col("v"), F.lit(1), size).alias("g"))
+    widths = F.broadcast(heads.select(F.length("g").alias("n")).distinct())  # at most `grams` rows
+    starts = F.sequence(F.lit(1), F.length("v") - F.col("n") + 1)
+    parts = large.join(widths, F.length("v") >= F.col("n")).withColumn("i", F.explode(starts)).select(F.col("v").alias("y"), F.expr("substring(v, i, n)").alias("g")).distinct()
+    return heads.join(parts, "g").where(F.contains("y", "x")).select("x", "y").distinct()
+
+
 def contained_either_way(left: DataFrame, right: DataFrame, grams: int = 8) -> DataFrame:
     """Distinct values of ``left`` (one column v) that contain, or are contained in, a value of ``right``.
 
-    No cross join: if x lies in y, the first n letters of x are among the n-grams of y, where n is ``grams`` or the
-    length of x if that is less. Both directions join on these and verify. An empty value lies in every other, and a
-    null in none.
+    An empty value lies in every other, and a null in none.
     """
     a, b = left.toDF("v").where("v is not null").distinct(), right.toDF("v").where("v is not null").distinct()
-    size = F.least(F.length("v"), F.lit(grams))
-    head = lambda df, name: df.where("v <> ''").select(F.col("v").alias(name), F.substring(F.col("v"), F.lit(1), size).alias("g"))
-
-    def inside(small: DataFrame, large: DataFrame) -> DataFrame:
-        heads = head(small, "x")
-        widths = F.broadcast(heads.select(F.length("g").alias("n")).distinct())  # at most `grams` rows
-        starts = F.sequence(F.lit(1), F.length("v") - F.col("n") + 1)
-        parts = large.join(widths, F.length("v") >= F.col("n")).withColumn("i", F.explode(starts)).select(F.col("v").alias("y"), F.expr("substring(v, i, n)").alias("g")).distinct()
-        return heads.join(parts, "g").where(F.contains("y", "x")).select("x", "y").distinct()
-
-    found = inside(a, b).select("x").union(inside(b, a).select("y"))
-    everything = a.where((F.col("v") == "") & F.lit(not b.isEmpty())) if not b.isEmpty() else a.limit(0)
-    if not b.where("v = ''").isEmpty():
-        everything = a
+    found = _inside(a, b, grams).select("x").union(_inside(b, a, grams).select("y"))
+    everything = a.limit(0) if b.isEmpty() else a.where("v = ''") if b.where("v = ''").isEmpty() else a
     return found.union(everything).distinct().toDF("v")
 
 
+def both_parties_in(cited: DataFrame, known: DataFrame, letters: int = 8) -> DataFrame:
+    """Distinct names (one column name) of the form "a v. b" such that the starts of both a and b lie in one known name.
+
+    Upper and lower case don't matter. The starts are ``letters`` long; a shorter party is taken whole.
+    """
+    parts = F.split(F.col("name"), r"(?i)\s+v\.?\s+", 2)
+    start = lambda i: F.substring(F.lower(F.trim(parts[i])), 1, letters)
+    asked = cited.toDF("name").where(F.size(parts) == 2).select("name", start(0).alias("a"), start(1).alias("b")).distinct()
+    names = known.toDF("v").select(F.lower("v").alias("v")).distinct()
+    hits = _inside(asked.select(F.col("a").alias("v")).distinct(), names, letters).toDF("a", "y")
+    first = asked.join(hits, "a").where(F.contains("y", "b")).select("name")
+    bare = _inside(asked.where("a = ''").select(F.col("b").alias("v")).distinct(), names, letters).select(F.col("x").alias("b")).distinct()
+    return first.union(asked.where("a = ''").join(bare, "b").select("name")).distinct()
+
+
 def rows(df: DataFrame, name: str, severity: str, subject) -> DataFrame:
     return df.select("docket_id", F.lit(name).alias("name"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"))
 
 
 def unknown_names(cited: DataFrame, known: DataFrame, key) -> DataFrame:
-    """Citations (docket_id, name) that no known name (one column) contains or is contained in, after ``key``."""
-    keyed = cited.withColumn("v", key(F.col("name")))
+    """Citations (docket_id, name) that match no known name (one column).
+
+    A name matches if, after ``key``, it contains a known one or is contained in it, or if the starts of both its
+    parties lie in one. A name of which ``key`` leaves nothing matches none.
+    """
+    keyed = cited.where("name is not null").withColumn("v", key(F.col("name")))
     good = contained_either_way(keyed.select("v").where("v <> ''"), known.select(key(F.col(known.columns[0])).alias("v")))
-    return rows(keyed.join(good, "v", "left_anti"), "citation_check", "ERROR", F.col("name"))
+    rest = keyed.join(good, "v", "left_anti")
+    parties = both_parties_in(rest.where("v <> ''").select("name"), known)
+    return rows(rest.join(parties, "name", "left_anti"), "citation_check", "ERROR", F.col("name"))
 
 
 def ungrounded(cited: DataFrame, known: DataFrame, key) -> DataFrame:

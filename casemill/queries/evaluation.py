@@ -9,6 +9,7 @@ from casemill.operators import statistics as St
 from casemill.operators.graph import CaseGraph
 from casemill.operators.records import one_per_key
 from casemill.queries.graph import _ANCO, BASE, anco_k5
+from casemill.queries.text import _OUTCOME
 from casemill.tables import table
 
 
@@ -70,6 +71,15 @@ def threshold_baseline(spark, d):
     return St.accuracy(rows, "outcome_label", "pred")
 
 
+def regex_baseline(spark, d):
+    """The pattern cascade over the texts against the labels of their opinions."""
+    from casemill.queries.text import classify_outcome
+
+    said = classify_outcome(spark, d).groupBy("opinion_id").agg(F.max("label").alias("pred"))
+    truth = table(spark, d, "case_labels").where("opinion_id is not null and outcome_label is not null").groupBy("opinion_id").agg(F.min("outcome_label").alias("true"))
+    return St.accuracy(truth.join(said, "opinion_id"), "true", "pred")
+
+
 def bootstrap_point(spark, d):
     """Interval of the share of right outcomes."""
     out = St.bootstrap(_compared(spark, d).withColumn("hit", (F.col("true") == F.col("pred")).cast("int")), "hit")
@@ -124,7 +134,7 @@ def stratified_split(spark, d):
     return rows.select("opinion_id", "outcome", F.when(F.col("n") < 3, "train").when(F.col("i") <= part, "test").when(F.col("i") <= 2 * part, "val").otherwise("train").alias("split"))
 
 
-QUERIES = {f.__name__: f for f in (confusion, per_class, balanced_accuracy, kappa_stage, kappa_gate, majority_baseline, score_auc, score_spearman, threshold_baseline, bootstrap_point, holdout_sets, consistency, pass_rate, split_pivot, stratified_split)}
+QUERIES = {f.__name__: f for f in (confusion, per_class, balanced_accuracy, kappa_stage, kappa_gate, majority_baseline, score_auc, score_spearman, threshold_baseline, regex_baseline, bootstrap_point, holdout_sets, consistency, pass_rate, split_pivot, stratified_split)}
 
 _CMP = BASE + r""", lb AS (SELECT docket_id, opinion_id, outcome_label, procedural_stage, row_number() OVER (PARTITION BY opinion_id ORDER BY label_confidence DESC NULLS LAST, outcome_label NULLS LAST, procedural_stage NULLS LAST, docket_id NULLS LAST) AS rn FROM case_labels WHERE opinion_id IS NOT NULL),
 lv AS (SELECT *, row_number() OVER (PARTITION BY opinion_id ORDER BY try_cast(rtrim(replace(trim(created_at), 'T', ' '), 'Z') AS TIMESTAMP) DESC NULLS LAST, id DESC) AS rn FROM runs), lx AS (SELECT * FROM lv WHERE rn = 1),
@@ -150,6 +160,9 @@ ORACLES = {
     "threshold_baseline": _SC
     + """, p AS (SELECT o, CASE WHEN score > 0.3 THEN 'PLAINTIFF_WINS' WHEN score < -0.3 THEN 'DEFENDANT_WINS' ELSE 'MIXED' END AS p FROM sc WHERE o IS NOT NULL), g AS (SELECT o, avg(CAST(o = p AS INT)) AS r FROM p GROUP BY 1)
     SELECT (SELECT round(avg(CAST(o = p AS INT)), 6) FROM p) AS accuracy, (SELECT round(avg(r), 6) FROM g) AS balanced, (SELECT count(*) FROM p) AS n""",
+    "regex_baseline": _OUTCOME
+    + """, said AS (SELECT opinion_id, max(s.label) AS p FROM r GROUP BY 1), truth AS (SELECT opinion_id, min(outcome_label) AS t FROM case_labels WHERE opinion_id IS NOT NULL AND outcome_label IS NOT NULL GROUP BY 1), c AS (SELECT t, p FROM truth JOIN said USING (opinion_id)),
+    g AS (SELECT t, avg(CAST(t = p AS INT)) AS r FROM c GROUP BY 1) SELECT (SELECT round(avg(CAST(t = p AS INT)), 6) FROM c) AS accuracy, (SELECT round(avg(r), 6) FROM g) AS balanced, (SELECT count(*) FROM c) AS n""",
     "holdout_sets": BASE + " SELECT docket_id, CASE WHEN docket_id IN (SELECT docket_id FROM runs WHERE docket_id IS NOT NULL) THEN 'both' ELSE 'held_out' END AS kind FROM (SELECT DISTINCT docket_id FROM case_labels)",
     "consistency": _CMP
     + """, el AS (SELECT id, j->>'$.outcome' AS o, [json_extract_string(j, '$.elements.' || k || '.status') FOR k IN json_keys(j, '$.elements')] AS s FROM lx),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casemill.functions import text as T
+from casemill.functions.format import brief
 from casemill.operators import constraints as C
 from casemill.operators import extractions as X
 from casemill.operators import retrieval as R
@@ -111,6 +112,15 @@ def pack_context(spark, d):
     return R.pack(sized, 1200, brief_header=15)
 
 
+def format_brief(spark, d):
+    """The ranked precedents as lines of a prompt."""
+    g = CaseGraph(spark, d)
+    cases = g.cases().select("docket_id", "case_name", "court_id", "outcome_label")
+    owner = g.has_opinion().groupBy("opinion_id").agg(F.min("docket_id").alias("docket_id"))
+    rows = fused_rank(spark, d).join(owner, "opinion_id").join(cases, "docket_id")
+    return rows.select("query", "rank", brief("case_name", "docket_id", "court_id", "outcome_label", F.lit(0.0), "final_score").alias("line"))
+
+
 # constraints over the latest valid extraction of each opinion
 def _runs(spark, d):
     return X.latest_valid(table(spark, d, "irac_extractions"))
@@ -161,7 +171,7 @@ def violation_rates(spark, d):
     return C.rates(validate_all(spark, d), table(spark, d, "cases").agg(F.countDistinct("docket_id").alias("n")))
 
 
-QUERIES = {f.__name__: f for f in (cosine_top5, label_retrieval, same_statute, same_judge, same_court, graph_distance, fused_rank, pack_context, c1_citation, c2_statute, c3_circuit, c4_temporal, c5_contested, c6_missing, validate_all, violation_rates)}
+QUERIES = {f.__name__: f for f in (cosine_top5, label_retrieval, same_statute, same_judge, same_court, graph_distance, fused_rank, pack_context, format_brief, c1_citation, c2_statute, c3_circuit, c4_temporal, c5_contested, c6_missing, validate_all, violation_rates)}
 
 _VEC = """vec AS (SELECT opinion_id AS key, max_by(embedding, struct_pack(a := created_at, b := embedding)) AS v FROM (SELECT opinion_id, created_at, CAST(embedding AS DOUBLE[]) AS embedding FROM opinion_embeddings
   WHERE model_name = 'lexvec-base-768' AND len(embedding) = 768) WHERE len(list_filter(embedding, lambda x: isnan(x) OR x IS NULL)) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1)"""
@@ -193,7 +203,9 @@ _CP = r""", pr AS (SELECT DISTINCT a.docket_id, b.docket_id AS cited_docket FROM
 pf AS (SELECT p.*, coalesce(x.court_id, '') AS court_id, coalesce(x.date_filed, '') AS date, coalesce(y.court_id, '') AS cited_court, coalesce(y.date_filed, '') AS cited_date FROM pr p JOIN kase x ON x.docket_id = p.docket_id JOIN kase y ON y.docket_id = cited_docket)"""
 _CHECKS = {
     "c1_citation": rf"""SELECT docket_id, 'citation_check' AS name, 'ERROR' AS severity, n AS subject FROM (SELECT DISTINCT docket_id, unnest(CAST(j->'$.precedents_cited' AS VARCHAR[])) AS n FROM lx)
-      WHERE n IS NOT NULL AND ({_KEY.format('n')} = '' OR NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT {_KEY.format('case_name')} AS k FROM cases WHERE case_name <> '') WHERE contains(k, {_KEY.format('n')}) OR contains({_KEY.format('n')}, k)))""",
+      WHERE n IS NOT NULL AND ({_KEY.format('n')} = '' OR NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT {_KEY.format('case_name')} AS k FROM cases WHERE case_name <> '') WHERE contains(k, {_KEY.format('n')}) OR contains({_KEY.format('n')}, k))
+        AND NOT (regexp_matches(n, '(?i)\\s+v\\.?\\s+') AND EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(case_name) AS k FROM cases WHERE case_name <> '')
+          WHERE contains(k, left(lower(trim(regexp_extract(n, '(?is)^(.*?)\\s+v\\.?\\s+', 1))), 8)) AND contains(k, left(lower(trim(regexp_replace(n, '(?is)^.*?\\s+v\\.?\\s+', ''))), 8)))))""",
     "c2_statute": rf"""SELECT docket_id, 'statute_grounding' AS name, 'WARNING' AS severity, s AS subject FROM (SELECT DISTINCT docket_id, unnest(CAST(j->'$.statutes_cited' AS VARCHAR[])) AS s FROM lx)
       WHERE {_SKEY.format('s')} <> '' AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT {_SKEY.format('cause')} AS k FROM cases WHERE cause <> '') WHERE contains(k, {_SKEY.format('s')}) OR contains({_SKEY.format('s')}, k))""",
     "c3_circuit": f"SELECT docket_id, 'binding_authority' AS name, 'WARNING' AS severity, CAST(cited_docket AS VARCHAR) AS subject FROM pf WHERE {_CIRCUIT.format('court_id')} <> {_CIRCUIT.format('cited_court')} AND {_CIRCUIT.format('cited_court')} <> 'scotus'",
@@ -220,6 +232,8 @@ ORACLES = {
     "graph_distance": BASE + _GD + " SELECT * FROM gd",
     "fused_rank": _FUSED + " SELECT * FROM fr",
     "pack_context": _PACK,
+    "format_brief": _FUSED
+    + " SELECT query, rank, '- ' || coalesce(case_name, 'unknown') || ' (docket=' || docket_id || ', court=' || coalesce(court_id, 'unknown') || ', outcome=' || coalesce(outcome_label, 'unknown') || ', anco=0.00, score=' || printf('%.3f', final_score) || ')' AS line FROM fr JOIN owner USING (opinion_id) JOIN kase ON docket_id = case_id",
     **{k: _WITH + " " + v for k, v in _CHECKS.items()},
     "validate_all": _ALL + " SELECT * FROM v",
     "violation_rates": _ALL + " SELECT name, severity, count(*) AS n, count(DISTINCT docket_id) AS n_dockets, round(count(DISTINCT docket_id) / (SELECT count(DISTINCT docket_id) FROM cases), 6) AS share FROM v GROUP BY 1, 2",

@@ -174,7 +174,23 @@ _X = """v AS (SELECT *, row_number() OVER (PARTITION BY opinion_id ORDER BY try_
 x AS (SELECT * EXCLUDE (extraction, rn), CAST(extraction AS JSON) AS j FROM v WHERE rn = 1)"""
 _EL = _X + """, el AS (SELECT id, docket_id, opinion_id, k AS element, json_extract(j, '$.elements.' || k) AS e FROM x, unnest(json_keys(j, '$.elements')) AS t(k))"""
 
+_RULES = {
+    "stage": "coalesce(NOT (j->>'$.procedural_stage' IN ('MTD', 'SJ', 'TRIAL', 'APPEAL')), true)",
+    "outcome": "coalesce(NOT (j->>'$.outcome' IN ('PLAINTIFF_WINS', 'DEFENDANT_WINS', 'MIXED')), true)",
+    "elements": "len(list_filter(" + repr(list(X.ELEMENTS)) + ", lambda k: NOT list_contains(json_keys(j, '$.elements'), k))) > 0",
+    "status": "len(list_filter(json_keys(j, '$.elements'), lambda k: NOT coalesce(json_extract_string(j, '$.elements.' || k || '.status') IN " + str(X.STATUSES) + ", false))) > 0",
+    "confidence": "len(list_filter(json_keys(j, '$.elements'), lambda k: NOT coalesce(CAST(json_extract_string(j, '$.elements.' || k || '.confidence') AS DOUBLE) BETWEEN 0 AND 1, true))) > 0",
+}
 ORACLES = {
+    "firm_names": r"""WITH p AS (SELECT DISTINCT party_id, name FROM parties WHERE name IS NOT NULL), l AS (SELECT party_id, name, ['Phone: 555-0100', trim(name), '12 Main Street', trim(name || ' LLP')] AS lines FROM p)
+      SELECT party_id, list_filter(lines, lambda x: length(x) >= 5 AND NOT regexp_matches(x, '"""
+    + T.CONTACT_LINE
+    + """') AND regexp_matches(x, '"""
+    + T.FIRM_MARKS
+    + """'))[1] AS firm FROM l""",
+    "irac_validate": "WITH r AS (SELECT DISTINCT id, extraction FROM irac_extractions), v AS (SELECT id, CAST(extraction AS JSON) AS j FROM r WHERE json_valid(extraction)) SELECT id, array_to_string(list_filter(["
+    + ", ".join(f"CASE WHEN {rule} THEN '{k}' END" for k, rule in _RULES.items())
+    + "], lambda x: x IS NOT NULL), ',') AS broken FROM v UNION ALL SELECT id, 'json' FROM r WHERE NOT json_valid(extraction)",
     "contamination": "SELECT DISTINCT docket_id, CASE " + " ".join(f"WHEN {_ANY('case_name', ps)} THEN '{n}'" for n, ps in P.PARTY_CLASSES) + " ELSE 'PRIVATE' END AS class FROM cases",
     "stage_detect": f"WITH {_O}, c AS (SELECT docket_id, max(court_id) AS court_id FROM cases GROUP BY 1) SELECT opinion_id, CASE WHEN {_ANY('plain_text', P.STAGES['APPEAL'])} OR coalesce(starts_with(court_id, 'ca') OR court_id = 'scotus', false) THEN 'APPEAL' "
     + " ".join(f"WHEN {_ANY('plain_text', P.STAGES[s])} THEN '{s}'" for s in ("TRIAL", "SJ", "MTD")) + " END AS stage FROM o LEFT JOIN c USING (docket_id)",

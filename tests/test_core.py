@@ -249,3 +249,50 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = scan_long_text(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(type,010combined)" in plan
     assert "citation_count" not in plan
+
+
+def test_both_parties_in(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 11)))
+    known = [f"{word()} v. {word()}" for _ in range(30)] + ["In re x"]
+    cited = [f"{word()} {rng.choice(['v.', 'V', 'v'])} {word()}" for _ in range(200)] + ["no versus", known[0].upper()]
+    import re
+
+    def good(name):
+        p = re.split(r"(?i)\s+v\.?\s+", name, maxsplit=1)
+        return len(p) == 2 and any(p[0].strip().lower()[:8] in k.lower() and p[1].strip().lower()[:8] in k.lower() for k in known)
+
+    got = {r[0] for r in C.both_parties_in(spark.createDataFrame([(x,) for x in cited], "name string"), spark.createDataFrame([(x,) for x in known], "k string")).collect()}
+    assert got == {x for x in cited if good(x)}
+
+
+def test_lifting_with_the_mock(spark):
+    from casemill.operators.lifting import hashed_vector, lift, prompts, vector_of_blob
+
+    df = spark.createDataFrame([(1, 10, "OPINION\n" + "Text. " * 9000), (2, 11, "Short."), (3, 12, None)], "opinion_id long, docket_id long, plain_text string")
+    asked = {r["opinion_id"]: r for r in prompts(df).collect()}
+    assert set(asked) == {1, 2} and len(asked[1]["prompt"]) < 16_000 and "TRUNCATED" in asked[1]["prompt"] and "TRUNCATED" not in asked[2]["prompt"]
+    out = X.parsed(lift(prompts(df))).select("opinion_id", F.col("x.outcome").alias("o"), F.size(X.violations(F.col("x"))).alias("n"))
+    assert rows(out) == [(1, "DEFENDANT_WINS", 0), (2, "DEFENDANT_WINS", 0)]
+    a, b, c = (np.array(r["x"]) for r in spark.createDataFrame([("the fraud claim",), ("claim the fraud",), ("",)], "t string").select(hashed_vector("t").alias("x")).collect())
+    assert np.allclose(a, b) and abs(np.linalg.norm(a) - 1) < 1e-6 and not c.any()
+    blobs = spark.createDataFrame([(bytearray(np.array([1.5, 2], "<f4").tobytes()),), (bytearray(b"123"),), (None,)], "b binary")
+    assert [r["x"] for r in blobs.select(vector_of_blob("b").alias("x")).collect()] == [[1.5, 2.0], None, None]
+
+
+def test_formats(spark):
+    from casemill.functions import format as Fm
+
+    assert one(spark, Fm.interval(F.lit(0.5), F.lit(0.25), F.lit(0.75), 2)) == "0.50 [0.25, 0.75]"
+    assert one(spark, Fm.brief(F.lit("A v. B"), F.lit(3), F.lit(None), F.lit("MIXED"), F.lit(0.5), F.lit(1.0))) == "- A v. B (docket=3, court=unknown, outcome=MIXED, anco=0.50, score=1.000)"
+    items = F.array(F.struct(F.lit(1).alias("number"), F.lit("2020-01-01").alias("date"), F.lit("Filed").alias("text")), F.struct(F.lit(None).cast("int").alias("number"), F.lit("d").alias("date"), F.lit("x" * 600).alias("text")))
+    assert one(spark, Fm.entries(items)) == "[1|2020-01-01] Filed ||| [|d] " + "x" * 500
+    assert one(spark, T.bar(F.lit(50.0), 100, 4)) == "##.."
+
+
+def test_represented_by(spark):
+    from casemill.operators.graph import represented_by
+
+    a = spark.createDataFrame([(1, "Cole & Kahn LLP\n1 Main St"), (2, "no firm here"), (1, "x\nCole  & Kahn LLP")], "docket_id long, contact_raw string")
+    p = spark.createDataFrame([(1, 5, "Plaintiff"), (1, 4, "Defendant")], "docket_id long, party_id long, party_type string")
+    assert rows(represented_by(a, p)) == [(1, "cole & kahn llp", "defendant")]
