@@ -25,4 +25,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours}
-ORACLES = {}
+# brute force: all pairs of vectors, which DuckDB does at the size of the SQL check; the search itself is exact there
+ORACLES = {
+    "p3_found": """WITH u AS (SELECT opinion_id, max_by(e, struct_pack(a := created_at, b := e)) AS v FROM (SELECT opinion_id, created_at, CAST(embedding AS DOUBLE[]) AS e FROM opinion_embeddings
+  WHERE model_name = 'lexvec-base-768' AND len(embedding) = 768) WHERE len(list_filter(e, lambda x: isnan(x) OR x IS NULL)) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 GROUP BY 1),
+h AS (SELECT a.opinion_id AS a, b.opinion_id AS b FROM u a JOIN u b ON a.opinion_id <> b.opinion_id QUALIFY row_number() OVER (PARTITION BY a.opinion_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.opinion_id) <= 5)
+SELECT DISTINCT least(a, b) AS opinion_id_a, greatest(a, b) AS opinion_id_b FROM h"""
+}
