@@ -296,3 +296,25 @@ def test_represented_by(spark):
     a = spark.createDataFrame([(1, "Cole & Kahn LLP\n1 Main St"), (2, "no firm here"), (1, "x\nCole  & Kahn LLP")], "docket_id long, contact_raw string")
     p = spark.createDataFrame([(1, 5, "Plaintiff"), (1, 4, "Defendant")], "docket_id long, party_id long, party_type string")
     assert rows(represented_by(a, p)) == [(1, "cole & kahn llp", "defendant")]
+
+
+def test_flat_record_of_a_nested_docket(spark):
+    from casemill.sources import dockets as Dk
+
+    people = [("Ann", [("Plaintiff",)], [("Q", "1", "q@sec.gov", "Securities and Exchange Commission (NYRO)"), ("R", "1", None, None)]), ("Bo", [("Relief Defendant",)], None), ("Cy", [("Relief",)], []), ("Di", None, None)]
+    entry = (1, "2020-01-01", "Filed", [(3, 10, None, None), (None, 5, True, None)])
+    row = spark.createDataFrame([(json.dumps({"identifier": "x", "case_name": "A v. B", "idb_data": {"disposition": 5, "judgment": 9, "procedural_progress": 2, "section": "78j", "subsection": "b"}, "cause": "15:78m"}),), ("{}",)], "j string")
+    whole = spark.createDataFrame([], Dk.DOCKET).schema
+    df = row.select(F.from_json("j", whole).alias("x")).select("x.*")
+    extra = spark.createDataFrame([(people, [entry])], "parties array<struct<name:string,party_types:array<struct<name:string>>,attorneys:array<struct<name:string,phone:string,email:string,contact_raw:string>>>>, docket_entries array<struct<entry_number:int,date_filed:string,description:string,recap_documents:array<struct<page_count:int,file_size:bigint,is_sealed:boolean,ocr_status:int>>>>")
+    got = {r["case_title"]: r for r in Dk.records(df.drop("parties", "docket_entries").crossJoin(extra), "http://h").collect()}
+    r = got["A v. B"]
+    assert (r["petitioner"], r["respondent"], r["relief_defendants"]) == ("Ann", "Bo", "Cy")
+    assert (r["sec_attorneys"], r["sec_regional_office"], r["attorney_phone"]) == ("Q", "NYRO", "1")
+    assert r["charges_and_sections"] == "15:78m; Section 78j(b)" and r["outcome"] == "Dismissed - settled" and r["judgment_code"] == "9 - Code 9"
+    assert r["final_judgment_details"] == "Disposition: Dismissed - settled; Judgment for: Code 9; Procedural progress: 2"
+    assert (r["doc_page_count"], r["doc_file_size"], r["doc_is_sealed"], r["docket_entry_text"]) == ("3", "15", "True", "[1|2020-01-01] Filed")
+    assert got[""]["case_status"] == "Open" and all(v is not None for k, v in got[""].asDict().items() if k != "identifier")
+    hits = spark.createDataFrame([("q", 2, "b"), ("q", 1, "a"), ("p", 1, "c")], "query string, position int, name string")
+    assert rows(Dk.best_hit(hits.where("query = 'q'"), hits).select("query", "name")) == [("p", "c"), ("q", "a")]
+    assert rows(Dk.inventory(spark.range(2).toDF("docket_id"), {"e": spark.createDataFrame([(1, "x", " ")], "docket_id long, a string, b string")})) == [(0, "e", "empty", 0, []), (1, "e", "ok", 1, ["a"])]
