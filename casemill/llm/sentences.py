@@ -49,7 +49,7 @@ _POINT = regex.compile(rf"[{ENDS}]+")
 _GAP = regex.compile(r"(?<=[\p{Thai}])\s+(?=[\p{Thai}])")
 _BLOCK = regex.compile(r"\n\s*\n")
 _MARK = regex.compile(r"\s*(?:\(\d{1,3}\)|\(\p{L}\)|\d{1,3}[.)]|\p{Ll}\)|[-•*–‣◦])\s+\S")
-_HEAD_MARK = regex.compile(r"(?:[IVXLC]+|\p{Lu}|\d{1,2}(?:\.\d{1,2})*)\.?\s+")
+_HEAD_MARK = regex.compile(r"(?:[IVX]+|[A-H]|\d{1,2}(?:\.\d{1,2})*)\.\s+")
 _DIGITS = regex.compile(r"\d+")
 _LEAD = "".join(OPENERS) + "\"'¿¡*_"
 
@@ -231,6 +231,7 @@ class Model:
         self.own = own
         self.triples, self.ends, self.start_seed = triples, ends, starts
         self.memo: dict = {}
+        self.share = self._shares()
         seed = self._seed()
         self._count(seed)
         for _ in range(ROUNDS):
@@ -240,6 +241,17 @@ class Model:
         self.memo.clear()
         del self.triples
 
+    def _shares(self) -> dict[str, float]:
+        """The share of each word among the following words of its shape."""
+        count, kind = Counter(), Counter()
+        for _, _, n, c in self.triples:
+            count[n] += c
+            kind[shape(n)] += c
+        for n, c in self.start_seed.items():
+            count[n] += c
+            kind[shape(n)] += c
+        return {n: c / kind[shape(n)] for n, c in count.items()}
+
     def _seed(self) -> list[float]:
         """First posteriors: how much a word ends, and its follower begins, paragraphs as often as it stands elsewhere."""
         last, following = Counter(), Counter()
@@ -257,7 +269,7 @@ class Model:
             elif a[-1:] in SURE and a:
                 out.append(0.98)
             else:
-                out.append(min(0.98, max(0.01, min(1.0, 4 * r_end[a]) * min(1.0, 4 * r_start[n]))))
+                out.append(min(0.98, max(0.01, min(1.0, 4 * r_end[a]) * (0.35 + 0.65 * min(1.0, 4 * r_start[n])))))
         return out
 
     def key(self, word: str) -> str:
@@ -297,7 +309,10 @@ class Model:
 
     def p_start(self, word: str) -> float:
         by_shape = (self.start[shape(word)] + 0.01) / (self.total + 1)
-        return (self.start[word] + 2 * by_shape * 0.05) / (self.total + 2) if word in self.own else by_shape
+        if word not in self.own:
+            return by_shape
+        # a fifth of the mass goes by how common the word is among its kind, wherever it stands
+        return 0.8 * self.start[word] / self.total + 0.2 * by_shape * self.share.get(word, 0.05)
 
     def p_follow(self, last: str, word: str) -> float:
         s = shape(word)
@@ -306,8 +321,8 @@ class Model:
             p = self.p_word(self.follow[k], self.mass.get(k, 0), s, p, weight)
         if word not in self.own:
             return p
-        q = p * 0.05
-        for k, weight in ((shape(last), 20), (last, 5)):
+        q = p * self.share.get(word, 0.05)
+        for k, weight in ((shape(last), 20), (last, 60)):
             q = self.p_word(self.follow[k], self.mass.get(k, 0), word, q, weight)
         return q
 
