@@ -40,35 +40,35 @@ def label_retrieval(spark, d):
     return ranking_metrics(joined, "query", "rank", "relevant", 10)
 
 
-def _queries(g):
-    return g.cases().where(F.col("docket_id") % EVERY == 0).select(F.col("docket_id").alias("query"))
+def _queries(g, every=EVERY):
+    return g.cases().where(F.col("docket_id") % every == 0).select(F.col("docket_id").alias("query"))
 
 
-def same_statute(spark, d):
+def same_statute(spark, d, every=EVERY):
     g = CaseGraph(spark, d)
-    return R.same_attribute(_queries(g), g.charged_under(), "statute", g.cases())
+    return R.same_attribute(_queries(g, every), g.charged_under(), "statute", g.cases())
 
 
-def same_judge(spark, d):
+def same_judge(spark, d, every=EVERY):
     g = CaseGraph(spark, d)
-    return R.same_attribute(_queries(g), g.decided_by(), "judge", g.cases())
+    return R.same_attribute(_queries(g, every), g.decided_by(), "judge", g.cases())
 
 
-def same_court(spark, d):
+def same_court(spark, d, every=EVERY):
     g = CaseGraph(spark, d)
     courts = g.cases().where("court_id <> ''").select("docket_id", "court_id")
-    return R.same_attribute(_queries(g), courts, "court_id", g.cases())
+    return R.same_attribute(_queries(g, every), courts, "court_id", g.cases())
 
 
-def graph_distance(spark, d):
+def graph_distance(spark, d, every=EVERY):
     """The graph's nearest reason for each query case and opinion."""
     g = CaseGraph(spark, d)
-    q, own = _queries(g), g.has_opinion()
+    q, own = _queries(g, every), g.has_opinion()
     starts = own.join(q.withColumnRenamed("query", "docket_id"), "docket_id").select(F.col("docket_id").alias("query"), F.col("opinion_id").alias("start"))
     internal = g.opinions().where("internal").select("opinion_id")
     links = within_two(starts.select("start"), g.cites()).join(starts, "start").groupBy("query", "opinion_id").agg(F.min("distance").alias("distance")).withColumn("reason_rank", F.lit(0))
     parts = [links]
-    for rank, (distance, frame) in enumerate(((3, same_statute(spark, d)), (3, same_judge(spark, d)), (4, same_court(spark, d))), 1):
+    for rank, (distance, frame) in enumerate(((3, same_statute(spark, d, every)), (3, same_judge(spark, d, every)), (4, same_court(spark, d, every))), 1):
         parts.append(frame.join(own, "docket_id").select("query", "opinion_id", F.lit(distance).alias("distance"), F.lit(rank).alias("reason_rank")))
     every = parts[0]
     for p in parts[1:]:
@@ -78,24 +78,24 @@ def graph_distance(spark, d):
     return near.select("query", "opinion_id", F.col("distance").cast("long").alias("distance"), F.col("reason_rank").cast("long").alias("reason_rank"))
 
 
-def _semantic(spark, d, g):
+def _semantic(spark, d, g, every):
     """The 20 nearest opinions of the first opinion, by id, of each query case, without its own."""
     v = _vectors(spark, d)
-    first = g.has_opinion().join(_queries(g).withColumnRenamed("query", "docket_id"), "docket_id").groupBy("docket_id").agg(F.min("opinion_id").alias("key"))
+    first = g.has_opinion().join(_queries(g, every).withColumnRenamed("query", "docket_id"), "docket_id").groupBy("docket_id").agg(F.min("opinion_id").alias("key"))
     hits = R.cosine_topk(v.join(first, "key").select("key", "vector"), v, 20)
     mine = g.has_opinion().select(F.col("docket_id"), F.col("opinion_id").alias("key"))
     found = hits.join(first.select("docket_id", F.col("key").alias("query")), "query").join(mine, ["docket_id", "key"], "left_anti")
     return found.select(F.col("docket_id").alias("query"), F.col("key").alias("opinion_id"), F.col("cosine").alias("semantic"))
 
 
-def fused_rank(spark, d):
+def fused_rank(spark, d, every=EVERY):
     """The ten best precedents of every 50th case: vectors, graph, scores and extractions together."""
     g = CaseGraph(spark, d)
     _, cases, _ = S.reinforce(_edges(spark, d), rounds=5)
     irac = g.valid_runs().select("opinion_id").distinct().withColumn("has_irac", F.lit(True))
     owner = g.has_opinion().groupBy("opinion_id").agg(F.min("docket_id").alias("case_id"))
     facts = owner.join(cases, "case_id", "left").join(irac, "opinion_id", "left").select("opinion_id", F.round("score", 6).alias("score"), "has_irac")
-    out = R.fused(_semantic(spark, d, g), graph_distance(spark, d), facts)
+    out = R.fused(_semantic(spark, d, g, every), graph_distance(spark, d, every), facts)
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
