@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casemill.operators.graph import CaseGraph
@@ -16,6 +17,8 @@ def flat_records(spark, d):
     """The flat record of each docket's last scrape, from a nested docket built of its row and its parties."""
     cases = one_per_key(table(spark, d, "cases"), ["docket_id"], F.desc_nulls_last(utc_stamp("scraped_at")), F.desc_nulls_last("assigned_to_str"), F.desc_nulls_last("case_name"))
     people = table(spark, d, "parties").where("name is not null").select("docket_id", "party_id", "name", "party_type").distinct()
+    # a record lists 200 parties at most
+    people = people.withColumn("i", F.row_number().over(Window.partitionBy("docket_id").orderBy("party_id", "name", F.coalesce("party_type", F.lit(""))))).where("i <= 200")
     one = F.struct("party_id", "name", F.coalesce("party_type", F.lit("")).alias("role"))
     listed = people.groupBy("docket_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["name"].alias("name"), F.array(F.struct(x["role"].alias("name"))).alias("party_types"))).alias("parties"))
     joined = cases.join(listed, "docket_id", "left")
@@ -50,7 +53,7 @@ _J = lambda *p: f"array_to_string(list_filter([{', '.join(p)}], lambda x: x IS N
 ORACLES = {
     "flat_records": BASE
     + rf""", pp AS (SELECT docket_id, string_agg(name, '; ' ORDER BY party_id, name, role) FILTER (contains(role, 'Plaintiff')) AS pl, string_agg(name, '; ' ORDER BY party_id, name, role) FILTER (contains(role, 'Defendant') AND NOT contains(role, 'Plaintiff')) AS de
-      FROM (SELECT DISTINCT docket_id, party_id, name, coalesce(party_type, '') AS role FROM parties WHERE name IS NOT NULL) GROUP BY 1)
+      FROM (SELECT * FROM (SELECT DISTINCT docket_id, party_id, name, coalesce(party_type, '') AS role FROM parties WHERE name IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY docket_id ORDER BY party_id, name, role) <= 200) GROUP BY 1)
     SELECT CAST(c.docket_id AS VARCHAR) AS identifier, coalesce(case_name, '') AS case_title, {_J('trim(assigned_to_str)', 'trim(referred_to_str)')} AS judges, {_J('trim(nature_of_suit)', 'trim(cause)')} AS legal_topic,
       CASE WHEN coalesce(date_terminated, '') <> '' THEN 'Closed' ELSE 'Open' END AS case_status, coalesce({_CODE('idb_disposition', DISPOSITIONS)}, '') AS outcome, coalesce(idb_judgment || ' - ' || {_CODE('idb_judgment', JUDGMENTS)}, '') AS judgment_code,
       {_J("'Disposition: ' || " + _CODE('idb_disposition', DISPOSITIONS), "'Judgment for: ' || " + _CODE('idb_judgment', JUDGMENTS), "CASE WHEN idb_procedural_progress <> 0 THEN 'Procedural progress: ' || idb_procedural_progress END")} AS final_judgment_details,

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from casemill.operators import profile as Pr
+from casemill.operators.extractions import latest_valid
 from casemill.operators.records import one_per_key, to_do, upsert
 from casemill.plans.durable import shared_dir
-from casemill.sources.landed import filings, manifest, split_fields
+from casemill.sources.landed import manifest, zipped
 from casemill.streaming.ingest import KeyedTable, ingest
 from casemill.tables import table, utc_stamp
 
@@ -21,7 +22,7 @@ def resume_todo(spark, d):
 
 
 def upsert_replace(spark, d):
-    """Last order of each customer over a table that has the first ones."""
+    """The last open order of each customer over a table that has their first filled ones."""
     return _upserted(spark, d, "replace")
 
 
@@ -30,9 +31,9 @@ def upsert_ignore(spark, d):
 
 
 def _upserted(spark, d, policy):
-    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    current = one_per_key(orders.where("o_custkey % 2 = 0"), ["o_custkey"], F.asc("o_orderkey"))
-    return upsert(current, orders.where("o_custkey % 3 = 0"), ["o_custkey"], "o_orderkey", policy)
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")
+    current = one_per_key(orders.where("o_orderstatus = 'F'"), ["o_custkey"], F.asc("o_orderkey"))
+    return upsert(current, orders.where("o_orderstatus = 'O'"), ["o_custkey"], "o_orderkey", policy).drop("o_orderstatus")
 
 
 def latest_scrape(spark, d):
@@ -84,18 +85,10 @@ def schema_profile(spark, d):
     return Pr.json_profile(rows, "extraction").groupBy("field").agg(F.sum("n").alias("n"))
 
 
-def party_lists(spark, d):
-    """The names of each docket's parties as one text and, from there, as an array again."""
-    rows = table(spark, d, "parties").where("name is not null").select("docket_id", "party_id", F.trim(F.col("name")).alias("name")).distinct()
-    joined = rows.groupBy("docket_id").agg(Pr.joined_distinct(F.transform(F.sort_array(F.collect_list(F.struct("party_id", "name"))), lambda x: x["name"])).alias("names"))
-    return split_fields(joined, ["names"]).select("docket_id", F.size("names").cast("long").alias("n_names"))
-
-
-def edgar_zip_filings(spark, d):
-    """Parallel arrays zipped to rows, here of one customer's orders."""
-    first = table(spark, d, "orders").where("o_custkey = 1").orderBy("o_orderkey")
-    arrays = first.agg(*[F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", c))), lambda x: x[c]).alias(a) for a, c in (("form", "o_orderstatus"), ("accessionNumber", "o_orderpriority"), ("filingDate", "o_orderdate"), ("primaryDocument", "o_totalprice"))])
-    return filings(arrays, ["F", "O"]).select(F.col("n").cast("long").alias("n"), "form", "accessionNumber", F.col("primaryDocument").alias("total"))
+def zip_arrays(spark, d):
+    """Parallel arrays of each extraction as rows, the first ten of each."""
+    x = latest_valid(table(spark, d, "irac_extractions")).select("id", F.col("x.statutes_cited").alias("statute"), F.col("x.precedents_cited").alias("precedent"))
+    return zipped(x, "id", ["statute", "precedent"], 10).withColumn("n", F.col("n").cast("long"))
 
 
 def file_manifest(spark, d):
@@ -133,17 +126,17 @@ def stream_ingest(spark, d):
     return target.read()
 
 
-QUERIES = {f.__name__: f for f in (resume_todo, upsert_replace, upsert_ignore, latest_scrape, first_opinion_per_docket, case_fill_rates, density_median, density_bins, density_by_status, value_counts, fjc_decode, role_route, schema_profile, party_lists, edgar_zip_filings, file_manifest, doc_types, pricing_summary, region_revenue, stream_ingest)}
+QUERIES = {f.__name__: f for f in (resume_todo, upsert_replace, upsert_ignore, latest_scrape, first_opinion_per_docket, case_fill_rates, density_median, density_bins, density_by_status, value_counts, fjc_decode, role_route, schema_profile, zip_arrays, file_manifest, doc_types, pricing_summary, region_revenue, stream_ingest)}
 
 _STAMP = "try_cast(rtrim(replace(trim(scraped_at), 'T', ' '), 'Z') AS TIMESTAMP)"
 _CASES = "docket_id case_name docket_number pacer_case_id slug absolute_url court_id cause nature_of_suit jurisdiction_type date_filed date_terminated date_last_filing assigned_to_str referred_to_str jury_demand idb_disposition idb_judgment idb_procedural_progress idb_nature_of_suit idb_monetary_demand idb_pro_se idb_class_action idb_origin idb_jury_demand has_opinions scrape_status scraped_at".split()
 _DENSE = "d AS (SELECT scrape_status, " + " + ".join(f"CASE WHEN trim(CAST({c} AS VARCHAR)) <> '' THEN 1 ELSE 0 END" for c in _CASES) + " AS density FROM cases)"
 _DECODE = lambda c, names: f"CASE WHEN {c} IS NULL THEN NULL " + " ".join(f"WHEN {c} = {k} THEN '{v}'" for k, v in names.items()) + f" ELSE 'Code ' || {c} END"
-_UP = "f AS (SELECT o_custkey, min_by(o_orderkey, o_orderkey) AS o_orderkey, min_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1)"
+_UP = "f AS (SELECT o_custkey, min_by(o_orderkey, o_orderkey) AS o_orderkey, min_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)"
 ORACLES = {
     "resume_todo": "SELECT DISTINCT docket_id FROM cases WHERE docket_id NOT IN (SELECT docket_id FROM cases WHERE scrape_status = 'done')",
-    "upsert_replace": f"WITH {_UP}, b AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey, max_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1) SELECT * FROM f WHERE o_custkey NOT IN (SELECT o_custkey FROM b) UNION ALL SELECT * FROM b",
-    "upsert_ignore": f"WITH {_UP}, b AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey, min_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1) SELECT * FROM f UNION ALL SELECT * FROM b WHERE o_custkey NOT IN (SELECT o_custkey FROM f)",
+    "upsert_replace": f"WITH {_UP}, b AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey, max_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT * FROM f WHERE o_custkey NOT IN (SELECT o_custkey FROM b) UNION ALL SELECT * FROM b",
+    "upsert_ignore": f"WITH {_UP}, b AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey, min_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT * FROM f UNION ALL SELECT * FROM b WHERE o_custkey NOT IN (SELECT o_custkey FROM f)",
     "latest_scrape": f"SELECT docket_id, case_name, scraped_at FROM cases QUALIFY row_number() OVER (PARTITION BY docket_id ORDER BY {_STAMP} DESC NULLS LAST, assigned_to_str DESC NULLS LAST, case_name DESC NULLS LAST) = 1",
     "first_opinion_per_docket": "SELECT docket_id, min(opinion_id) AS opinion_id FROM opinions GROUP BY 1",
     "case_fill_rates": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count_if(trim(CAST({c} AS VARCHAR)) <> '') AS n_filled, count(*) AS n, round(count_if(trim(CAST({c} AS VARCHAR)) <> '') / count(*), 6) AS rate FROM cases" for c in _CASES),
@@ -154,8 +147,9 @@ ORACLES = {
     "fjc_decode": f"SELECT {_DECODE('idb_disposition', Pr.DISPOSITIONS)} AS disposition, {_DECODE('idb_judgment', Pr.JUDGMENTS)} AS judgment, CASE WHEN coalesce(date_terminated, '') <> '' THEN 'closed' ELSE 'open' END AS case_status, count(*) AS n FROM cases GROUP BY ALL",
     "role_route": "SELECT CASE WHEN contains(party_type, 'Plaintiff') THEN 'plaintiff' WHEN contains(party_type, 'Defendant') THEN 'defendant' WHEN contains(party_type, 'Relief') THEN 'relief' ELSE 'other' END AS role, count(*) AS n, count(DISTINCT docket_id) AS n_dockets FROM (SELECT DISTINCT docket_id, party_id, party_type FROM parties) GROUP BY 1",
     "schema_profile": "WITH r AS (SELECT DISTINCT id, extraction FROM irac_extractions WHERE json_valid(extraction)) SELECT field, count(*) AS n FROM (SELECT unnest(json_keys(CAST(extraction AS JSON))) AS field FROM r) GROUP BY 1",
-    "party_lists": "SELECT docket_id, count(DISTINCT trim(name)) FILTER (trim(name) <> '') AS n_names FROM parties WHERE name IS NOT NULL GROUP BY 1",
-    "edgar_zip_filings": "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS n, o_orderstatus AS form, o_orderpriority AS accessionNumber, o_totalprice AS total FROM orders WHERE o_custkey = 1) SELECT * FROM o WHERE form IN ('F', 'O') ORDER BY n LIMIT 10",
+    "zip_arrays": """WITH v AS (SELECT *, row_number() OVER (PARTITION BY opinion_id ORDER BY try_cast(rtrim(replace(trim(created_at), 'T', ' '), 'Z') AS TIMESTAMP) DESC NULLS LAST, id DESC) AS rn FROM (SELECT DISTINCT id, opinion_id, extraction, created_at FROM irac_extractions WHERE is_valid = 1 AND json_valid(extraction))),
+      a AS (SELECT id, CAST(CAST(extraction AS JSON)->'$.statutes_cited' AS VARCHAR[]) AS s, CAST(CAST(extraction AS JSON)->'$.precedents_cited' AS VARCHAR[]) AS p FROM v WHERE rn = 1)
+      SELECT id, n, s[n + 1] AS statute, p[n + 1] AS precedent FROM (SELECT *, unnest(range(0, greatest(coalesce(len(s), 0), coalesce(len(p), 0)))) AS n FROM a) WHERE n < 10""",
     "file_manifest": r"SELECT lower(regexp_extract(download_url, '\.([A-Za-z0-9]+)$', 1)) AS extension, count(*) AS n FROM (SELECT DISTINCT download_url FROM opinions WHERE download_url IS NOT NULL) GROUP BY 1",
     "doc_types": "SELECT lower(trim(source)) AS source, count(*) AS n, count_if(coalesce(text, '') <> '') AS n_text, coalesce(min(n_chars), 0) AS least, coalesce(max(n_chars), 0) AS most FROM documents GROUP BY 1",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.functions.text import extension, first_text, squeeze
@@ -63,9 +63,18 @@ def filings(submissions: DataFrame, forms: list[str], most: int = 10) -> DataFra
     return zipped.where(F.col("form").isin(forms)).orderBy("n").limit(most)
 
 
-def manifest(files: DataFrame, column: str = "name") -> DataFrame:
-    """(extension, n, first 20 names) of a list of files."""
-    return files.groupBy(extension(column).alias("extension")).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(column)), 1, 20).alias("names"))
+def zipped(df: DataFrame, key: str, arrays: list[str], most: int | None = None) -> DataFrame:
+    """(key, n, one column per array): parallel arrays as rows, position from 0; shorter arrays end in nulls."""
+    rows = df.select(key, F.posexplode(F.arrays_zip(*arrays)).alias("n", "z")).select(key, "n", "z.*")
+    return rows.where(F.col("n") < most) if most else rows
+
+
+def manifest(files: DataFrame, column: str = "name", most: int = 20) -> DataFrame:
+    """(extension, n, names): how many files have an extension, and the first ``most`` of their names."""
+    rows = files.select(extension(column).alias("extension"), F.col(column).alias("name"))
+    w = Window.partitionBy("extension").orderBy("name")
+    first = rows.withColumn("i", F.row_number().over(w)).where(F.col("i") <= most).groupBy("extension").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return rows.groupBy("extension").agg(F.count("*").alias("n")).join(first, "extension")
 
 
 def trimmed_csv(spark: SparkSession, path: str) -> DataFrame:

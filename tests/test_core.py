@@ -318,3 +318,13 @@ def test_flat_record_of_a_nested_docket(spark):
     hits = spark.createDataFrame([("q", 2, "b"), ("q", 1, "a"), ("p", 1, "c")], "query string, position int, name string")
     assert rows(Dk.best_hit(hits.where("query = 'q'"), hits).select("query", "name")) == [("p", "c"), ("q", "a")]
     assert rows(Dk.inventory(spark.range(2).toDF("docket_id"), {"e": spark.createDataFrame([(1, "x", " ")], "docket_id long, a string, b string")})) == [(0, "e", "empty", 0, []), (1, "e", "ok", 1, ["a"])]
+
+
+def test_zipped_arrays_and_manifests(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], ["x"]), (2, [], []), (3, None, ["y"])], "k int, p array<string>, q array<string>")
+    assert rows(landed.zipped(df, "k", ["p", "q"])) == [(1, 0, "a", "x"), (1, 1, "b", None)]
+    assert landed.zipped(df, "k", ["p", "q"], 1).count() == 1
+    files = spark.createDataFrame([("b.pdf",), ("a.PDF",), ("c",)], "name string")
+    assert rows(landed.manifest(files, most=1)) == [("", 1, ["c"]), ("pdf", 2, ["a.PDF"])]
+    arrays = spark.createDataFrame([(["8-K", "10-K", "X"], ["1", "2", "3"], ["d", "d", "d"], ["p", "q", "r"])], "form array<string>, accessionNumber array<string>, filingDate array<string>, primaryDocument array<string>")
+    assert [r["accessionNumber"] for r in landed.filings(arrays, ["10-K", "8-K"], 1).collect()] == ["1"]
