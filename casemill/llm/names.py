@@ -275,6 +275,21 @@ def _read(names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["org", "head", "second", "third", "given", "middle", "kind", "form", "n_core"]).astype({"n_core": "Int32"})
 
 
+def followed(words: DataFrame, least: int, max_edits: int) -> DataFrame:
+    """(tag, word, lead): words of at least ``least`` letters beside which one within ``max_edits`` is used far more.
+
+    words: tag, word, n. A rare spelling follows a neighbour used four times as often or more; of spellings used once or
+    twice the lesser follows the greater, by use and then by the text.
+    """
+    counts = durable(words.where(F.length("word") >= least).groupBy("tag", "word").agg(F.sum("n").alias("n")), "counts")
+    here, there = counts.toDF("tag", "word", "n"), counts.toDF("tag", "near", "n_near")
+    lead = (F.col("n") * 4 <= F.col("n_near")) | ((F.col("n") <= 2) & (F.col("n_near") <= 2)) | ((F.col("n") <= 2) & (F.col("n_near") > F.col("n")))
+    ahead = F.struct("n_near", "near") > F.struct("n", "word")
+    pairs = trie_join(counts.select("word"), max_edits).join(here, "word").join(there, ["tag", "near"]).where(lead & ahead)
+    best = pairs.groupBy("tag", "word").agg(F.max(F.struct("n_near", "near")).alias("m"))
+    return durable(best.select("tag", "word", F.col("m.near").alias("lead")), "follow")
+
+
 def entities(names: DataFrame, max_edits: int = 1) -> DataFrame:
     """(name, entity) of the distinct spellings of a one-column frame, for those that denote anybody.
 
@@ -301,16 +316,12 @@ def entities(names: DataFrame, max_edits: int = 1) -> DataFrame:
     )
     person = read.where("not org").select("name", "n", "org", "head", F.lit("").alias("business"), F.lit("").alias("kind"), F.lit("").alias("form"), "given", "middle")
     parts = durable(firm.unionByName(person).withColumn("tag", F.when(F.col("org"), "o").otherwise("p")), "parts")
-    heads = parts.groupBy("tag", "head").agg(F.sum("n").alias("n"))
-    near = trie_join(heads.where(F.length("head") >= 5).select("head"), max_edits)
-    here, there = heads.toDF("tag", "word", "n"), heads.toDF("tag", "near", "n_near")
-    # a rare spelling follows a much more frequent neighbour, equals of one or two uses follow the greater
-    lead = (F.col("n") * 4 <= F.col("n_near")) | ((F.col("n") <= 2) & (F.col("n_near") <= 2)) | ((F.col("n") <= 2) & (F.col("n_near") > F.col("n")))
-    ahead = F.struct("n_near", "near") > F.struct("n", "word")
-    follow = near.join(here, "word").join(there, ["tag", "near"]).where(lead & ahead).groupBy("tag", "word").agg(F.max(F.struct("n_near", "near")).alias("m"))
-    follow = durable(follow.select("tag", F.col("word").alias("head"), F.col("m.near").alias("lead")), "follow")
+    follow = followed(parts.select("tag", F.col("head").alias("word"), "n"), 5, max_edits).toDF("tag", "head", "lead")
     onward = follow.toDF("tag", "lead", "next")
     family = follow.join(onward, ["tag", "lead"], "left").select("tag", "head", F.coalesce("next", "lead").alias("family"))
+    # a misspelt given name is read as the far more frequent one beside it, a listed one as itself
+    given = followed(parts.where("length(given) > 3").select("tag", F.col("given").alias("word"), "n"), 4, max_edits).toDF("tag", "given", "meant").where(~F.col("given").isin(sorted({*NICKNAMES, *_FULL})))
+    parts = parts.join(given, ["tag", "given"], "left").withColumn("given", F.coalesce("meant", "given")).drop("meant")
     placed = parts.join(family, ["tag", "head"], "left").withColumn("family", F.coalesce("family", "head"))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
