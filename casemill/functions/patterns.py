@@ -65,16 +65,20 @@ def first_class(c, classes: list[tuple[str, list[str]]], otherwise: str) -> Colu
     return chosen
 
 
-def first_hit(c, patterns: list[tuple[str, str, float]]) -> Column:
-    """struct(name, confidence, matched) of the first pattern in list order; null if none occurs. matched: 30 characters around, at most 200."""
+def first_hit(c, patterns: list[tuple[str, str, float]], with_text: bool = True) -> Column:
+    """struct(name, confidence, matched) of the first pattern in list order; null if none occurs.
+
+    matched: the hit with 30 characters around, at most 200 in all; left out, with its cost, unless ``with_text``.
+    """
     c = _c(c)
     hit = F.lit(None)
     for name, p, confidence in reversed(patterns):
-        at = F.regexp_instr(c, F.lit(p))
-        size = F.length(F.regexp_substr(c, F.lit(p)))
-        start = F.greatest(at - 30, F.lit(1))
-        around = F.substring(F.trim(F.substring(c, start, at + size + 30 - start)), 1, 200)
-        hit = F.when(c.rlike(p), F.struct(F.lit(name).alias("name"), F.lit(confidence).alias("confidence"), around.alias("matched"))).otherwise(hit)
+        fields = [F.lit(name).alias("name"), F.lit(confidence).alias("confidence")]
+        if with_text:
+            at, size = F.regexp_instr(c, F.lit(p)), F.length(F.regexp_substr(c, F.lit(p)))
+            start = F.greatest(at - 30, F.lit(1))
+            fields.append(F.substring(F.trim(F.substring(c, start, at + size + 30 - start)), 1, 200).alias("matched"))
+        hit = F.when(c.rlike(p), F.struct(*fields)).otherwise(hit)
     return hit
 
 
@@ -92,7 +96,7 @@ def outcome(c, tail_chars: int = 2000) -> Column:
         return F.struct(F.lit(label).alias("label"), F.lit(source).alias("source"), confidence.cast("double").alias("confidence"), pattern.alias("pattern"))
 
     def one_pass(text, source, factor, both, pattern_both, both_source):
-        mixed, d, p = first_hit(text, MIXED), first_hit(text, DEFENDANT), first_hit(text, PLAINTIFF)
+        mixed, d, p = (first_hit(text, patterns, False) for patterns in (MIXED, DEFENDANT, PLAINTIFF))
         scaled = lambda x: F.round(x * factor, 4)
         return (
             F.when(mixed.isNotNull(), row("MIXED", source, scaled(mixed["confidence"]), mixed["name"]))
