@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="casemill-")
+    folder = tempfile.mkdtemp(prefix="casemill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
@@ -25,7 +29,8 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
     Cuts the lineage like checkpoint(), survives the loss of executors, and is columnar: later readers prune
-    columns, and the statistics of the written files let the planner size joins.
+    columns, and the statistics of the written files let the planner size joins. The table stays until the shared
+    folder is cleared, as later plans may read it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/casemill/{name}-{uuid.uuid4().hex}"
