@@ -24,6 +24,11 @@ from casemill.plans.durable import durable
 SAMPLE = 600
 #: share of all words from which a word is in the lexicon, which bounds its size
 SHARE = 1e-6
+#: counts of the lexicon are uses in so many words of the corpus, so that they mean the same at every size
+REFERENCE = 1_700_000
+#: uses in REFERENCE words: of a part that isn't half of a word broken there, of a word that only the lexicon may
+#: correct, of a word whose break shows a page
+FREQUENT, FAMILIAR, KNOWN = 200, 50, 5
 # What scanners read -> what was printed.
 MISREADINGS = [("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("1", "i"), ("1", "l"), ("l", "i"), ("i", "l"), ("0", "o"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("q", "g"), ("ri", "n"), ("ii", "u"), ("ii", "n"), ("cl", "d"), ("d", "cl"), ("rn", "m"), ("m", "rn"), ("li", "h"), ("h", "li"), ("h", "b"), ("b", "h"), ("vv", "w"), ("w", "vv"), ("u", "n"), ("n", "u"), ("n", "ri"), ("u", "ii"), ("o", "c"), ("y", "v"), ("|", "l"), ("tl", "d"), ("nn", "m"), ("m", "nn"), ("lc", "k")]
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -300,7 +305,7 @@ def best_edit(p: Perceptron, word: str, n: float, count) -> tuple[str, int] | No
     return chosen
 
 
-def train_words(lexicon: dict[str, int], amount: int = 12_000, seed: int = 3) -> Perceptron:
+def train_words(lexicon: dict[str, float], amount: int = 12_000, seed: int = 3) -> Perceptron:
     """Trained on words of the lexicon, half of them with one misreading applied as a scanner would."""
     rng, p = random.Random(seed), Perceptron()
     words = sorted(w for w, n in lexicon.items() if w.isalpha() and len(w) > 2)
@@ -335,7 +340,7 @@ def train_words(lexicon: dict[str, int], amount: int = 12_000, seed: int = 3) ->
 
 
 class Repairer:
-    def __init__(self, lexicon: dict[str, int], common: dict[str, tuple[int, int]], lines: Perceptron, words: Perceptron):
+    def __init__(self, lexicon: dict[str, float], common: dict[str, tuple[int, int]], lines: Perceptron, words: Perceptron):
         self.lexicon, self.common, self.lines, self.words = dict(lexicon), common, lines, words
         for w, n in lexicon.items():
             if "-" in w:  # the parts of compounds are words too
@@ -353,7 +358,7 @@ class Repairer:
     def edit(self, word: str, local: Counter) -> tuple[str, int] | None:
         """As global_edit, and for words that the lexicon lacks, words of the same text."""
         found = self.global_edit(word)
-        if found or self.lexicon.get(word, 0) > 50:
+        if found or self.lexicon.get(word, 0) > FAMILIAR:
             return found
         mine = local[word]
         best = None
@@ -381,12 +386,12 @@ class Repairer:
         if (fix := self.global_edit(whole)) and count(fix[0]):
             return True
         x, y = a.rpartition("-")[2], tail
-        return not (count(x) > 200 and count(y) > 200 and len(x) > 2 and len(y) > 2)
+        return not (self.lexicon.get(x, 0) > FREQUENT and self.lexicon.get(y, 0) > FREQUENT and len(x) > 2 and len(y) > 2)
 
     def _words_broken(self, lines: list[str], broken: list[int]) -> int:
         """Line ends that break a word of the lexicon, which nothing but a page does."""
         parts = [(re.search(r"[A-Za-z]+-$", lines[k].rstrip()), re.match(r"\s*([a-z]+)", lines[k + 1])) for k in broken if k + 1 < len(lines)]
-        return sum(1 for a, b in parts if a and b and self.lexicon.get((a[0][:-1] + b[1]).lower(), 0) >= 5)
+        return sum(1 for a, b in parts if a and b and self.lexicon.get((a[0][:-1] + b[1]).lower(), 0) >= KNOWN)
 
     @property
     def prefixes(self) -> dict[str, int]:
@@ -450,7 +455,7 @@ class Repairer:
                 words = words[1:]
             for w in words:
                 low = w.lower()
-                if low in self.memo and self.memo[low] is None and common.get(low, 0) > 50:
+                if low in self.memo and self.memo[low] is None and common.get(low, 0) > FAMILIAR:
                     continue
                 for part in re.split(r"[-'’]", low) if not low.isalnum() else (low,):
                     if len(part) > 2 and (fix := self.edit(part, local)):
@@ -509,7 +514,7 @@ def fit(texts: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Repaire
     sizes = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     least = {"w": max(3, share * sizes.get("w", 0)), "b": max(3, 1e-4 * sizes.get("b", 0))}
     kept = counted.where(((F.col("kind") == "w") & (F.col("n") >= least["w"])) | ((F.col("kind") != "w") & (F.col("n") >= least["b"]))).collect()  # at most 1 / share and 10,000 rows
-    lexicon = {r["what"]: r["n"] for r in kept if r["kind"] == "w"}
+    lexicon = {r["what"]: r["n"] * REFERENCE / sizes["w"] for r in kept if r["kind"] == "w"}
     again = {r["what"]: r["n"] for r in kept if r["kind"] == "r"}
     common = {r["what"]: (r["n"], again.get(r["what"], 0)) for r in kept if r["kind"] == "b"}
     # the sample's hashes first, so that no task sends texts that others outbid; equal texts count once

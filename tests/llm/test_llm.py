@@ -309,6 +309,20 @@ def test_repaired_text_is_continuous(spark):
     assert "Document 9" not in text and "- 2 -" not in text and "\n\nA new paragraph" in text
 
 
+def test_labels_of_words_are_the_same_at_every_size(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abdghkmnoprstuvwz", k=rng.randint(5, 9))) for _ in range(150)]
+    lines = [" ".join(rng.choices(words, range(150, 0, -1), k=9)) for _ in range(400)]
+    page = "\n".join(f"   Case 1:20-cv-7 Document 9 Filed 01/02/20 Page {p} of 4\n\n{words[40 + p]}\n{words[50]}-\n{words[60]} {words[70]}\n\n        - {p} -\n\f" for p in range(1, 5))
+    found = []
+    for times in (1, 50):
+        df = spark.createDataFrame([("\n".join(lines),)] * times + [(page,)], "text string")
+        repairer = O.fit(df)
+        found.append((repairer.read(page)[0], repairer.join(words[50], words[60], Counter()), repairer.edit("xq" + words[3], Counter())))
+        assert abs(repairer.lexicon[words[0]] - O.REFERENCE * sum(x.split().count(words[0]) for x in lines) / 3600) < 0.05 * repairer.lexicon[words[0]]
+    assert found[0] == found[1]
+
+
 def test_unbroken_drops_both_halves():
     assert O.unbroken("one two-\nthree four").split() == ["one", "four"]
     assert O.unbroken("plain text") == "plain text"
