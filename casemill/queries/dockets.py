@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casemill.operators.graph import CaseGraph
@@ -17,8 +16,6 @@ def flat_records(spark, d):
     """The flat record of each docket's last scrape, from a nested docket built of its row and its parties."""
     cases = one_per_key(table(spark, d, "cases"), ["docket_id"], F.desc_nulls_last(utc_stamp("scraped_at")), F.desc_nulls_last("assigned_to_str"), F.desc_nulls_last("case_name"))
     people = table(spark, d, "parties").where("name is not null").select("docket_id", "party_id", "name", "party_type").distinct()
-    # a record lists 200 parties at most
-    people = people.withColumn("i", F.row_number().over(Window.partitionBy("docket_id").orderBy("party_id", "name", F.coalesce("party_type", F.lit(""))))).where("i <= 200")
     one = F.struct("party_id", "name", F.coalesce("party_type", F.lit("")).alias("role"))
     listed = people.groupBy("docket_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["name"].alias("name"), F.array(F.struct(x["role"].alias("name"))).alias("party_types"))).alias("parties"))
     joined = cases.join(listed, "docket_id", "left")

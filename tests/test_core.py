@@ -320,6 +320,23 @@ def test_flat_record_of_a_nested_docket(spark):
     assert rows(Dk.inventory(spark.range(2).toDF("docket_id"), {"e": spark.createDataFrame([(1, "x", " ")], "docket_id long, a string, b string")})) == [(0, "e", "empty", 0, []), (1, "e", "ok", 1, ["a"])]
 
 
+def test_flat_records_name_every_party(spark, tmp_path):
+    import hashlib
+
+    from casemill.queries.dockets import flat_records
+
+    sf = "/root/testdata/sf0.001"
+    cases = spark.read.parquet(f"{sf}/cases.parquet")
+    docket = cases.select("docket_id").where("docket_id is not null").first()[0]
+    people = spark.read.parquet(f"{sf}/parties.parquet").limit(1)
+    many = people.drop("docket_id", "party_id", "name", "party_type").crossJoin(spark.range(450).select(F.lit(docket).alias("docket_id"), F.col("id").alias("party_id"), F.format_string("P%d", "id").alias("name"), F.when(F.col("id") % 2 == 0, "Plaintiff").otherwise("Defendant").alias("party_type")))
+    cases.write.parquet(f"{tmp_path}/cases.parquet")
+    many.select(*people.columns).write.parquet(f"{tmp_path}/parties.parquet")
+    r = flat_records(spark, str(tmp_path)).where(F.col("identifier") == str(docket)).first()
+    names = lambda k: hashlib.sha256("; ".join(f"P{i}" for i in range(k, 450, 2)).encode()).hexdigest()
+    assert (r["petitioner"], r["respondent"]) == (names(0), names(1))
+
+
 def test_zipped_arrays_and_manifests(spark):
     df = spark.createDataFrame([(1, ["a", "b"], ["x"]), (2, [], []), (3, None, ["y"])], "k int, p array<string>, q array<string>")
     assert rows(landed.zipped(df, "k", ["p", "q"])) == [(1, 0, "a", "x"), (1, 1, "b", None)]
