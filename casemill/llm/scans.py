@@ -26,9 +26,8 @@ SAMPLE = 600
 SHARE = 1e-6
 #: counts of the lexicon are uses in so many words of the corpus, so that they mean the same at every size
 REFERENCE = 1_700_000
-#: uses in REFERENCE words: of a part that isn't half of a word broken there, of a word that only the lexicon may
-#: correct, of a word whose break shows a page
-FREQUENT, FAMILIAR, KNOWN = 200, 50, 5
+#: uses in REFERENCE words: of a word that only the lexicon may correct, of a word whose break shows a page
+FAMILIAR, KNOWN = 50, 5
 # What scanners read -> what was printed.
 MISREADINGS = [("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("1", "i"), ("1", "l"), ("l", "i"), ("i", "l"), ("0", "o"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("q", "g"), ("ri", "n"), ("ii", "u"), ("ii", "n"), ("cl", "d"), ("d", "cl"), ("rn", "m"), ("m", "rn"), ("li", "h"), ("h", "li"), ("h", "b"), ("b", "h"), ("vv", "w"), ("w", "vv"), ("u", "n"), ("n", "u"), ("n", "ri"), ("u", "ii"), ("o", "c"), ("y", "v"), ("|", "l"), ("tl", "d"), ("nn", "m"), ("m", "nn"), ("lc", "k")]
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -291,6 +290,15 @@ def keep_features(word: str, n: float) -> list[tuple[str, str]]:
     return [("keep", "keep"), (f"counts:{min(_rate(n), 14)}", "keep"), (f"strange:{strange}", "keep"), (f"len:{min(len(word), 8)}", "keep")]
 
 
+def join_features(joined: float, kept: float, x: float, y: float, len_x: int, len_y: int, fixed: bool) -> list[str]:
+    """Features of a line-join; joined, kept, x, y: counts of the word, of the compound and of the two parts."""
+    if joined > 1e-9 or kept > 1e-9:
+        sign = "even" if joined == kept else "joined" if joined > kept else "kept"
+        return [f"join:{sign}", f"join:{sign}:{max(-3, min(3, _rate(joined) - _rate(kept)))}"]
+    low = min(x, y)
+    return ["join:unseen", f"join:fixed:{fixed}", f"join:low:{min(_rate(low), 10)}", f"join:parts:{min(_rate(x), 10) // 3}:{min(_rate(y), 10) // 3}", f"join:short:{min(len_x, 4)}:{min(len_y, 4)}"]
+
+
 def _score(p: Perceptron, features: list[tuple[str, str]]) -> float:
     return sum(p.w.get(f, {}).get(c, 0.0) for f, c in features)
 
@@ -336,6 +344,34 @@ def train_words(lexicon: dict[str, float], amount: int = 12_000, seed: int = 3)
     return p
 
 
+def train_joins(repairer: Repairer, amount: int = 4_000, seed: int = 3) -> None:
+    """Adds line-join to the word perceptron: words of the lexicon broken anywhere, compounds at a hyphen.
+
+    Half of them count as if the corpus had them nowhere else, as most words do that the lexicon lacks. The weights
+    begin at the verdict of the counts.
+    """
+    rng, p, lexicon = random.Random(seed), Perceptron(), repairer.lexicon
+    p.w = {"join:joined": {"join": 1.0}, "join:even": {"join": 1.0}, "join:kept": {"hyphen": 1.0}}
+    whole = sorted(w for w in lexicon if w.isalpha() and len(w) > 4)
+    compounds = sorted(w for w in lexicon if w.count("-") == 1 and all(len(x) > 1 and x.isalpha() for x in w.split("-")))
+    pool = whole + compounds
+    for word in rng.choices(pool, [math.sqrt(lexicon[w]) for w in pool], k=amount) if pool else ():
+        hidden = lexicon[word] if rng.random() < 0.5 else 0
+        if "-" in word:
+            a, b = word.split("-")
+            features, truth, other = repairer._evidence(a, b, Counter(), less_kept=hidden), "hyphen", "join"
+        else:
+            at = rng.randint(2, len(word) - 2)
+            features, truth, other = repairer._evidence(word[:at], word[at:], Counter(), less_joined=hidden), "join", "hyphen"
+        p.tick()
+        lead = _score(p, [(f, "join") for f in features]) - _score(p, [(f, "hyphen") for f in features])
+        if (lead >= 0) != (truth == "join"):
+            p.update([(f, truth) for f in features], [(f, other) for f in features])
+    p.average()
+    for f, row in p.w.items():
+        repairer.words.w.setdefault(f, {}).update(row)
+
+
 # ---------------------------------------------------------------- texts
 
 
@@ -373,20 +409,25 @@ class Repairer:
             return fixed, next(i for i, c in enumerate(word) if c in "01568|" + BOX)
         return None
 
-    def join(self, first: str, second: str, local: Counter) -> bool:
-        """Line-join: whether the hyphen between the two parts is only there because the line broke."""
+    def _evidence(self, first: str, second: str, local: Counter, less_joined: float = 0, less_kept: float = 0) -> list[str]:
+        """Features of a break, from counts without those of the word or compound that is left out."""
         a, b = first.lower(), second.lower()
-        whole, compound = a + b, a + "-" + b
         count = lambda w: self.lexicon.get(w, 0) + local.get(w, 0)
-        tail = b.split("-")[0]
-        joined = max(count(whole), count(a.rpartition("-")[2] + tail))
-        kept = max(count(compound), *(count(x + "-" + tail) for x in (a, a.rpartition("-")[2])), self.prefixes.get(a.rpartition("-")[2] + "-" + tail, 0))
-        if joined or kept:
-            return joined >= kept
-        if (fix := self.global_edit(whole)) and count(fix[0]):
-            return True
-        x, y = a.rpartition("-")[2], tail
-        return not (self.lexicon.get(x, 0) > FREQUENT and self.lexicon.get(y, 0) > FREQUENT and len(x) > 2 and len(y) > 2)
+        x, tail = a.rpartition("-")[2], b.split("-")[0]
+        joined = max(count(a + b), count(x + tail)) - less_joined
+        kept = max(count(a + "-" + b), *(count(w + "-" + tail) for w in (a, x)), self.prefixes.get(x + "-" + tail, 0)) - less_kept
+        known = lambda w: max(0.0, self.lexicon.get(w, 0) - less_kept)
+        if less_joined:
+            fix = best_edit(self.words, a + b, 0, lambda w: self.lexicon.get(w, 0) if w != a + b else 0)
+        else:
+            fix = self.global_edit(a + b)
+        fixed = bool(fix and count(fix[0]))
+        return join_features(max(0.0, joined), max(0.0, kept), known(x), known(tail), len(x), len(tail), fixed)
+
+    def join(self, first: str, second: str, local: Counter) -> bool:
+        """Line-join: whether the hyphen between the two parts is only there because the line broke."""
+        features = self._evidence(first, second, local)
+        return _score(self.words, [(f, "join") for f in features]) >= _score(self.words, [(f, "hyphen") for f in features])
 
     def _words_broken(self, lines: list[str], broken: list[int]) -> int:
         """Line ends that break a word of the lexicon, which nothing but a page does."""
@@ -521,7 +562,9 @@ def fit(texts: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Repaire
     h = texts.withColumn("h", F.xxhash64("text"))
     chosen = [r["h"] for r in h.select("h").distinct().orderBy("h").limit(sample).collect()]
     drawn = [r["text"] for r in h.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()] if chosen else []
-    return Repairer(lexicon, common, train_lines(drawn, common), train_words(lexicon))
+    repairer = Repairer(lexicon, common, train_lines(drawn, common), train_words(lexicon))
+    train_joins(repairer)
+    return repairer
 
 
 def repair(records: DataFrame, key: str, text: str, with_text: bool = True, repairer: Repairer | None = None) -> DataFrame:

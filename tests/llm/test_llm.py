@@ -323,6 +323,19 @@ def test_labels_of_words_are_the_same_at_every_size(spark):
     assert found[0] == found[1]
 
 
+def test_joins_of_broken_words_are_learned():
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choices("abdghkmnoprstuvwz", k=rng.randint(4, 9))) for _ in range(500)})
+    held, words = words[:100], words[100:]
+    lexicon = dict.fromkeys(words, 60) | {f"{rng.choice(words)}-{rng.choice(words)}": 5 for _ in range(150)}
+    r = O.Repairer(lexicon, {}, O.Perceptron(), O.Perceptron())
+    O.train_joins(r)
+    pairs = [(x, y) for x, y in zip(words, words[7:]) if f"{x}-{y}" not in lexicon]
+    assert sum(not r.join(x, y, Counter()) for x, y in pairs) > 0.9 * len(pairs)
+    assert sum(r.join(w[:2], w[2:], Counter()) for w in held) > 90
+    assert r.join(words[0][:2], words[0][2:], Counter()) and not r.join(*next(w for w in lexicon if "-" in w).split("-"), Counter())
+
+
 def test_unbroken_drops_both_halves():
     assert O.unbroken("one two-\nthree four").split() == ["one", "four"]
     assert O.unbroken("plain text") == "plain text"
