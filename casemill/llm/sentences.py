@@ -11,6 +11,7 @@ Text inside quotation marks and brackets holds no event, blank lines and the end
 
 from __future__ import annotations
 
+import json
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -91,6 +92,14 @@ def shape(word: str) -> str:
     return f"<{lead}{kind}{caps}{size}{inner}{core[len(body):][-3:]}>"
 
 
+#: what stands before a word that an event goes before
+START = "<^>"
+
+
+def context(before: str) -> str:
+    return START if before == START else shape(before)
+
+
 def pairs_of(text: str) -> list[tuple[int, int]]:
     """Outermost matched quotations and brackets as (opener, closer); marks without a partner count for nothing."""
     stack: list[tuple[str, int]] = []
@@ -227,19 +236,31 @@ def certain(last: str, following: str) -> bool | None:
 class Model:
     """Probabilities of the events, from counts of (before, last, following)."""
 
-    def __init__(self, own: set[str], triples: list[tuple[str, str, str, int]], ends: Counter, starts: Counter):
+    def __init__(self, own: set[str], triples: list[tuple[str, str, str, int]], ends: Counter, starts: Counter, linked: list[tuple[str, str, str, int]] = ()):
+        """triples: of places on their own; linked: of places in chains, whose posteriors come to learn()."""
         self.own = own
-        self.triples, self.ends, self.start_seed = triples, ends, starts
+        self.triples, self.ends, self.start_seed = [*triples, *linked], ends, starts
         self.memo: dict = {}
         self.share = self._shares()
         seed = self._seed()
         self._count(seed)
-        for _ in range(ROUNDS):
-            self.memo.clear()
-            # the seed stays half of the evidence, so that a free bigram can't explain every event away
-            self._count([(self.alone(b, a, n) + p) / 2 for (b, a, n, _), p in zip(triples, seed)])
+        self.triples, self.seed = list(triples), seed[: len(triples)]
+        self.seed_of = {(a, n): p for (_, a, n, _), p in zip(linked, seed[len(triples) :])}
+
+    def learn(self, expected: list[tuple[str, str, str, float, float]] = ()) -> None:
+        """A round of expectation maximisation. expected: (left, last, following, places, events) of the chains."""
+        # the seed stays half of the evidence, so that a free bigram can't explain every event away
+        posterior = [(self.alone(b, a, n) + p) / 2 for (b, a, n, _), p in zip(self.triples, self.seed)]
+        posterior += [(e / c + self.seed_of[a, n]) / 2 for _, a, n, c, e in expected]
+        alone, self.triples = self.triples, [*self.triples, *(x[:4] for x in expected)]
+        self._count(posterior)
+        self.triples = alone
         self.memo.clear()
-        del self.triples
+
+    def settle(self) -> None:
+        """Drops what only training needs."""
+        self.memo.clear()
+        del self.triples, self.seed, self.seed_of
 
     def _shares(self) -> dict[str, float]:
         """The share of each word among the following words of its shape."""
@@ -287,7 +308,7 @@ class Model:
             self.start[shape(n)] += c
         total = sum(self.start_seed.values())
         for (b, a, n, c), p in zip(self.triples, posterior):
-            for k in {a, shape(a), "", (shape(b), a)}:
+            for k in {a, shape(a), "", (context(b), a)}:
                 self.after[k] += c
                 self.event[k] += c * p
             total += c * p
@@ -300,7 +321,7 @@ class Model:
 
     def p_event(self, before: str, last: str) -> float:
         p = (self.event[""] + 1) / (self.after[""] + 2)
-        for k, weight in ((shape(last), 20), (last, 5), ((shape(before), last), 20)):
+        for k, weight in ((shape(last), 20), (last, 5), ((context(before), last), 20)):
             p = (self.event[k] + weight * p) / (self.after[k] + weight)
         return min(0.9999, max(1e-4, p))
 
@@ -344,26 +365,44 @@ class Model:
 
     def run(self, places: list[tuple[str, str, str]]) -> list[float]:
         """Posteriors of events of which each one's following word is the next one's last: forward-backward."""
-        places = [(b, self.key(a), self.key(n)) for b, a, n in places]
+        places = [(shape(b), self.key(a), self.key(n)) for b, a, n in places]
         if len(places) == 1:
-            b, a, n = places[0]
-            return [self.alone(shape(b), a, n)]
-        steps = []  # [state before][state]
+            return [self.alone(*places[0])]
+        return [x[0][1] + x[1][1] for x in self.chain(places)]
+
+    def chain(self, places: list[tuple[str, str, str]]) -> list[list[list[float]]]:
+        """Posteriors [state before][state] of each place, whose words are shapes where rare; before the first: no event."""
+        steps = []
         for b, a, n in places:
-            fixed = certain(a, n)
-            rows = []
-            for left in (shape(b), "<^>"):
+            fixed, rows = certain(a, n), []
+            for left in (b, START):
                 e = self.p_event(left, a)
-                no, yes = (1 - e) * self.p_follow(a, n), e * self.p_start(n)
-                rows.append((1.0, 0.0) if fixed is False else (no / (no + yes), yes / (no + yes)))
+                rows.append(((1 - e) * self.p_follow(a, n), 0.0 if fixed is False else e * self.p_start(n)))
             steps.append(rows)
-        forward = [steps[0][0]]
-        for rows in steps[1:]:
-            f = forward[-1]
-            x = [f[0] * rows[0][s] + f[1] * rows[1][s] for s in (0, 1)]
-            forward.append((x[0] / sum(x), x[1] / sum(x)))
-        # the steps are normalised by state, so what lies ahead weighs every state alike
-        return [f[1] for f in forward]
+        forward, backward = [[1.0, 0.0]], [[1.0, 1.0]]
+        for rows in steps:
+            x = [forward[-1][0] * rows[0][s] + forward[-1][1] * rows[1][s] for s in (0, 1)]
+            forward.append([v / sum(x) for v in x])
+        for rows in reversed(steps[1:]):
+            x = [rows[left][0] * backward[-1][0] + rows[left][1] * backward[-1][1] for left in (0, 1)]
+            backward.append([v / sum(x) for v in x])
+        out = []
+        for f, rows, later in zip(forward, steps, reversed(backward)):
+            both = [[f[left] * rows[left][s] * later[s] for s in (0, 1)] for left in (0, 1)]
+            total = sum(map(sum, both))
+            out.append([[v / total for v in row] for row in both])
+        return out
+
+
+def chains_of(places: list[tuple]) -> Iterator[list[tuple]]:
+    """Runs of a block's places of which each one's following word is the next one's last."""
+    i = 0
+    while i < len(places):
+        j = i + 1
+        while j < len(places) and places[j][3] == places[j - 1][4] and places[j][0] - places[j - 1][1] <= len(places[j][3]) + 2:
+            j += 1
+        yield places[i:j]
+        i = j
 
 
 def sentences_of(text: str, models: dict[str, Model]) -> list[tuple[int, int]]:
@@ -385,16 +424,11 @@ def sentences_of(text: str, models: dict[str, Model]) -> list[tuple[int, int]]:
         block = text[begin:end]
         at = begin
         places = candidates_of(block)
-        i = 0
-        while i < len(places):
-            j = i + 1
-            while j < len(places) and places[j][3] == places[j - 1][4] and places[j][0] - places[j - 1][1] <= len(places[j][3]) + 2:
-                j += 1
-            for place, p in zip(places[i:j], model.run([x[2:] for x in places[i:j]])):
+        for linked in chains_of(places):
+            for place, p in zip(linked, model.run([x[2:] for x in linked])):
                 if p >= 0.5:
                     add(at, begin + place[0])
                     at = begin + place[1]
-            i = j
         add(at, end)
     return out
 
@@ -405,14 +439,14 @@ def _last_words(block: str) -> tuple[str, str]:
     return normal(words[0]), normal(last)
 
 
-def _gather(text: str) -> tuple[list[tuple[str, str, str]], list[str], list[str]]:
-    """Places, first words and last words of the blocks of a text."""
+def _gather(text: str) -> tuple[list[list[tuple[str, str, str]]], list[str], list[str]]:
+    """Chains of places, first words and last words of the blocks of a text."""
     places, firsts, lasts = [], [], []
     for begin, end, whole in blocks_of(text):
         if whole:
             continue
         block = text[begin:end].strip()
-        places += [x[2:] for x in candidates_of(block)]
+        places += [[x[2:] for x in linked] for linked in chains_of(candidates_of(block))]
         if regex.match(r"\p{Thai}", block):
             firsts.append(block[:6].partition(" ")[0])
             lasts.append(block[-6:].rpartition(" ")[2])
@@ -426,6 +460,25 @@ def _gather(text: str) -> tuple[list[tuple[str, str, str]], list[str], list[str]
     return places, firsts, lasts
 
 
+def _expected(chains: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """(g, b, a, n, c, e): places of the chains by what stands before, and events among them, as the models expect them."""
+    shared = chains.sparkSession.sparkContext.broadcast(models)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, e = Counter(), Counter()
+        for batch in batches:
+            for g, b, n in zip(batch["g"], batch["b"], batch["c"]):
+                places = [tuple(x) for x in json.loads(b)]
+                for (before, last, following), both in zip(places, shared.value[g].chain(places)):
+                    for left, row in zip((before, START), both):
+                        if sum(row) > 0:
+                            c[g, left, last, following] += n * sum(row)
+                            e[g, left, last, following] += n * row[1]
+        yield pd.DataFrame([(*k, v, e[k]) for k, v in c.items()], columns=["g", "b", "a", "n", "c", "e"])
+
+    return chains.mapInPandas(weigh, "g string, b string, a string, n string, c double, e double").groupBy("g", "b", "a", "n").agg(F.sum("c").alias("c"), F.sum("e").alias("e"))
+
+
 def train(documents: DataFrame, text: str = "text", share: float = OWN_SHARE) -> dict[str, Model]:
     """Models by language, of all documents. Words with counts of their own are at most 1 / share a language."""
     texts = documents.select(F.col(text).alias("t")).where("t is not null")
@@ -436,7 +489,7 @@ def train(documents: DataFrame, text: str = "text", share: float = OWN_SHARE) ->
             for t in batch["t"]:
                 g = language_of(t)
                 places, firsts, lasts = _gather(t)
-                count.update((g, w) for x in places for w in x[1:])
+                count.update((g, w) for linked in places for x in linked for w in x[1:])
                 count.update((g, w) for w in firsts)
                 count.update((g, w) for w in lasts)
             if len(count) > 200_000:
@@ -460,23 +513,37 @@ def train(documents: DataFrame, text: str = "text", share: float = OWN_SHARE) ->
                 known = shared.value.get(g, ())
                 key = lambda w: w if w in known else shape(w)  # noqa: B023, E731
                 places, firsts, lasts = _gather(t)
-                count.update((g, "t", shape(b), key(a), key(n)) for b, a, n in places)
+                for linked in places:
+                    linked = [(shape(b), key(a), key(n)) for b, a, n in linked]
+                    count.update((g, "u" if len(linked) > 1 else "t", *x) for x in linked)
+                    if len(linked) > 1:
+                        count[g, "c", json.dumps(linked), "", ""] += 1
                 count.update((g, "s", "", "", key(w)) for w in firsts)
                 count.update((g, "e", "", key(w), "") for w in lasts)
         yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["g", "kind", "b", "a", "n", "c"])
 
-    # all words are own words or shapes here, so the rows are bounded too
-    rows = texts.mapInPandas(triples, "g string, kind string, b string, a string, n string, c long").groupBy("g", "kind", "b", "a", "n").agg(F.sum("c").alias("c")).collect()
-    parts: dict[str, tuple] = defaultdict(lambda: ([], Counter(), Counter()))
-    for r in rows:
-        found, ends, starts = parts[r["g"]]
+    kinds = durable(texts.mapInPandas(triples, "g string, kind string, b string, a string, n string, c long").groupBy("g", "kind", "b", "a", "n").agg(F.sum("c").alias("c")), "places")
+    # all words are own words or shapes here, so the rows are bounded too; chains have no bound and stay where they are
+    parts: dict[str, tuple] = defaultdict(lambda: ([], Counter(), Counter(), []))
+    for r in kinds.where("kind <> 'c'").collect():
+        found, ends, starts, linked = parts[r["g"]]
         if r["kind"] == "e":
             ends[r["a"]] += r["c"]
         elif r["kind"] == "s":
             starts[r["n"]] += r["c"]
         else:
-            found.append((r["b"], r["a"], r["n"], r["c"]))
+            (linked if r["kind"] == "u" else found).append((r["b"], r["a"], r["n"], r["c"]))
     models = {g: Model(own.get(g, set()), *x) for g, x in parts.items()}
+    chains = kinds.where("kind = 'c'").select("g", "b", "c")
+    for _ in range(ROUNDS):
+        expected: dict[str, list] = defaultdict(list)
+        if any(x[3] for x in parts.values()):
+            for r in _expected(chains, models).collect():  # bounded as the triples are
+                expected[r["g"]].append((r["b"], r["a"], r["n"], r["c"], r["e"]))
+        for g, model in models.items():
+            model.learn(sorted(expected[g]))
+    for model in models.values():
+        model.settle()
     if models:
         models[""] = models[max(parts, key=lambda g: (sum(parts[g][2].values()), g))]
     return models

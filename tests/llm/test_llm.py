@@ -536,6 +536,34 @@ def test_sentences_without_any_training(spark):
     assert S.sentences(df.limit(0)).count() == 0
 
 
+def test_posteriors_of_a_chain_against_all_sequences():
+    import itertools
+    import zlib
+
+    class Toy(S.Model):
+        def p_event(self, before, last):
+            return (zlib.crc32(f"{before} {last}".encode()) % 89 + 5) / 100
+
+        def p_start(self, word):
+            return (zlib.crc32(word.encode()) % 83 + 5) / 100
+
+        def p_follow(self, last, word):
+            return (zlib.crc32(f"{word} {last}".encode()) % 79 + 5) / 100
+
+    words = ["Ab", "U.", "S.", "C.", "Sec.", "Id"]
+    model = Toy(set(words), [], Counter(), Counter())
+    places = list(zip(words, words[1:], words[2:]))
+    total, sums = 0.0, [0.0] * len(places)
+    for states in itertools.product((0, 1), repeat=len(places)):
+        p, left = 1.0, 0
+        for (b, a, n), s in zip(places, states):
+            e = model.p_event("<^>" if left else S.shape(b), a)
+            p, left = p * (e * model.p_start(n) if s else (1 - e) * model.p_follow(a, n)), s
+        total += p
+        sums = [x + p * s for x, s in zip(sums, states)]
+    assert np.allclose(model.run(places), [x / total for x in sums])
+
+
 def test_nothing_else_imports_this_subpackage():
     import subprocess
 
