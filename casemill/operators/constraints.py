@@ -7,28 +7,27 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Court ids by circuit.
+# The circuit of each court id.
 CIRCUITS = {
-    "ca1": "ca1 mad med nhd prd rid mab",
-    "ca2": "ca2 ctd nyed nynd nysd nywd nysb vtd",
-    "ca3": "ca3 ded njd paed pamd pawd paeb vid",
-    "ca4": "ca4 mdd nced ncmd ncwd scd vaed vawd wvnd wvsd",
-    "ca5": "ca5 laed lamd lawd msnd mssd txed txnd txsd txwd",
-    "ca6": "ca6 kyed kywd mied miwd ohnd ohsd tned tnmd tnwd",
-    "ca7": "ca7 ilnd ilsd ilcd innd insd wied wiwd",
-    "ca8": "ca8 ared arwd iaed iand iasd mnd moed mowd ned ndd sdd",
-    "ca9": "ca9 akd azd cacd cand casd caed hid idd mtd nvd ord waed wawd",
-    "ca10": "ca10 cod ksd nmd oknd oked okwd utd wyd",
-    "ca11": "ca11 almd alnd alsd flmd flnd flsd gamd gand gasd",
-    "cadc": "cadc dcd",
+    "ca1": "ca1", "mad": "ca1", "med": "ca1", "nhd": "ca1", "prd": "ca1", "rid": "ca1", "mab": "ca1",
+    "ca2": "ca2", "ctd": "ca2", "nyed": "ca2", "nynd": "ca2", "nysd": "ca2", "nywd": "ca2", "nysb": "ca2", "vtd": "ca2",
+    "ca3": "ca3", "ded": "ca3", "njd": "ca3", "paed": "ca3", "pamd": "ca3", "pawd": "ca3", "paeb": "ca3", "vid": "ca3",
+    "ca4": "ca4", "mdd": "ca4", "nced": "ca4", "ncmd": "ca4", "ncwd": "ca4", "scd": "ca4", "vaed": "ca4", "vawd": "ca4", "wvnd": "ca4", "wvsd": "ca4",
+    "ca5": "ca5", "laed": "ca5", "lamd": "ca5", "lawd": "ca5", "msnd": "ca5", "mssd": "ca5", "txed": "ca5", "txnd": "ca5", "txsd": "ca5", "txwd": "ca5",
+    "ca6": "ca6", "kyed": "ca6", "kywd": "ca6", "mied": "ca6", "miwd": "ca6", "ohnd": "ca6", "ohsd": "ca6", "tned": "ca6", "tnmd": "ca6", "tnwd": "ca6",
+    "ca7": "ca7", "ilnd": "ca7", "ilsd": "ca7", "ilcd": "ca7", "innd": "ca7", "insd": "ca7", "wied": "ca7", "wiwd": "ca7",
+    "ca8": "ca8", "ared": "ca8", "arwd": "ca8", "iaed": "ca8", "iand": "ca8", "iasd": "ca8", "mnd": "ca8", "moed": "ca8", "mowd": "ca8", "ned": "ca8", "ndd": "ca8", "sdd": "ca8",
+    "ca9": "ca9", "akd": "ca9", "azd": "ca9", "cacd": "ca9", "cand": "ca9", "casd": "ca9", "caed": "ca9", "hid": "ca9", "idd": "ca9", "mtd": "ca9", "nvd": "ca9", "ord": "ca9", "waed": "ca9", "wawd": "ca9",
+    "ca10": "ca10", "cod": "ca10", "ksd": "ca10", "nmd": "ca10", "oknd": "ca10", "oked": "ca10", "okwd": "ca10", "utd": "ca10", "wyd": "ca10",
+    "ca11": "ca11", "almd": "ca11", "alnd": "ca11", "alsd": "ca11", "flmd": "ca11", "flnd": "ca11", "flsd": "ca11", "gamd": "ca11", "gand": "ca11", "gasd": "ca11",
+    "cadc": "cadc", "dcd": "cadc",
     "scotus": "scotus",
-}
+}
 
 
 def circuit(court):
     """The circuit of a court id; null for other courts."""
-    pairs = [F.lit(x) for c, courts in CIRCUITS.items() for court_id in courts.split() for x in (court_id, c)]
-    return F.try_element_at(F.create_map(*pairs), court)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in CIRCUITS.items() for x in pair]), court)
 
 
 def _inside(small: DataFrame, large: DataFrame, grams: int) -> DataFrame:

@@ -12,14 +12,14 @@ from casemill.tables import utc_stamp
 
 ELEMENTS = ("material_misrepresentation", "scienter", "connection", "reliance", "economic_loss", "loss_causation")
 STATUSES = ("SATISFIED", "NOT_SATISFIED", "CONTESTED", "NOT_ANALYZED")
-#: legal conditions by element; fixed values
+# The legal conditions of each element.
 CONDITIONS = {
-    "material_misrepresentation": "FalseStatements MisleadingOmissions SchemeToDefraud",
-    "scienter": "MotiveAndOpportunity ConsciousMisbehavior RecklessDisregard",
-    "connection": "InConnectionWithPurchase InConnectionWithSale",
-    "reliance": "FraudOnTheMarket DirectReliance AffiliateOmission",
-    "economic_loss": "ActualDamages DiminishedValue",
-    "loss_causation": "CorrectiveDisclosurePriceDrop MaterializationOfConcealedRisk",
+    "material_misrepresentation": ["FalseStatements", "MisleadingOmissions", "SchemeToDefraud"],
+    "scienter": ["MotiveAndOpportunity", "ConsciousMisbehavior", "RecklessDisregard"],
+    "connection": ["InConnectionWithPurchase", "InConnectionWithSale"],
+    "reliance": ["FraudOnTheMarket", "DirectReliance", "AffiliateOmission"],
+    "economic_loss": ["ActualDamages", "DiminishedValue"],
+    "loss_causation": ["CorrectiveDisclosurePriceDrop", "MaterializationOfConcealedRisk"],
 }
 _ELEMENT = "struct<status:string,sub_conditions:array<string>,key_facts:array<string>,judge_reasoning:string,confidence:double>"
 SCHEMA = (
@@ -60,7 +60,7 @@ def outcome_of(statuses: Column) -> Column:
 
 def illegal_conditions(rows: DataFrame) -> DataFrame:
     """Element rows with ``illegal``: the conditions that the element's vocabulary lacks."""
-    legal = F.create_map(*[y for k, w in CONDITIONS.items() for y in (F.lit(k), F.array(*map(F.lit, w.split())))])
+    legal = F.create_map(*[y for k, w in CONDITIONS.items() for y in (F.lit(k), F.array(*map(F.lit, w)))])
     return rows.withColumn("illegal", F.array_except(F.coalesce("sub_conditions", F.array()), F.coalesce(legal[F.col("element")], F.array())))
 
 

@@ -195,7 +195,7 @@ fr1 AS (SELECT f.query, f.opinion_id, semantic, distance, round(0.4 * greatest(c
   + 0.2 * abs(coalesce(sc.score, 0)) + 0.1 * CASE WHEN f.opinion_id IN (SELECT opinion_id FROM runs WHERE opinion_id IS NOT NULL) THEN 1 ELSE 0 END, 6) AS final_score
   FROM fr0 f LEFT JOIN owner o ON o.opinion_id = f.opinion_id LEFT JOIN scores sc ON sc.entity_type = 'case' AND sc.entity_id = CAST(o.case_id AS VARCHAR)),
 fr AS (SELECT query, opinion_id, round(semantic, 6) AS semantic, distance, final_score, row_number() OVER (PARTITION BY query ORDER BY final_score DESC, opinion_id) AS rank FROM fr1 QUALIFY rank <= 10)"""
-_CIRCUIT = "CASE " + " ".join(f"WHEN {{0}} IN ({', '.join(repr(x) for x in courts.split())}) THEN '{c}'" for c, courts in C.CIRCUITS.items()) + " END"
+_CIRCUIT = "CASE {0} " + " ".join(f"WHEN '{court}' THEN '{c}'" for court, c in C.CIRCUITS.items()) + " END"
 _LATEST = BASE + r""", lv AS (SELECT *, row_number() OVER (PARTITION BY opinion_id ORDER BY try_cast(rtrim(replace(trim(created_at), 'T', ' '), 'Z') AS TIMESTAMP) DESC NULLS LAST, id DESC) AS rn FROM runs), lx AS (SELECT * FROM lv WHERE rn = 1)"""
 _KEY = r"trim(regexp_replace(lower({0}), '[^a-z0-9\s]', '', 'g'))"
 _SKEY = r"lower(trim(regexp_replace({0}, '[§\s]+', ' ', 'g')))"

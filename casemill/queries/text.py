@@ -213,7 +213,7 @@ ORACLES = {
     "text_fallback": "SELECT DISTINCT opinion_id, coalesce(nullif(syllabus, ''), nullif(disposition, ''), nullif(posture, ''), nullif(procedural_history, '')) AS text FROM opinions",
     "irac_outcome_rule": f"""WITH {_EL} SELECT x.id, j->>'$.outcome' AS stated, CASE WHEN count_if(e->>'$.status' = 'NOT_SATISFIED') > 0 THEN 'DEFENDANT_WINS' WHEN count(e) > 0 AND count_if(e->>'$.status' = 'SATISFIED') = count(e) THEN 'PLAINTIFF_WINS' ELSE 'MIXED' END AS derived
       FROM x LEFT JOIN el ON el.id = x.id GROUP BY 1, 2""",
-    "sub_condition_check": f"""WITH {_EL}, b AS (SELECT element, len(list_distinct(list_filter(coalesce(CAST(e->'$.sub_conditions' AS VARCHAR[]), []), lambda s: NOT list_contains(CASE element {' '.join(f"WHEN '{k}' THEN {w.split()}" for k, w in X.CONDITIONS.items())} ELSE [] END, s)))) AS bad FROM el)
+    "sub_condition_check": f"""WITH {_EL}, b AS (SELECT element, len(list_distinct(list_filter(coalesce(CAST(e->'$.sub_conditions' AS VARCHAR[]), []), lambda s: NOT list_contains(CASE element {' '.join(f"WHEN '{k}' THEN {w}" for k, w in X.CONDITIONS.items())} ELSE [] END, s)))) AS bad FROM el)
       SELECT element, count(*) AS n, count_if(bad > 0) AS n_illegal, CAST(sum(bad) AS BIGINT) AS n_conditions FROM b GROUP BY 1""",
     "latest_extraction": f"WITH {_X} SELECT opinion_id, id FROM x",
     "status_rates": f"WITH {_EL} SELECT element, e->>'$.status' AS status, count(*) AS n, round(avg(CAST(e->>'$.confidence' AS DOUBLE)), 6) AS confidence FROM el GROUP BY 1, 2",

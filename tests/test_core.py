@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import patterns as P
 from casemill.functions import text as T
-from casemill.functions.sections import split_sections
+from casemill.functions.sections import sections
 from casemill.operators import constraints as C
 from casemill.operators import extractions as X
 from casemill.operators import profile as Pr
@@ -72,12 +72,18 @@ def test_first_pattern_in_list_order_wins(spark):
     assert got["name"] == "def_complaint_dismissed"
 
 
-def test_sections():
-    text = "COURT\n" * 30 + "\nI. BACKGROUND\n" + "Facts. " * 20 + "\nDISCUSSION\n" + "Law. " * 20 + "\nCONCLUSION\nDone."
-    parts = split_sections(text)
-    assert [k for k, *_ in parts] == ["HEADER", "BACKGROUND", "ANALYSIS", "CONCLUSION"]
-    assert parts[0][2] == 0 and parts[-1][3] == len(text) and all(a[3] == b[2] for a, b in itertools.pairwise(parts))
-    assert split_sections("") == [("ANALYSIS", "", 0, 0)] and split_sections(None) == [("ANALYSIS", "", 0, 0)]
+def test_sections(spark):
+    """Blank lines before a heading belong to it; a heading near the last one is none; positions count whole characters."""
+    text = "COURT\n" * 30 + "\nI. BACKGROUND\n" + "Facts. " * 20 + "\nDISCUSSION\n" + "Law. " * 20 + "\n\n\nCONCLUSION\nDone.\n\nA. Order\n"
+    wide = "\U0001d504" * 600 + "\n\nORDER\n" + "z" * 70 + "\nB. Merits\n"
+    rows = spark.createDataFrame([(0, text), (1, ""), (2, None), (3, " \n\t"), (4, "No heading at all."), (5, wide), (6, "OPINION\nIt is so.")], "id int, t string")
+    got = {r["id"]: [tuple(s) for s in r["s"]] for r in rows.select("id", sections("t").alias("s")).collect()}
+    assert [s[:2] for s in got[0]] == [("HEADER", ""), ("BACKGROUND", "BACKGROUND"), ("ANALYSIS", "DISCUSSION"), ("CONCLUSION", "CONCLUSION")]
+    assert got[0][0][2] == 0 and got[0][-1][3] == len(text) and all(a[3] == b[2] for a, b in itertools.pairwise(got[0]))
+    assert got[0][-1][2] == text.index("\n\nCONCLUSION")
+    assert got[1] == got[2] == [("ANALYSIS", "", 0, 0)] and got[3] == [("ANALYSIS", "", 0, 3)] and got[4] == [("ANALYSIS", "", 0, 18)]
+    assert got[5] == [("HEADER", "", 0, 601), ("CONCLUSION", "ORDER", 601, 679), ("ANALYSIS", "Merits", 679, 689)]
+    assert got[6] == [("ANALYSIS", "OPINION", 0, 17)]
 
 
 def test_json_in_text(spark):
