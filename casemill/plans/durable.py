@@ -35,7 +35,18 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/casemill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def forget(*written: DataFrame) -> None:
+    """Removes tables of durable() that no plan reads any more, as those of a loop's earlier rounds; others are left alone."""
+    for df in written:
+        if path := getattr(df, "_written_at", None):
+            spark = df.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
