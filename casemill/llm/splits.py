@@ -27,22 +27,37 @@ def named_split(c):
     return F.coalesce(*[F.when(c == F.lit(k), F.lit(v)) for k, v in SPELLINGS.items()])
 
 
-def merge(prior: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component, split, state) after ``links`` (record, entity) are added to ``prior`` (component, split).
+def _tagged(kind: str, c: str):
+    return F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
 
-    Records of the links that name a prior component join it. state: ``kept`` if exactly one prior split is in the
-    component, ``new`` if none is, ``quarantined`` if two or more are; quarantined components have a null split.
+
+def merge(old: DataFrame | None, links: DataFrame, named: DataFrame) -> DataFrame:
+    """(node, component, split, state) of all nodes after ``links`` (a, b) are added to ``old`` (the same columns, or None).
+
+    Links are drawn between the old components that their ends lie in, so pointer jumping sees the batch and what it
+    touches, never the whole table; then every old node follows its component. named: (node, split) that the batch
+    declares. state: ``kept`` if exactly one split is known in the component, from its old parts or declared, ``new`` if
+    none is, ``quarantined`` if two or more are or an old part was; quarantined components have a null split.
     """
-    tagged = links.select(F.concat(F.lit("r:"), F.col("record").cast("string")).alias("a"), F.concat(F.lit("e:"), F.col("entity").cast("string")).alias("b"))
-    found = durable(components(tagged), "components")
-    named = prior.where("split is not null").select(F.concat(F.lit("r:"), F.col("component").cast("string")).alias("node"), "split").distinct()
-    verdict = found.join(named, "node", "left").groupBy("component").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
-    verdict = verdict.select(
-        "component",
-        F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("split"),
-        F.when(F.col("lo").isNull(), "new").when(F.col("lo") == F.col("hi"), "kept").otherwise("quarantined").alias("state"),
-    )
-    return found.join(verdict, "component").select("node", "component", "split", "state")
+    if old is None:
+        placed = components(links)
+        before = None
+    else:
+        old = old.select("node", "component", "split", "state")
+        place = lambda end: old.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}"))
+        ends = durable(links.join(place("a"), "a", "left").join(place("b"), "b", "left"), "ends")
+        at = lambda end: F.coalesce(f"at_{end}", end)
+        found = components(ends.select(at("a").alias("a"), at("b").alias("b"))).toDF("part", "component")
+        fresh = ends.where("at_a is null").select(F.col("a").alias("node")).union(ends.where("at_b is null").select("b")).distinct()
+        nodes = old.select("node", F.col("component").alias("part")).unionByName(fresh.select("node", F.col("node").alias("part")))
+        placed = durable(nodes.join(found, "part", "left").select("node", F.coalesce("component", "part").alias("component")), "placed")
+        before = old.select(F.col("component").alias("part"), "split", (F.col("state") == "quarantined").alias("bad")).distinct()
+        before = before.join(found, "part", "left").select(F.coalesce("component", "part").alias("component"), "split", "bad")
+    declared = named.where("split is not null").distinct().join(placed, "node").select("component", "split", F.lit(False).alias("bad"))
+    known = (before.unionByName(declared) if before else declared).groupBy("component").agg(F.min("split").alias("lo"), F.max("split").alias("hi"), F.max("bad").alias("bad"))
+    state = F.when(F.col("bad") | (F.col("lo") != F.col("hi")), "quarantined").when(F.col("lo").isNotNull(), "kept").otherwise("new")
+    known = known.select("component", state.alias("state"), F.when(state == "kept", F.col("lo")).alias("split"))
+    return placed.join(known, "component", "left").select("node", "component", "split", F.coalesce("state", F.lit("new")).alias("state"))
 
 
 def fill(sized: DataFrame, targets: dict[str, float] = TARGETS, large: float = 0.002) -> DataFrame:
@@ -80,51 +95,65 @@ def fill(sized: DataFrame, targets: dict[str, float] = TARGETS, large: float = 0
     return sized.join(filled, "component", "left").select("component", F.coalesce("split", "chosen").alias("split"), "state", "weight")
 
 
+def latest(spark: SparkSession, store: str) -> tuple[int, DataFrame | None]:
+    """(number, table) of the last whole version in the folder, (-1, None) if there is none; half-written ones don't count."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(store)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(hadoop.Path(f"{store}/{n}/_SUCCESS"))]
+    return (max(done), spark.read.parquet(f"{store}/v{max(done)}")) if done else (-1, None)
+
+
 def update(spark: SparkSession, store: str | None, links: DataFrame, weights: DataFrame, prior: DataFrame | None = None, targets: dict[str, float] = TARGETS) -> DataFrame:
     """One incremental step: merges ``links`` into the table at ``store``, fills new components, writes the next version.
 
-    links: record, entity. weights: record, weight. prior: (component, split) known from elsewhere, used beside the
-    stored table. store: folder of versions, or None to keep nothing. A stored split never changes except into
-    quarantine. Returns the new table (node, component, split, state). A version counts once its _SUCCESS is there, so
-    a step that is lost halfway is repeated from the version before.
+    links: record, entity; a record without an entity stands alone, a null record is left out. weights: record, weight; a
+    record sent again takes its new weight. prior: (record, split) declared by the batch, beside the stored splits.
+    store: folder of versions, or None to keep nothing. All nodes of earlier batches stay in the table, records as well
+    as entities, so a record that comes again with another entity ties the two. A stored split never changes except into
+    quarantine. Returns the new table (node, component, split, state, weight of the node). A version counts once its
+    _SUCCESS is there, so a step that is lost halfway is repeated from the version before.
     """
-    fs_version, old = -1, None
-    if store:
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(store)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/_SUCCESS"))]
-        fs_version = max(done, default=-1)
-        old = spark.read.parquet(f"{store}/v{fs_version}") if done else None
-    known = prior if prior is not None else spark.createDataFrame([], "component string, split string")
-    known = known.select(F.col("component").cast("string").alias("component"), "split")
-    every = links.select(F.col("record").cast("string").alias("record"), F.col("entity").cast("string").alias("entity"))
-    if old is not None:
-        # a stored component comes back as one record tied to each of its entities, with its split as the prior
-        every = every.unionByName(old.where("node like 'e:%'").select(F.concat(F.lit("c:"), "component").alias("record"), F.expr("substr(node, 3)").alias("entity")))
-        known = known.unionByName(old.where("split is not null").select(F.concat(F.lit("c:"), "component").alias("component"), "split").distinct())
-        quarantined = old.where("state = 'quarantined'").select(F.concat(F.lit("c:"), "component").alias("component"), F.explode(F.array(F.lit("train"), F.lit("test"))).alias("split"))
-        known = known.unionByName(quarantined.distinct())
-    merged = durable(merge(known, every), "merged")
-    by_node = weights.select(F.concat(F.lit("r:"), F.col("record").cast("string")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("weight"))
-    if old is not None and "weight" in old.columns:
-        by_node = by_node.unionByName(old.where("node like 'r:%'").groupBy(F.concat(F.lit("r:c:"), "component").alias("node")).agg(F.max("weight").alias("weight")))
-    sized = merged.join(by_node, "node", "left").groupBy("component").agg(F.first("split").alias("split"), F.first("state").alias("state"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"))
-    filled = fill(sized, targets).select("component", F.when(F.col("state") != "quarantined", F.col("split")).alias("split"), "weight")
+    nothing = "node string, component string, split string, state string, weight long"
+    version, old = latest(spark, store) if store else (-1, None)
+    ends = links.where("record is not null").select(_tagged("r", "record").alias("a"), F.coalesce(_tagged("e", "entity"), _tagged("r", "record")).alias("b")).distinct()
+    named = ends.select(F.col("a").alias("node"), F.lit(None).cast("string").alias("split")).limit(0) if prior is None else prior.select(_tagged("r", "record").alias("node"), "split")
+    now = weights.where("record is not null").groupBy(_tagged("r", "record").alias("node")).agg(F.sum("weight").cast("long").alias("now"))
+    merged = merge(old, ends, named).join(now, "node", "left")
+    merged = merged.withColumn("weight", F.lit(0)) if old is None else merged.join(old.select("node", "weight"), "node", "left")
+    merged = durable(merged.select("node", "component", "split", "state", F.coalesce("now", "weight", F.lit(0)).alias("weight")), "merged")
+    sized = merged.groupBy("component").agg(F.first("split").alias("split"), F.first("state").alias("state"), F.sum("weight").alias("weight"))
+    filled = fill(sized, targets).select("component", F.when(F.col("state") != "quarantined", F.col("split")).alias("split"))
     table = merged.drop("split").join(filled, "component").select("node", "component", "split", "state", "weight")
     if not store:
         return table
-    table.write.mode("overwrite").parquet(f"{store}/v{fs_version + 1}")
-    return spark.read.parquet(f"{store}/v{fs_version + 1}")
+    table.write.mode("overwrite").parquet(f"{store}/v{version + 1}")
+    return spark.read.schema(nothing).parquet(f"{store}/v{version + 1}")
+
+
+def split_records(spark: SparkSession, records: DataFrame, key: str, entities: list[str], store: str | None = None, weight: str | None = None, named: str | None = None, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """(key, component, split, state): records that share a value of any of the ``entities`` columns get one split.
+
+    weight: a column of record weights, else every row weighs 1. named: a column of hand-typed splits. Rows are reduced to
+    distinct links before anything is joined. Null and blank entities tie nobody; a record without any stands alone.
+    """
+    tie = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}="), F.col(c).cast("string")))
+    rows = records.where(F.col(key).isNotNull()).withColumn("record", F.col(key).cast("string"))
+    links = rows.select("record", F.explode(F.array(*map(tie, entities))).alias("entity")).distinct()
+    sizes = rows.groupBy("record").agg(F.sum(weight or F.lit(1)).alias("weight"))
+    prior = rows.select("record", named_split(named).alias("split")).where("split is not null").distinct() if named else None
+    table = update(spark, store, links, sizes, prior, targets)
+    kind = dict(records.dtypes)[key]
+    return table.where("node like 'r:%'").select(F.expr(f"cast(substr(node, 3) as {kind})").alias(key), "component", "split", "state")
 
 
 def split_dockets(spark: SparkSession, labels: DataFrame, store: str | None = None, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """(docket_id, component, split, state) of every docket of case_labels.
+    """(docket_id, component, split, state) of every docket of case_labels, and of earlier batches in the store.
 
-    The rows of a docket that name one split are an existing component of that split; its rows without one are a new
-    component; the docket is the entity that ties them. Weight: rows with an opinion. Rows are reduced to one per
-    docket and named split before anything is joined, so a docket with a third of all rows costs no more than another.
+    The rows of a docket that name one split are a record with that split; its rows without one are another record; the
+    docket is the entity that ties them. Weight: rows with an opinion. Rows are reduced to one per docket and named split
+    before anything is joined, so a docket with a third of all rows costs no more than another.
     A null docket_id is nobody's docket and is left out. Quarantined dockets have a null split in every row.
     """
     parts = (
@@ -134,6 +163,6 @@ def split_dockets(spark: SparkSession, labels: DataFrame, store: str | None = No
         .withColumn("record", F.concat_ws(":", "entity", "named"))
     )
     parts = durable(parts, "parts")
-    prior = parts.where("named <> 'none'").select(F.col("record").alias("component"), F.col("named").alias("split"))
+    prior = parts.where("named <> 'none'").select("record", F.col("named").alias("split"))
     table = update(spark, store, parts.select("record", "entity"), parts.select("record", "weight"), prior, targets)
     return table.where("node like 'e:%'").select(F.expr("cast(substr(node, 3) as bigint)").alias("docket_id"), "component", "split", "state")

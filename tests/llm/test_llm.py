@@ -109,6 +109,38 @@ def test_splits_are_kept_between_batches(spark, tmp_path):
         assert b[f"e:e{e}"][0] == a[f"e:e{e}"]
 
 
+def test_a_record_of_an_earlier_batch_ties_its_entities(spark, tmp_path):
+    """(r1, A) then (r1, B): both entities must be in one split, and a later (r2, C), (r2, A) with another split is quarantined."""
+    ones = lambda df: df.select("record", F.lit(1).alias("weight")).distinct()
+    batch = lambda *rows: spark.createDataFrame(list(rows), "record string, entity string")
+    store = str(tmp_path / "ties")
+    one = batch(("r1", "A"), ("r9", "Z"), ("r8", None))
+    first = {r["node"]: r for r in Sp.update(spark, store, one, ones(one)).collect()}
+    assert set(first) == {"r:r1", "e:A", "r:r9", "e:Z", "r:r8"}
+    two = batch(("r1", "B"))
+    second = {r["node"]: r for r in Sp.update(spark, store, two, ones(two)).collect()}
+    assert len({(second[n]["component"], second[n]["split"]) for n in ("r:r1", "e:A", "e:B")}) == 1
+    assert second["e:B"]["split"] == first["r:r1"]["split"] and second["e:B"]["state"] == "kept" and second["r:r1"]["weight"] == 1
+    assert second["r:r9"]["split"] == first["r:r9"]["split"]
+    other = next(s for s in Sp.TARGETS if s != first["r:r1"]["split"])
+    three = batch(("r2", "C"), ("r2", "A"))
+    prior = spark.createDataFrame([("r2", other)], "record string, split string")
+    third = {r["node"]: r for r in Sp.update(spark, store, three, ones(three), prior).collect()}
+    assert {third[n]["state"] for n in ("r:r1", "r:r2", "e:A", "e:B", "e:C")} == {"quarantined"} and third["e:C"]["split"] is None
+    four = batch(("r3", "C"))
+    fourth = {r["node"]: r for r in Sp.update(spark, store, four, ones(four)).collect()}
+    assert fourth["r:r3"]["state"] == "quarantined" and fourth["r:r9"]["split"] == first["r:r9"]["split"]
+
+
+def test_splits_by_several_entities(spark):
+    """Null and blank entities tie nobody; a chain over two columns is one component; extra columns don't matter."""
+    data = [(1, "x", 10, "c"), (2, "x", 11, "c"), (3, None, 11, "c"), (4, " ", None, "c"), (5, " ", None, "c"), (None, "x", 10, "c"), (1, "x", 10, "c")]
+    df = spark.createDataFrame(data, "id int, author string, source int, component string")
+    got = {r["id"]: r for r in Sp.split_records(spark, df, "id", ["author", "source"]).collect()}
+    assert len({got[k]["component"] for k in (1, 2, 3)}) == 1 and len({r["component"] for r in got.values()}) == 3
+    assert all(r["split"] in Sp.TARGETS for r in got.values())
+
+
 def test_splits_of_empty_tables(spark):
     assert Sp.split_dockets(spark, spark.createDataFrame([], "docket_id long, opinion_id long, split string")).count() == 0
 
