@@ -474,13 +474,29 @@ def test_budgets():
     assert M.budgets({}, {"a": 1.0}, {"a": 2}) == {"a": 0}
 
 
-def test_every_prefix_of_the_schedule_is_near_the_shares():
+def test_every_prefix_of_the_schedule_is_near_the_shares(spark):
+    """Slots are whole, ranked per source, and near the shares in every prefix; a share without a point gets the nearest slot."""
     shares = {"a": 0.5, "b": 0.3, "c": 0.2}
-    slots = M.schedule(shares, 5000)
-    assert sorted(np.concatenate(list(slots.values())).tolist()) == list(range(5000))
+    rows = M.schedule(spark, shares, 5000).collect()
+    slots = {s: np.array([r["slot"] for r in sorted(rows, key=lambda r: r["block"]) if r["source"] == s]) for s in shares}
+    assert sorted(r["slot"] for r in rows) == list(range(5000)) and all((np.diff(x) > 0).all() for x in slots.values())
+    want = ((np.arange(5000) + 0.5) * M.GOLDEN) % 1.0
+    assert (slots["a"] == np.flatnonzero(want < 0.5)).all()
     for n in (50, 500, 5000):
         for s, w in shares.items():
             assert abs((slots[s] < n).sum() / n - w) < 4 / n**0.5 / 5 + 0.02
+    tiny = [r for r in M.schedule(spark, {"a": 0.5, "t": 1e-9, "b": 0.5 - 1e-9}, 1000).collect() if r["source"] == "t"]
+    assert [(r["block"], r["slot"]) for r in tiny] == [(0, int(np.abs(want[:1000] - 0.5).argmin()))]
+
+
+def test_a_source_with_the_smallest_share_is_not_dropped(spark):
+    data = [(i, "a", 100) for i in range(2000)] + [(9000, "b", 60), (9001, "b", 40)]
+    targets = spark.createDataFrame([("a", 0.99999, 60), ("b", 0.00001, 1)], "source string, target_weight double, max_repeats int")
+    mixed, shares = M.mix(spark.createDataFrame(data, "doc_id long, source string, n_tokens int"), targets)
+    got = {r["source"]: r for r in shares.collect()}
+    assert got["b"]["tokens"] == 100 and got["b"]["n_uses"] == 2 and got["b"]["max_used"] == 1
+    assert abs(got["a"]["tokens"] - got["a"]["budget"]) <= 100 and got["a"]["max_used"] == 50
+    assert mixed.where("source = 'b'").count() == 2
 
 
 def test_mix(spark):
@@ -505,6 +521,13 @@ def test_count_tokens(spark):
     assert [r["n_tokens"] for r in M.count_tokens(df).collect()][:3] == [2, 0, 0]
 
 
+def test_rank_file_and_tokenizer_file_count_alike():
+    texts = ["hello  world\n\n", "", "<|endoftext|> it's", "x" + " " * 20_000 + "y", "\n" * 9_000, "a \t" * 4_000, " " * 6_000 + "x" + "\u3000" * 7_000 + "z", "naïve ฅ 12,5 😀"]
+    folder = os.path.dirname(M.TOKENIZER)
+    assert M.encoder(f"{folder}/byte_bpe_50k.tiktoken")(texts) == M.encoder(f"{folder}/byte_bpe_50k.json")(texts)
+    assert M.encoder(M.TOKENIZER)([" " * 2_000_000 + "end"]) == M.encoder(f"{folder}/byte_bpe_50k.json")([" " * 2_000_000 + "end"])
+
+
 # ---------------------------------------------------------------- sentences
 
 
