@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from casemill.plans.durable import durable
 from casemill.plans.ranking import BUCKETS
 
-TOKENIZER = os.environ.get("CASEMILL_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = os.environ.get("CASEMILL_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the public pattern that splits text before the merges of a rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 GOLDEN = 0.6180339887498949
