@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm.leaks import leaks
+from casemill.llm.leaks import WINDOW, leaks
 from casemill.tables import table
 
 
@@ -14,7 +14,7 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Those with an unedited passage."""
-    return p8_leaks(spark, d).where("edits = 0").select("doc_id", "item_id")
+    return p8_leaks(spark, d).where((F.col("edits") == 0) & (F.col("words") == WINDOW)).select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
