@@ -115,10 +115,10 @@ def missing_elements(elements: DataFrame) -> DataFrame:
     return rows(elements.where("status = 'NOT_ANALYZED'"), "missing_element", "WARNING", F.col("element"))
 
 
-def rates(violations: DataFrame, n_cases: DataFrame) -> DataFrame:
-    """Violations, cases with any, and their share of all cases, by check. n_cases: one row with n."""
+def rates(violations: DataFrame, n_cases: int) -> DataFrame:
+    """Violations, cases with any, and their share of all cases, by check."""
     counted = violations.groupBy("name", "severity").agg(F.count("*").alias("n"), F.countDistinct("docket_id").alias("n_dockets"))
-    return counted.join(F.broadcast(n_cases.toDF("n_all"))).select("name", "severity", "n", "n_dockets", F.round(F.col("n_dockets") / F.col("n_all"), 6).alias("share"))
+    return counted.select("name", "severity", "n", "n_dockets", F.round(F.col("n_dockets") / F.lit(n_cases), 6).alias("share"))
 
 
 def all_of(*checks: DataFrame) -> DataFrame:

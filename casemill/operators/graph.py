@@ -4,24 +4,42 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions import text as T
 from casemill.operators import extractions as X
 from casemill.operators.records import one_per_key
+from casemill.plans.durable import durable
 from casemill.queries.orphans import cited_id
 from casemill.tables import absent_if_blank, table, utc_stamp
 
 
 class CaseGraph:
-    """Nodes and edges over the tables in a folder. Every frame is lazy and distinct by its key."""
+    """Nodes and edges over the tables in a folder. Every frame is distinct by its key.
 
-    def __init__(self, spark, sf_dir: str):
+    Frames are lazy; with ``keep`` those that others build on are written once, for plans that use them in many places.
+    Attorneys come from the table ``attorneys`` (docket_id, contact_raw) if one is given, else from the contact blocks of
+    the parties.
+    """
+
+    def __init__(self, spark, sf_dir: str, keep: bool = False, attorneys: DataFrame | None = None):
         self.read = lambda name: table(spark, sf_dir, name)
+        self._kept: dict[str, DataFrame] | None = {} if keep else None
+        self._attorneys = attorneys
+
+    def _once(self, name: str, make) -> DataFrame:
+        if self._kept is None:
+            return make()
+        if name not in self._kept:
+            self._kept[name] = durable(make(), name)
+        return self._kept[name]
 
     # nodes
     def cases(self) -> DataFrame:
+        return self._once("cases", self._cases)
+
+    def _cases(self) -> DataFrame:
         """The last scrape of each docket, with its most confident label and whether a valid extraction exists."""
         rows = one_per_key(self.read("cases"), ["docket_id"], F.desc_nulls_last(utc_stamp("scraped_at")), F.desc_nulls_last("assigned_to_str"), F.desc_nulls_last("case_name"))
         labels = one_per_key(self.read("case_labels"), ["docket_id"], F.desc_nulls_last("label_confidence"), F.asc_nulls_last("outcome_label"), F.asc_nulls_last("opinion_id"))
@@ -30,7 +48,7 @@ class CaseGraph:
         return joined.select("docket_id", "case_name", "court_id", "date_filed", "cause", "assigned_to_str", "outcome_label", "procedural_stage", F.coalesce("has_irac", F.lit(False)).alias("has_irac"))
 
     def valid_runs(self) -> DataFrame:
-        return X.parsed(self.read("irac_extractions").where("is_valid = 1").dropDuplicates(["id"])).where("x is not null")
+        return self._once("runs", lambda: X.parsed(self.read("irac_extractions").where("is_valid = 1").dropDuplicates(["id"])).where("x is not null").drop("extraction", "llm_raw", "errors"))
 
     def opinions(self) -> DataFrame:
         """Opinions of the tables, and placeholders for those only cited."""
@@ -60,12 +78,21 @@ class CaseGraph:
     def companies(self) -> DataFrame:
         return self.defendant_is().select("company").distinct()
 
+    def firms(self) -> DataFrame:
+        return self.represented_by().select("firm").distinct()
+
     # edges
     def has_opinion(self) -> DataFrame:
+        return self._once("has_opinion", self._has_opinion)
+
+    def _has_opinion(self) -> DataFrame:
         return self.read("opinions").select("docket_id", "opinion_id").distinct().join(self.cases().select("docket_id"), "docket_id", "left_semi")
 
     def cites(self) -> DataFrame:
         """Citations of which both ends are nodes."""
+        return self._once("cites", self._cites)
+
+    def _cites(self) -> DataFrame:
         return self.cited().join(self.read("opinions").select(F.col("opinion_id").alias("src")).distinct(), "src", "left_semi")
 
     def charged_under(self) -> DataFrame:
@@ -76,6 +103,9 @@ class CaseGraph:
 
     def involves(self) -> DataFrame:
         """Case to argument; of several uses in a case the last one's sign and side count."""
+        return self._once("involves", self._involves)
+
+    def _involves(self) -> DataFrame:
         rows = self._argument_rows().withColumn("sign", sign(F.col("outcome"), F.col("side")))
         last = F.struct("id", F.when(F.col("side") == "plaintiff", 0).otherwise(1).alias("s"), "position")
         return rows.groupBy("docket_id", "text_hash").agg(F.max_by("sign", last).alias("sign"), F.max_by("side", last).alias("side"))
@@ -90,11 +120,16 @@ class CaseGraph:
         rows = self.read("parties").where(F.col("party_type").ilike("%defendant%")).select("docket_id", T.normalize_name(absent_if_blank("name")).alias("company"))
         return rows.where("company <> ''").distinct()
 
+    def represented_by(self) -> DataFrame:
+        """Docket to firm, with the side of the docket's first party."""
+        attorneys = self._attorneys if self._attorneys is not None else self.read("parties").select("docket_id", F.col("extra_info").alias("contact_raw"))
+        return represented_by(attorneys, self.read("parties")).where("docket_id is not null")
+
     def nodes(self) -> dict[str, DataFrame]:
-        return {"Case": self.cases(), "Opinion": self.opinions(), "Statute": self.statutes(), "Argument": self.arguments(), "Judge": self.judges(), "Company": self.companies()}
+        return {"Case": self.cases(), "Opinion": self.opinions(), "Statute": self.statutes(), "Argument": self.arguments(), "Judge": self.judges(), "Company": self.companies(), "Firm": self.firms()}
 
     def edges(self) -> dict[str, DataFrame]:
-        return {"HAS_OPINION": self.has_opinion(), "CITES": self.cites(), "CHARGED_UNDER": self.charged_under(), "INVOLVES": self.involves(), "DECIDED_BY": self.decided_by(), "DEFENDANT_IS": self.defendant_is()}
+        return {"HAS_OPINION": self.has_opinion(), "CITES": self.cites(), "CHARGED_UNDER": self.charged_under(), "INVOLVES": self.involves(), "DECIDED_BY": self.decided_by(), "DEFENDANT_IS": self.defendant_is(), "REPRESENTED_BY": self.represented_by()}
 
 
 def sign(outcome, side):
@@ -133,3 +168,30 @@ def within_two(starts: DataFrame, cites: DataFrame) -> DataFrame:
     hop2 = one.select(F.col("src").alias("start"), F.col("dst").alias("mid"), "edge").distinct().join(second, "mid").where("edge <> edge2 and opinion_id <> start")
     hop2 = hop2.select("start", "opinion_id", F.lit(2).alias("distance")).distinct()
     return hop1.unionByName(hop2).groupBy("start", "opinion_id").agg(F.min("distance").alias("distance"))
+
+
+def chains_of_three(cites: DataFrame) -> DataFrame:
+    """(opinion_id, n): chains a, b, c of distinct links a to b and b to c with a unlike c, counted by a.
+
+    A link to b goes on over each of b's links but one back to a, so degrees and reciprocal links give the count: no path
+    is formed, and a much cited opinion costs no more than its links.
+    """
+    out = cites.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("n"))
+    back = cites.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("back"))
+    ends = cites.join(out, "dst").join(back, ["src", "dst"], "left")
+    return ends.groupBy(F.col("src").alias("opinion_id")).agg(F.sum(F.col("n") - F.coalesce("back", F.lit(0))).alias("n")).where("n > 0")
+
+
+def chain_sample(cites: DataFrame, most: int = 10) -> DataFrame:
+    """(a, b, c): the first ``most`` chains in order of their opinions, from the first links that can hold them.
+
+    A link gives a chain unless it leads nowhere or only back, so the first ``most`` of the others suffice; each is
+    followed over at most most + 1 links.
+    """
+    sources = cites.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("n"))
+    back = cites.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("back"))
+    going = cites.join(sources, "dst").join(back, ["src", "dst"], "left").where(F.col("n") > F.coalesce("back", F.lit(0)))
+    first = going.select(F.col("src").alias("a"), F.col("dst").alias("b")).orderBy("a", "b").limit(most)
+    on = cites.select(F.col("src").alias("b"), F.col("dst").alias("c")).join(F.broadcast(first.select("b").distinct()), "b")  # most rows
+    few = on.withColumn("_n", F.row_number().over(Window.partitionBy("b").orderBy("c"))).where(F.col("_n") <= most + 1).drop("_n")
+    return first.join(few, "b").where("a <> c").select("a", "b", "c").orderBy("a", "b", "c").limit(most)

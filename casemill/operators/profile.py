@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casemill.plans.durable import durable
+from casemill.plans.ranking import sum_below
+
 # Codes of court statistics.
 DISPOSITIONS = {
     0: "Ongoing / not terminated", 1: "Transfer to another district", 2: "Remanded", 3: "Dismissed - want of prosecution", 4: "Dismissed - lack of jurisdiction",
@@ -40,13 +43,13 @@ def density(df: DataFrame, columns: list[str]) -> Column:
 
 
 def upper_median(values: DataFrame, column: str) -> DataFrame:
-    """(median): of n sorted values the one at n div 2, from counts of distinct values."""
-    from pyspark.sql import Window
-
+    """(median, mean, n): of n sorted values the one at n div 2, and their mean, from counts of distinct values."""
     by = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("median")).agg(F.count("*").alias("c"))
-    total = by.agg(F.sum("c").alias("t"))
-    before = F.sum("c").over(Window.orderBy("median").rowsBetween(Window.unboundedPreceding, 0))
-    return by.withColumn("upto", before).join(total).where(F.col("upto") > F.floor(F.col("t") / 2)).orderBy("median").limit(1).select("median")
+    placed = durable(sum_below(by, "median", "c", "below"), "median")
+    total = placed.agg(F.sum("c")).first()[0] or 0
+    middle = (F.col("below") <= total // 2) & (F.col("below") + F.col("c") > total // 2)
+    mean = F.sum(F.col("median") * F.col("c")) / F.nullif(F.sum("c"), F.lit(0))
+    return placed.agg(F.max(F.when(middle, F.col("median"))).alias("median"), F.round(mean, 6).alias("mean"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
 
 
 def bins(df: DataFrame, column: str, width: int) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: cases of the same court that a query case gets
+COURT_LIMIT = 50
 #: queries of one block: what is broadcast at once
 BLOCK = 2048
 PROXIMITY = {1: 1.0, 2: 0.5, 3: 0.3, 4: 0.1}
@@ -64,10 +66,22 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLO
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def same_attribute(queries: DataFrame, attribute: DataFrame, value: str, cases: DataFrame) -> DataFrame:
-    """(query, docket_id): other cases that share a value. attribute: docket_id, value; queries: query (docket ids)."""
+def same_attribute(queries: DataFrame, attribute: DataFrame, value: str, cases: DataFrame, limit: int | None = None) -> DataFrame:
+    """(query, docket_id): other cases that share a value. attribute: docket_id, value; queries: query (docket ids).
+
+    limit: at most so many a query and value, the least docket ids. Then each value is cut to limit + 1 cases before it
+    is joined, so a value that a third of all cases share gives no more rows than another.
+    """
     mine = queries.join(attribute.withColumnRenamed("docket_id", "query"), "query").select("query", value).distinct()
-    return mine.join(attribute.select("docket_id", value), value).where("docket_id <> query").select("query", "docket_id").distinct().join(cases.select("docket_id"), "docket_id", "left_semi")
+    theirs = attribute.select("docket_id", value).distinct().join(cases.select("docket_id"), "docket_id", "left_semi")
+    if limit is not None:
+        first = Window.partitionBy(value).orderBy("docket_id")
+        theirs = theirs.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit + 1).drop("_n")
+    found = mine.join(theirs, value).where("docket_id <> query")
+    if limit is not None:
+        first = Window.partitionBy("query", value).orderBy("docket_id")
+        found = found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit)
+    return found.select("query", "docket_id").distinct()
 
 
 def closest(candidates: DataFrame) -> DataFrame:

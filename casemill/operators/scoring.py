@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.plans.durable import durable
+from casemill.plans.durable import durable, forget
 
 
 def seeds(edges: DataFrame) -> DataFrame:
@@ -13,34 +13,28 @@ def seeds(edges: DataFrame) -> DataFrame:
     return edges.groupBy("case_id").agg(F.max_by("seed", F.abs("seed")).cast("double").alias("score"))
 
 
-def reinforce(edges: DataFrame, rounds: int = 200, epsilon: float = 1e-6, cut_every: int = 5) -> tuple[DataFrame, DataFrame, int]:
+def reinforce(edges: DataFrame, rounds: int = 200, epsilon: float = 1e-6) -> tuple[DataFrame, DataFrame, int]:
     """(arguments, cases, rounds done): each side's score is the other's signed mean by absolute weight, 0 without weight.
 
-    Two joins and aggregates a round, partitioned by the two keys; nodes that have zero signs only stay with 0. The
-    lineage is cut by a written table every ``cut_every`` rounds, when the greatest change is looked at.
+    Rounds end when no score of either side moves by epsilon or more, or after ``rounds``. Two joins and aggregates a
+    round, partitioned by the two keys; nodes that have zero signs only stay with 0. Each round is written with the
+    scores before it, which cuts the lineage and gives the greatest change by a scan; earlier rounds are removed.
     """
     edges = durable(edges.select("case_id", "arg_id", F.col("sign").cast("double").alias("sign"), "seed"), "edges")
-    cases, args, done = seeds(edges), None, 0
-    before_args = edges.select("arg_id").distinct().withColumn("score", F.lit(1.0))
-    mean = lambda v: F.when(F.sum(F.abs(v)) > 0, F.sum(v) / F.sum(F.abs(v))).otherwise(0.0)
-    before_cases = cases
-    while done < rounds:
-        args = edges.join(cases, "case_id").groupBy("arg_id").agg(mean(F.col("sign") * F.col("score")).alias("score"))
-        cases = edges.join(args, "arg_id").groupBy("case_id").agg(mean(F.col("sign") * F.col("score")).alias("score"))
+    mean = lambda v: F.when(F.sum(F.abs(v)) > 0, F.sum(v) / F.sum(F.abs(v))).otherwise(0.0).alias("score")
+    cases, args, done = seeds(edges), edges.select("arg_id").distinct().withColumn("score", F.lit(1.0)), 0
+    moved = epsilon
+    while done < rounds and moved >= epsilon:
+        before = args, cases
+        args = edges.join(cases.select("case_id", "score"), "case_id").groupBy("arg_id").agg(mean(F.col("sign") * F.col("score")))
+        args = durable(args.join(before[0].select("arg_id", F.col("score").alias("was")), "arg_id"), "args")
+        cases = edges.join(args.select("arg_id", "score"), "arg_id").groupBy("case_id").agg(mean(F.col("sign") * F.col("score")))
+        cases = durable(cases.join(before[1].select("case_id", F.col("score").alias("was")), "case_id"), "cases")
+        change = args.select("score", "was").unionAll(cases.select("score", "was")).agg(F.max(F.abs(F.col("score") - F.col("was"))))
+        moved = change.first()[0] or 0.0
+        forget(*before)
         done += 1
-        if done % cut_every == 0 or done == rounds:
-            args, cases = durable(args, "args"), durable(cases, "cases")
-            if done >= rounds:
-                break
-            moved = max(_moved(args, before_args, "arg_id"), _moved(cases, before_cases, "case_id"))
-            before_args, before_cases = args, cases
-            if moved < epsilon:
-                break
-    return args, cases, done
-
-
-def _moved(now: DataFrame, before: DataFrame, key: str) -> float:
-    return now.join(before.withColumnRenamed("score", "was"), key).agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0
+    return args.select("arg_id", "score"), cases.select("case_id", "score"), done
 
 
 def long_table(args: DataFrame, cases: DataFrame) -> DataFrame:
@@ -60,10 +54,10 @@ def band(score):
     return chosen
 
 
-def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
-    """(bin, n) of equal width, the last one closed; values outside are left out."""
+def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, *by: str) -> DataFrame:
+    """(by..., bin, n) of equal width, the last one closed; values outside are left out."""
     at = F.least(F.floor((F.col(value) - low) / (high - low) * bins), F.lit(bins - 1))
-    return df.where(F.col(value).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    return df.where(F.col(value).between(low, high)).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def direction(outcome, score):

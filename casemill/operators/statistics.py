@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.plans.ranking import sum_below
+
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """(auc, n_pos, n_neg): Mann-Whitney by average ranks of the distinct scores; null if a class is empty.
@@ -14,8 +19,7 @@ def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     Ranks are taken over distinct scores with counts, which are rounded values in practice and few next to the rows.
     """
     by = df.where(f"{score} is not null and {positive} is not null").groupBy(F.col(score).alias("s")).agg(F.count("*").alias("c"), F.count_if(F.col(positive)).alias("p"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("r", F.coalesce(F.sum("c").over(below), F.lit(0)) + (F.col("c") + 1) / 2)
+    ranked = sum_below(by, "s", "c", "below").withColumn("r", F.col("below") + (F.col("c") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("r") * F.col("p")).alias("u"), F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum(F.col("c") - F.col("p")), F.lit(0)).alias("n_neg"))
     value = (F.col("u") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))
     return sums.select(F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.round(value, 6)).alias("auc"), "n_pos", "n_neg")
@@ -24,16 +28,41 @@ def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """Adds the average rank of a column, from distinct values with counts."""
     by = df.groupBy(column).agg(F.count("*").alias("_c"))
-    below = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = by.withColumn(out, F.coalesce(F.sum("_c").over(below), F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
-    return df.join(ranks, column)
+    ranks = sum_below(by, column, "_c", "_below")
+    return df.join(ranks.select(column, (F.col("_below") + (F.col("_c") + 1) / 2).alias(out)), column)
+
+
+def beta_tail(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if not 0 < x < 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_tail(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d, out = 1.0, 1 / (1 - (a + b) * x / (a + 1)), 1 / (1 - (a + b) * x / (a + 1))
+    for m in range(1, 500):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            c, d = 1 + step / c, 1 / (1 + step * d)
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * out
+
+
+def two_sided(r: float, n: int) -> float | None:
+    """The p-value of a correlation of n pairs under no association, by Student's t with n - 2 degrees of freedom."""
+    if r is None or n < 3:
+        return None
+    return beta_tail(1 - r * r, (n - 2) / 2, 0.5)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(rho, n): Pearson's correlation of average ranks; null if a side is constant."""
+    """(rho, p, n): Pearson's correlation of average ranks with its p-value; null if a side is constant."""
     rows = average_rank(average_rank(df.where(f"{x} is not null and {y} is not null").select(x, y), x, "_rx"), y, "_ry")
     spread = F.stddev_pop("_rx") * F.stddev_pop("_ry")
-    return rows.agg(F.round(F.try_divide(F.covar_pop("_rx", "_ry"), F.when(spread > 0, spread)), 6).alias("rho"), F.count("*").alias("n"))
+    out = rows.agg(F.try_divide(F.covar_pop("_rx", "_ry"), F.when(spread > 0, spread)).alias("rho"), F.count("*").alias("n"))
+    tail = F.pandas_udf(lambda r, n: pd.Series([two_sided(None if pd.isna(a) else a, int(b)) for a, b in zip(r, n)], dtype="float64"), "double")
+    return out.select(F.round("rho", 6).alias("rho"), F.round(tail("rho", "n"), 6).alias("p"), "n")
 
 
 def confusion(df: DataFrame, true: str, pred: str) -> DataFrame:
@@ -59,31 +88,46 @@ def accuracy(df: DataFrame, true: str, pred: str) -> DataFrame:
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """(kappa, n): Cohen's; 0 without rows, 1 if chance agreement is total."""
     cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    total = cells.agg(F.sum("n").alias("t"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
-    x, y = cells.groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("x")), cells.groupBy(F.col("b").alias("c")).agg(F.sum("n").alias("y"))
-    chance = x.join(y, "c").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).alias("xy"))
-    both = total.join(chance)  # one row each
+    # per class its cells on either side, then everything in one aggregate
+    sides = cells.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.lit(True).alias("first")), F.struct(F.col("b").alias("c"), F.lit(False).alias("first")))).alias("s"), "a", "b", "n")
+    one, other = F.sum(F.when(F.col("s.first"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("s.first"), 0).otherwise(F.col("n")))
+    same = F.sum(F.when(F.col("s.first") & (F.col("a") == F.col("b")), F.col("n")).otherwise(0))
+    classes = sides.groupBy("s.c").agg(one.alias("x"), other.alias("y"), same.alias("same"))
+    both = classes.agg(F.sum("x").alias("t"), F.sum("same").alias("same"), F.sum(F.col("x") * F.col("y")).alias("xy"))
     po, pe = F.col("same") / F.col("t"), F.col("xy") / (F.col("t") * F.col("t"))
     return both.select(F.round(F.when(F.coalesce("t", F.lit(0)) == 0, 0.0).when(pe >= 1, 1.0).otherwise((po - pe) / (1 - pe)), 6).alias("kappa"), F.coalesce("t", F.lit(0)).alias("n"))
 
 
-def bootstrap(df: DataFrame, value: str, statistic=np.mean, resamples: int = 10_000, level: float = 0.95, seed: int = 2026, most: int = 1_000_000) -> DataFrame:
-    """(point, low, high): percentile interval of a statistic of one numeric column, over at most ``most`` values.
+def weighted_mean(values: np.ndarray, counts: np.ndarray) -> float:
+    return float((values * counts).sum() / counts.sum())
 
-    Resampling is positional: values are sorted first, so that the result doesn't hang on the order of rows. More
-    values than ``most`` raise an error rather than be cut.
-    """
-    values = df.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("g")).where("v is not null")
-    if values.count() > most:
-        raise ValueError(f"more than {most} values: aggregate them first")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, rng = np.sort(pdf["v"].to_numpy()), np.random.RandomState(seed)
-        stats = [statistic(rng.choice(v, v.size, replace=True)) for _ in range(resamples)]
-        low, high = np.percentile(stats, [50 * (1 - level), 100 - 50 * (1 - level)])
-        return pd.DataFrame({"point": [float(statistic(v))], "low": [low], "high": [high]})
+def bootstrap(df: DataFrame, value: str, statistic: Callable[[np.ndarray, np.ndarray], float] = weighted_mean, resamples: int = 10_000, level: float = 0.95, seed: int = 2026, most: int = 1_000_000) -> DataFrame:
+    """(point, low, high): percentile interval of a statistic of one numeric column; nulls without values.
 
-    return values.groupBy("g").applyInPandas(run, "point double, low double, high double")
+    statistic: of distinct values and their counts. A resample of n values is a multinomial draw of the counts, so only
+    distinct values are held, however many rows there are, and the resamples are spread over tasks with a seed each. More
+    distinct values than ``most`` are an error; for these pass a rounded column.
+    """
+    spark = df.sparkSession
+    by = df.select(F.col(value).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")).orderBy("v").limit(most + 1).toPandas()
+    if len(by) > most:
+        raise ValueError(f"more than {most} distinct values: round them first")
+    if by.empty:
+        return spark.createDataFrame([(None, None, None)], "point double, low double, high double")
+    values, counts = by["v"].to_numpy(), by["n"].to_numpy()
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        share = counts / counts.sum()
+        for batch in batches:
+            stats = []
+            for k in batch["id"]:
+                drawn = np.random.default_rng([seed, int(k)]).multinomial(counts.sum(), share)
+                stats.append(statistic(values[drawn > 0], drawn[drawn > 0]))
+            yield pd.DataFrame({"s": stats})
+
+    ends = spark.range(resamples).mapInPandas(draw, "s double").agg(F.percentile("s", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"))
+    return ends.select(F.lit(float(statistic(values, counts))).alias("point"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def ranking_metrics(hits: DataFrame, query: str, rank: str, relevant: str, k: int) -> DataFrame:

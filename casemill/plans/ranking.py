@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.plans.durable import durable
+
 BUCKETS = 4096
 
 
@@ -24,3 +26,17 @@ def running_sum(df: DataFrame, size: str, order: list[str], out: str, buckets: i
         .withColumn(out, F.col("_start") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
         .drop("_b", "_start")
     )
+
+
+def sum_below(df: DataFrame, value: str, size: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``size`` over the rows with a smaller ``value``; values must be distinct.
+
+    Rows are cut into ranges of the value and written, so that the ranges stay what they are; one sum per range passes
+    through one task, and an ordinary window does the rest within each range.
+    """
+    placed = durable(df.repartitionByRange(value).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_p").agg(F.sum(size).alias("_s")).select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    # a row a range
+    return placed.join(F.broadcast(starts), "_p").withColumn(out, F.col("_start") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("_p", "_start")

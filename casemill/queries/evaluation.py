@@ -8,7 +8,7 @@ from casemill.operators import extractions as X
 from casemill.operators import statistics as St
 from casemill.operators.graph import CaseGraph
 from casemill.operators.records import one_per_key
-from casemill.queries.graph import _ANCO, BASE, anco_k5
+from casemill.queries.graph import _DONE, BASE, anco_converged
 from casemill.queries.text import _OUTCOME
 from casemill.tables import table
 
@@ -51,7 +51,7 @@ def majority_baseline(spark, d):
 
 
 def _scored(spark, d):
-    scores = anco_k5(spark, d).where("entity_type = 'case'").select(F.col("entity_id").cast("bigint").alias("docket_id"), "score")
+    scores = anco_converged(spark, d).where("entity_type = 'case'").select(F.col("entity_id").cast("bigint").alias("docket_id"), "score")
     return scores.join(CaseGraph(spark, d).cases().select("docket_id", "outcome_label"), "docket_id").where("outcome_label in ('PLAINTIFF_WINS', 'DEFENDANT_WINS')")
 
 
@@ -65,7 +65,7 @@ def score_spearman(spark, d):
 
 def threshold_baseline(spark, d):
     """Classes from scores beyond 0.3 either way, against the labels of all scored cases."""
-    scores = anco_k5(spark, d).where("entity_type = 'case'").select(F.col("entity_id").cast("bigint").alias("docket_id"), "score")
+    scores = anco_converged(spark, d).where("entity_type = 'case'").select(F.col("entity_id").cast("bigint").alias("docket_id"), "score")
     pred = F.when(F.col("score") > 0.3, "PLAINTIFF_WINS").when(F.col("score") < -0.3, "DEFENDANT_WINS").otherwise("MIXED")
     rows = scores.join(CaseGraph(spark, d).cases().select("docket_id", "outcome_label"), "docket_id").where("outcome_label is not null").withColumn("pred", pred)
     return St.accuracy(rows, "outcome_label", "pred")
@@ -141,7 +141,7 @@ lv AS (SELECT *, row_number() OVER (PARTITION BY opinion_id ORDER BY try_cast(rt
 cmp AS (SELECT l.docket_id, l.opinion_id, outcome_label AS t, procedural_stage AS ts, j->>'$.outcome' AS p, j->>'$.procedural_stage' AS ps FROM lb l JOIN lx USING (opinion_id) WHERE l.rn = 1 AND outcome_label IS NOT NULL AND j->>'$.outcome' IS NOT NULL)"""
 _KAPPA = lambda a, b, src: f"(SELECT round(CASE WHEN pe >= 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa, n FROM (SELECT (SELECT avg(CAST({a} = {b} AS INT)) FROM {src}) AS po, (SELECT coalesce(sum(x.n * y.n), 0) FROM (SELECT {a} AS c, count(*) AS n FROM {src} GROUP BY 1) x JOIN (SELECT {b} AS c, count(*) AS n FROM {src} GROUP BY 1) y USING (c)) / (SELECT count(*) * count(*) FROM {src}) AS pe, (SELECT count(*) FROM {src}) AS n))"
 _STG = "(SELECT * FROM cmp WHERE ts IS NOT NULL AND ps IS NOT NULL)"
-_SC = _ANCO + ", sc AS (SELECT docket_id, outcome_label AS o, score FROM scores JOIN kase ON CAST(docket_id AS VARCHAR) = entity_id WHERE entity_type = 'case')"
+_SC = _DONE + ", sc AS (SELECT docket_id, outcome_label AS o, score FROM scores JOIN kase ON CAST(docket_id AS VARCHAR) = entity_id WHERE entity_type = 'case')"
 ORACLES = {
     "confusion": _CMP + " SELECT t AS true, p AS pred, count(*) AS n FROM cmp GROUP BY 1, 2",
     "per_class": _CMP
@@ -156,7 +156,7 @@ ORACLES = {
     SELECT CASE WHEN a > 0 AND b > 0 THEN round((u - a * (a + 1) / 2) / (a * b), 6) END AS auc, a AS n_pos, b AS n_neg FROM c""",
     "score_spearman": _SC
     + """, y AS (SELECT score, CASE o WHEN 'PLAINTIFF_WINS' THEN 1 ELSE -1 END AS y FROM sc WHERE o IN ('PLAINTIFF_WINS', 'DEFENDANT_WINS')), r AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM y)
-    SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM r""",
+    SELECT round(r, 6) AS rho, n, CASE WHEN r IS NOT NULL AND n > 2 THEN round(1 - exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) / sqrt(pi()) * 2 * (SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(i / 4000 * asin(abs(r))), n - 3)) * asin(abs(r)) / 4000 / 3 FROM range(4001) g(i)), 6) END AS p FROM (SELECT corr(a, b) AS r, count(*) AS n FROM r)""",
     "threshold_baseline": _SC
     + """, p AS (SELECT o, CASE WHEN score > 0.3 THEN 'PLAINTIFF_WINS' WHEN score < -0.3 THEN 'DEFENDANT_WINS' ELSE 'MIXED' END AS p FROM sc WHERE o IS NOT NULL), g AS (SELECT o, avg(CAST(o = p AS INT)) AS r FROM p GROUP BY 1)
     SELECT (SELECT round(avg(CAST(o = p AS INT)), 6) FROM p) AS accuracy, (SELECT round(avg(r), 6) FROM g) AS balanced, (SELECT count(*) FROM p) AS n""",

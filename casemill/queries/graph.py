@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from casemill.functions import text as T
 from casemill.operators import scoring as S
-from casemill.operators.graph import CaseGraph, counts, within_two
+from casemill.operators.graph import CaseGraph, chain_sample, chains_of_three, counts, within_two
+from casemill.plans.durable import durable
+from casemill.tables import table
 
 EVERY = 50  # query rows: ids that are divisible by this
-
+#: digits to which converged scores are given
+DIGITS = 5
 
 
 def node_case(spark, d):
@@ -59,8 +63,22 @@ def edge_defendant(spark, d):
     return CaseGraph(spark, d).defendant_is()
 
 
+def _with_firms(spark, d, keep=False):
+    """The graph with contact blocks made of the parties' names and notes, as the tables have no attorneys."""
+    attorneys = table(spark, d, "parties").select("docket_id", F.concat_ws("\n", "extra_info", "name").alias("contact_raw"))
+    return CaseGraph(spark, d, keep, attorneys)
+
+
+def edge_represented_by(spark, d):
+    return _with_firms(spark, d).represented_by()
+
+
+def node_firm(spark, d):
+    return _with_firms(spark, d).firms()
+
+
 def graph_counts(spark, d):
-    g = CaseGraph(spark, d)
+    g = _with_firms(spark, d, keep=True)
     return counts({**g.nodes(), **g.edges()})
 
 
@@ -70,18 +88,21 @@ def sign_distribution(spark, d):
 
 def orphan_cases(spark, d):
     """Cases without any edge."""
-    g = CaseGraph(spark, d)
+    g = _with_firms(spark, d)
     out = g.cases().select("docket_id")
-    for e in (g.has_opinion(), g.charged_under(), g.involves(), g.decided_by(), g.defendant_is()):
+    for e in (g.has_opinion(), g.charged_under(), g.involves(), g.decided_by(), g.defendant_is(), g.represented_by()):
         out = out.join(e.select("docket_id"), "docket_id", "left_anti")
     return out
 
 
 def chain3(spark, d):
     """Citation chains of three opinions, counted by the first."""
-    c = CaseGraph(spark, d).cites()
-    chains = c.alias("a").join(c.alias("b"), F.expr("a.dst = b.src and a.src <> b.dst"))
-    return chains.groupBy(F.col("a.src").alias("opinion_id")).agg(F.count("*").alias("n"))
+    return chains_of_three(CaseGraph(spark, d).cites())
+
+
+def chain3_sample(spark, d):
+    """The first ten such chains."""
+    return chain_sample(CaseGraph(spark, d, keep=True).cites())
 
 
 def hops(spark, d):
@@ -91,8 +112,8 @@ def hops(spark, d):
     return within_two(starts, g.cites()).withColumn("distance", F.col("distance").cast("long"))
 
 
-def _edges(spark, d):
-    g = CaseGraph(spark, d)
+def _edges(spark, d, g=None):
+    g = g or CaseGraph(spark, d, keep=True)
     uses = g.involves()
     outcome = F.col("x.outcome")
     seed = F.when(outcome == "PLAINTIFF_WINS", 1).when(outcome == "DEFENDANT_WINS", -1).otherwise(0)
@@ -106,9 +127,10 @@ def anco_k5(spark, d):
     return S.long_table(args, cases).withColumn("score", F.round("score", 6) + 0.0)
 
 
-def anco_converged(spark, d):
-    args, cases, _ = S.reinforce(_edges(spark, d))
-    return S.long_table(args, cases).withColumn("score", F.round("score", 6) + 0.0)
+def anco_converged(spark, d, g=None):
+    """Scores of arguments and cases when nothing moves any more."""
+    args, cases, _ = S.reinforce(_edges(spark, d, g))
+    return S.long_table(args, cases).withColumn("score", F.round("score", DIGITS) + 0.0)
 
 
 def bip_degree(spark, d):
@@ -118,16 +140,21 @@ def bip_degree(spark, d):
 
 
 def score_bands(spark, d):
-    return anco_k5(spark, d).where("entity_type = 'argument'").groupBy(S.band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
+    return anco_converged(spark, d).where("entity_type = 'argument'").groupBy(S.band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
 
 
 def score_histogram(spark, d):
-    return S.histogram(anco_k5(spark, d), "score", -1.1, 1.1, 20)
+    """Scores of cases in 20 bins by outcome of their label, and of arguments in 30."""
+    scores = durable(anco_converged(spark, d), "scores")
+    outcome = CaseGraph(spark, d).cases().select(F.col("docket_id").cast("string").alias("entity_id"), F.coalesce("outcome_label", F.lit("none")).alias("of"))
+    cases = scores.where("entity_type = 'case'").join(outcome, "entity_id")
+    args = scores.where("entity_type = 'argument'").withColumn("of", F.lit("argument"))
+    return S.histogram(cases, "score", -1.1, 1.1, 20, "of").unionByName(S.histogram(args, "score", -1.1, 1.1, 30, "of"))
 
 
 def score_by_outcome(spark, d):
     g = CaseGraph(spark, d)
-    scores = anco_k5(spark, d).where("entity_type = 'case'").select(F.col("entity_id").cast("bigint").alias("docket_id"), "score")
+    scores = anco_converged(spark, d).where("entity_type = 'case'").select(F.col("entity_id").cast("bigint").alias("docket_id"), "score")
     joined = scores.join(g.cases().select("docket_id", "outcome_label"), "docket_id")
     s = F.col("score")
     return joined.groupBy("outcome_label").agg(F.count("*").alias("n"), F.round(F.avg(s), 6).alias("mean"), F.round(F.stddev_pop(s), 6).alias("std"), F.min(s).alias("least"), F.max(s).alias("most"), F.round(F.avg((F.abs(s) > 0.99).cast("double")), 6).alias("extremal"), F.count_if(S.direction(F.col("outcome_label"), s)).alias("n_agree"))
@@ -135,12 +162,12 @@ def score_by_outcome(spark, d):
 
 def top_bottom(spark, d):
     """The ten highest and lowest argument scores; ties by hash."""
-    args = anco_k5(spark, d).where("entity_type = 'argument'").select("entity_id", "score")
+    args = anco_converged(spark, d).where("entity_type = 'argument'").select("entity_id", "score")
     top = args.orderBy(F.desc("score"), "entity_id").limit(10).withColumn("kind", F.lit("top"))
     return top.unionByName(args.orderBy("score", "entity_id").limit(10).withColumn("kind", F.lit("bottom")))
 
 
-QUERIES = {f.__name__: f for f in (node_case, node_opinion, node_statute, node_argument, node_judge, node_company, edge_has_opinion, edge_cites, edge_charged_under, edge_involves, edge_decided_by, edge_defendant, graph_counts, sign_distribution, orphan_cases, chain3, hops, anco_k5, anco_converged, bip_degree, score_bands, score_histogram, score_by_outcome, top_bottom)}
+QUERIES = {f.__name__: f for f in (node_case, node_opinion, node_statute, node_argument, node_judge, node_company, edge_has_opinion, edge_cites, edge_charged_under, edge_involves, edge_decided_by, edge_defendant, edge_represented_by, node_firm, graph_counts, sign_distribution, orphan_cases, chain3, chain3_sample, hops, anco_k5, anco_converged, bip_degree, score_bands, score_histogram, score_by_outcome, top_bottom)}
 
 _STAMP = lambda c: f"try_cast(rtrim(replace(trim({c}), 'T', ' '), 'Z') AS TIMESTAMP)"
 _NORM = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(trim({0}), '(?i)^(hon\.?|judge|justice|chief\s+judge|magistrate\s+judge)\s+', ''), '(?i),?\s*(jr\.?|sr\.?|iii?|iv|esq\.?|ph\.?d\.?|j\.?d\.?)$', ''), '\s+', ' ', 'g')))"
@@ -164,21 +191,29 @@ charged AS (SELECT DISTINCT docket_id, {_STATUTE.format('st')} AS statute FROM (
 authors AS (SELECT DISTINCT docket_id, {_NORM.format('author_str')} AS judge FROM opinions WHERE trim(author_str) <> '' AND {_NORM.format('author_str')} <> ''),
 decided AS (SELECT * FROM authors UNION SELECT docket_id, {_NORM.format('assigned_to_str')} FROM kase WHERE trim(assigned_to_str) <> '' AND {_NORM.format('assigned_to_str')} <> '' AND docket_id NOT IN (SELECT docket_id FROM authors WHERE docket_id IS NOT NULL)),
 defendant AS (SELECT DISTINCT docket_id, {_NORM.format('name')} AS company FROM parties WHERE party_type ILIKE '%defendant%' AND trim(name) <> '' AND {_NORM.format('name')} <> ''),
+firm0 AS (SELECT DISTINCT docket_id, lower(trim(regexp_replace(list_filter(list_transform(string_split(concat_ws(chr(10), extra_info, name), chr(10)), lambda x: trim(x)), lambda x: length(x) >= 5 AND NOT regexp_matches(x, '{T.CONTACT_LINE}') AND regexp_matches(x, '{T.FIRM_MARKS}'))[1], '\s+', ' ', 'g'))) AS firm FROM parties),
+side AS (SELECT docket_id, min_by(CASE WHEN contains(party_type, 'Defendant') THEN 'defendant' ELSE 'plaintiff' END, party_id) AS side FROM parties GROUP BY 1),
+repby AS (SELECT f.docket_id, firm, side FROM firm0 f LEFT JOIN side s ON s.docket_id = f.docket_id WHERE firm IS NOT NULL AND f.docket_id IS NOT NULL),
 hasop AS (SELECT DISTINCT docket_id, opinion_id FROM opinions WHERE docket_id IN (SELECT docket_id FROM kase)),
 seed0 AS (SELECT docket_id, CASE j->>'$.outcome' WHEN 'PLAINTIFF_WINS' THEN 1 ELSE -1 END AS seed, row_number() OVER (PARTITION BY docket_id ORDER BY id) AS rn FROM runs
   WHERE j->>'$.outcome' IN ('PLAINTIFF_WINS', 'DEFENDANT_WINS') AND json_array_length(j, '$.arguments_plaintiff') + json_array_length(j, '$.arguments_defendant') > 0),
 e AS (SELECT i.docket_id AS case_id, text_hash AS arg_id, CAST(sign AS DOUBLE) AS sign, coalesce(seed, 0) AS seed FROM involves i LEFT JOIN (SELECT * FROM seed0 WHERE rn = 1) s ON s.docket_id = i.docket_id)"""
 
 
-def anco_sql(rounds: int) -> str:
+ROUNDS = 40
+
+
+def anco_sql(rounds: int, digits: int = 6) -> str:
     out = ", x0 AS (SELECT DISTINCT case_id, CAST(seed AS DOUBLE) AS score FROM e)"
     mean = "coalesce(sum(sign * score) / nullif(sum(abs(sign * score)), 0), 0) AS score"
     for k in range(1, rounds + 1):
         out += f", y{k} AS MATERIALIZED (SELECT arg_id, {mean} FROM e JOIN x{k - 1} USING (case_id) GROUP BY 1), x{k} AS MATERIALIZED (SELECT case_id, {mean} FROM e JOIN y{k} USING (arg_id) GROUP BY 1)"
-    return out + f", scores AS (SELECT 'argument' AS entity_type, arg_id AS entity_id, round(score, 6) + 0.0 AS score FROM y{rounds} UNION ALL SELECT 'case', CAST(case_id AS VARCHAR), round(score, 6) + 0.0 FROM x{rounds})"
+    return out + f", scores AS (SELECT 'argument' AS entity_type, arg_id AS entity_id, round(score, {digits}) + 0.0 AS score FROM y{rounds} UNION ALL SELECT 'case', CAST(case_id AS VARCHAR), round(score, {digits}) + 0.0 FROM x{rounds})"
 
 
 _ANCO = BASE + anco_sql(5)
+#: rounds by which nothing moves any more on tables of the size that SQL is checked on
+_DONE = BASE + anco_sql(ROUNDS, DIGITS)
 ORACLES = {
     "node_case": BASE + " SELECT docket_id, court_id, outcome_label, has_irac FROM kase",
     "node_opinion": BASE + " SELECT opinion_id, docket_id, internal FROM opinion",
@@ -191,26 +226,32 @@ ORACLES = {
     "edge_charged_under": BASE + " SELECT * FROM charged",
     "edge_involves": BASE + " SELECT * FROM involves",
     "edge_decided_by": BASE + " SELECT * FROM decided",
+    "edge_represented_by": BASE + " SELECT docket_id, firm, side FROM repby",
+    "node_firm": BASE + " SELECT DISTINCT firm FROM repby",
     "edge_defendant": BASE + " SELECT * FROM defendant",
     "graph_counts": BASE
     + """ SELECT 'Case' AS name, count(*) AS n FROM kase UNION ALL SELECT 'Opinion', count(*) FROM opinion UNION ALL SELECT 'Statute', count(DISTINCT statute) FROM charged
     UNION ALL SELECT 'Argument', count(DISTINCT text_hash) FROM a UNION ALL SELECT 'Judge', count(DISTINCT judge) FROM decided UNION ALL SELECT 'Company', count(DISTINCT company) FROM defendant
     UNION ALL SELECT 'HAS_OPINION', count(*) FROM hasop UNION ALL SELECT 'CITES', count(*) FROM cites UNION ALL SELECT 'CHARGED_UNDER', count(*) FROM charged UNION ALL SELECT 'INVOLVES', count(*) FROM involves
-    UNION ALL SELECT 'DECIDED_BY', count(*) FROM decided UNION ALL SELECT 'DEFENDANT_IS', count(*) FROM defendant""",
+    UNION ALL SELECT 'DECIDED_BY', count(*) FROM decided UNION ALL SELECT 'DEFENDANT_IS', count(*) FROM defendant UNION ALL SELECT 'Firm', count(DISTINCT firm) FROM repby UNION ALL SELECT 'REPRESENTED_BY', count(*) FROM repby""",
     "sign_distribution": BASE + " SELECT sign, count(*) AS n, count(DISTINCT docket_id) AS n_cases, count(DISTINCT text_hash) AS n_arguments FROM involves GROUP BY 1",
-    "orphan_cases": BASE + " SELECT docket_id FROM kase WHERE docket_id NOT IN (SELECT docket_id FROM hasop UNION SELECT docket_id FROM charged UNION SELECT docket_id FROM involves UNION SELECT docket_id FROM decided UNION SELECT docket_id FROM defendant WHERE docket_id IS NOT NULL)",
+    "orphan_cases": BASE + " SELECT docket_id FROM kase WHERE docket_id NOT IN (SELECT docket_id FROM hasop UNION SELECT docket_id FROM charged UNION SELECT docket_id FROM involves UNION SELECT docket_id FROM decided UNION SELECT docket_id FROM defendant WHERE docket_id IS NOT NULL UNION SELECT docket_id FROM repby)",
     "chain3": BASE + " SELECT x.src AS opinion_id, count(*) AS n FROM cites x JOIN cites y ON x.dst = y.src AND x.src <> y.dst GROUP BY 1",
+    "chain3_sample": BASE + " SELECT x.src AS a, x.dst AS b, y.dst AS c FROM cites x JOIN cites y ON x.dst = y.src AND x.src <> y.dst ORDER BY 1, 2, 3 LIMIT 10",
     "hops": BASE
     + """, n AS (SELECT src, dst, src AS s, dst AS t FROM cites WHERE src <> dst UNION ALL SELECT dst, src, src, dst FROM cites WHERE src <> dst),
     h AS (SELECT src AS start, dst AS opinion_id, 1 AS distance FROM n WHERE src IN (SELECT opinion_id FROM ops WHERE opinion_id % 50 = 0)
       UNION ALL SELECT x.src, y.dst, 2 FROM n x JOIN n y ON x.dst = y.src WHERE x.src IN (SELECT opinion_id FROM ops WHERE opinion_id % 50 = 0) AND (x.s, x.t) <> (y.s, y.t) AND y.dst <> x.src)
     SELECT start, opinion_id, min(distance) AS distance FROM h GROUP BY 1, 2""",
     "anco_k5": _ANCO + " SELECT * FROM scores",
+    "anco_converged": _DONE + " SELECT * FROM scores",
     "bip_degree": BASE + ", g AS (SELECT arg_id, count(*) AS n FROM e WHERE sign <> 0 GROUP BY 1) SELECT count(*) AS n_arguments, round(avg(n), 6) AS mean_degree, max(n) AS max_degree, count_if(n = 1) AS n_single, count_if(n > 1) AS n_shared FROM g",
-    "score_bands": _ANCO + " SELECT CASE " + " ".join(f"WHEN score >= {lo} AND score < {hi} THEN '{n}'" for n, lo, hi in S.BANDS) + " END AS band, count(*) AS n FROM scores WHERE entity_type = 'argument' GROUP BY 1",
-    "score_histogram": _ANCO + " SELECT CAST(least(floor((score + 1.1) / 2.2 * 20), 19) AS BIGINT) AS bin, count(*) AS n FROM scores GROUP BY 1",
-    "score_by_outcome": _ANCO
+    "score_bands": _DONE + " SELECT CASE " + " ".join(f"WHEN score >= {lo} AND score < {hi} THEN '{n}'" for n, lo, hi in S.BANDS) + " END AS band, count(*) AS n FROM scores WHERE entity_type = 'argument' GROUP BY 1",
+    "score_histogram": _DONE
+    + """, h AS (SELECT coalesce(outcome_label, 'none') AS of_, score, 20 AS n FROM scores JOIN kase ON CAST(docket_id AS VARCHAR) = entity_id WHERE entity_type = 'case' UNION ALL SELECT 'argument', score, 30 FROM scores WHERE entity_type = 'argument')
+    SELECT of_ AS "of", CAST(least(floor((score + 1.1) / 2.2 * n), n - 1) AS BIGINT) AS bin, count(*) AS n FROM h GROUP BY 1, 2""",
+    "score_by_outcome": _DONE
     + """ SELECT outcome_label, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, min(score) AS least, max(score) AS most, round(avg(CASE WHEN abs(score) > 0.99 THEN 1.0 ELSE 0.0 END), 6) AS extremal,
     count_if(CASE outcome_label WHEN 'PLAINTIFF_WINS' THEN score > 0 WHEN 'DEFENDANT_WINS' THEN score < 0 ELSE outcome_label = 'MIXED' END) AS n_agree FROM scores JOIN kase ON CAST(docket_id AS VARCHAR) = entity_id WHERE entity_type = 'case' GROUP BY 1""",
-    "top_bottom": _ANCO + " SELECT * FROM (SELECT entity_id, score, 'top' AS kind FROM scores WHERE entity_type = 'argument' ORDER BY score DESC, entity_id LIMIT 10) UNION ALL SELECT * FROM (SELECT entity_id, score, 'bottom' FROM scores WHERE entity_type = 'argument' ORDER BY score, entity_id LIMIT 10)",
+    "top_bottom": _DONE + " SELECT * FROM (SELECT entity_id, score, 'top' AS kind FROM scores WHERE entity_type = 'argument' ORDER BY score DESC, entity_id LIMIT 10) UNION ALL SELECT * FROM (SELECT entity_id, score, 'bottom' FROM scores WHERE entity_type = 'argument' ORDER BY score, entity_id LIMIT 10)",
 }

@@ -12,7 +12,8 @@ from casemill.operators import retrieval as R
 from casemill.operators import scoring as S
 from casemill.operators.graph import CaseGraph, within_two
 from casemill.operators.statistics import ranking_metrics
-from casemill.queries.graph import _ANCO, BASE, EVERY, _edges
+from casemill.plans.durable import durable
+from casemill.queries.graph import _DONE, BASE, DIGITS, EVERY, _edges
 from casemill.tables import table
 
 MODEL, WIDTH = "lexvec-base-768", 768
@@ -44,31 +45,32 @@ def _queries(g, every=EVERY):
     return g.cases().where(F.col("docket_id") % every == 0).select(F.col("docket_id").alias("query"))
 
 
-def same_statute(spark, d, every=EVERY):
-    g = CaseGraph(spark, d)
+def same_statute(spark, d, every=EVERY, g=None):
+    g = g or CaseGraph(spark, d)
     return R.same_attribute(_queries(g, every), g.charged_under(), "statute", g.cases())
 
 
-def same_judge(spark, d, every=EVERY):
-    g = CaseGraph(spark, d)
+def same_judge(spark, d, every=EVERY, g=None):
+    g = g or CaseGraph(spark, d)
     return R.same_attribute(_queries(g, every), g.decided_by(), "judge", g.cases())
 
 
-def same_court(spark, d, every=EVERY):
-    g = CaseGraph(spark, d)
+def same_court(spark, d, every=EVERY, g=None):
+    """The first 50 other cases of each query case's court, by docket."""
+    g = g or CaseGraph(spark, d)
     courts = g.cases().where("court_id <> ''").select("docket_id", "court_id")
-    return R.same_attribute(_queries(g, every), courts, "court_id", g.cases())
+    return R.same_attribute(_queries(g, every), courts, "court_id", g.cases(), R.COURT_LIMIT)
 
 
-def graph_distance(spark, d, every=EVERY):
+def graph_distance(spark, d, every=EVERY, g=None):
     """The graph's nearest reason for each query case and opinion."""
-    g = CaseGraph(spark, d)
+    g = g or CaseGraph(spark, d, keep=True)
     q, own = _queries(g, every), g.has_opinion()
     starts = own.join(q.withColumnRenamed("query", "docket_id"), "docket_id").select(F.col("docket_id").alias("query"), F.col("opinion_id").alias("start"))
     internal = g.opinions().where("internal").select("opinion_id")
     links = within_two(starts.select("start"), g.cites()).join(starts, "start").groupBy("query", "opinion_id").agg(F.min("distance").alias("distance")).withColumn("reason_rank", F.lit(0))
     parts = [links]
-    for rank, (distance, frame) in enumerate(((3, same_statute(spark, d, every)), (3, same_judge(spark, d, every)), (4, same_court(spark, d, every))), 1):
+    for rank, (distance, frame) in enumerate(((3, same_statute(spark, d, every, g)), (3, same_judge(spark, d, every, g)), (4, same_court(spark, d, every, g))), 1):
         parts.append(frame.join(own, "docket_id").select("query", "opinion_id", F.lit(distance).alias("distance"), F.lit(rank).alias("reason_rank")))
     every = parts[0]
     for p in parts[1:]:
@@ -80,7 +82,7 @@ def graph_distance(spark, d, every=EVERY):
 
 def _semantic(spark, d, g, every):
     """The 20 nearest opinions of the first opinion, by id, of each query case, without its own."""
-    v = _vectors(spark, d)
+    v = durable(_vectors(spark, d), "vectors")
     first = g.has_opinion().join(_queries(g, every).withColumnRenamed("query", "docket_id"), "docket_id").groupBy("docket_id").agg(F.min("opinion_id").alias("key"))
     hits = R.cosine_topk(v.join(first, "key").select("key", "vector"), v, 20)
     mine = g.has_opinion().select(F.col("docket_id"), F.col("opinion_id").alias("key"))
@@ -88,24 +90,24 @@ def _semantic(spark, d, g, every):
     return found.select(F.col("docket_id").alias("query"), F.col("key").alias("opinion_id"), F.col("cosine").alias("semantic"))
 
 
-def fused_rank(spark, d, every=EVERY):
+def fused_rank(spark, d, every=EVERY, g=None):
     """The ten best precedents of every 50th case: vectors, graph, scores and extractions together."""
-    g = CaseGraph(spark, d)
-    _, cases, _ = S.reinforce(_edges(spark, d), rounds=5)
+    g = g or CaseGraph(spark, d, keep=True)
+    _, cases, _ = S.reinforce(_edges(spark, d, g))
     irac = g.valid_runs().select("opinion_id").distinct().withColumn("has_irac", F.lit(True))
     owner = g.has_opinion().groupBy("opinion_id").agg(F.min("docket_id").alias("case_id"))
-    facts = owner.join(cases, "case_id", "left").join(irac, "opinion_id", "left").select("opinion_id", F.round("score", 6).alias("score"), "has_irac")
-    out = R.fused(_semantic(spark, d, g, every), graph_distance(spark, d, every), facts)
+    facts = owner.join(cases, "case_id", "left").join(irac, "opinion_id", "left").select("opinion_id", F.round("score", DIGITS).alias("score"), "has_irac")
+    out = R.fused(_semantic(spark, d, g, every), graph_distance(spark, d, every, g), facts)
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 def pack_context(spark, d):
     """Which of the ranked precedents fit a context of 1,200 tokens, in full or as a line."""
-    g = CaseGraph(spark, d)
+    g = CaseGraph(spark, d, keep=True)
     names = g.cases().select("docket_id", F.coalesce("case_name", F.lit("")).alias("case_name"))
     owner = g.has_opinion().groupBy("opinion_id").agg(F.min("docket_id").alias("docket_id"))
     text = table(spark, d, "opinions").groupBy("opinion_id").agg(F.max(F.length("plain_text")).alias("n_chars"))
-    rows = fused_rank(spark, d).join(owner, "opinion_id").join(names, "docket_id").join(text, "opinion_id")
+    rows = fused_rank(spark, d, g=g).join(owner, "opinion_id").join(names, "docket_id").join(text, "opinion_id")
     full = F.floor((F.least(F.coalesce("n_chars", F.lit(0)), F.lit(900)) + F.length("case_name")) / 2.6)
     brief = F.floor((F.length("case_name") + 60) / 2.6)
     sized = rows.select("query", "opinion_id", "rank", full.alias("full_tokens"), brief.alias("brief_tokens"), F.lit(100).alias("used"))
@@ -114,30 +116,29 @@ def pack_context(spark, d):
 
 def format_brief(spark, d):
     """The ranked precedents as lines of a prompt."""
-    g = CaseGraph(spark, d)
+    g = CaseGraph(spark, d, keep=True)
     cases = g.cases().select("docket_id", "case_name", "court_id", "outcome_label")
     owner = g.has_opinion().groupBy("opinion_id").agg(F.min("docket_id").alias("docket_id"))
-    rows = fused_rank(spark, d).join(owner, "opinion_id").join(cases, "docket_id")
+    rows = fused_rank(spark, d, g=g).join(owner, "opinion_id").join(cases, "docket_id")
     return rows.select("query", "rank", brief("case_name", "docket_id", "court_id", "outcome_label", F.lit(0.0), "final_score").alias("line"))
 
 
 # constraints over the latest valid extraction of each opinion
 def _runs(spark, d):
-    return X.latest_valid(table(spark, d, "irac_extractions"))
+    return X.latest_valid(table(spark, d, "irac_extractions")).select("docket_id", "opinion_id", "id", "x")
 
 
-def c1_citation(spark, d):
-    cited = _runs(spark, d).select("docket_id", F.explode("x.precedents_cited").alias("name")).distinct()
+def c1_citation(spark, d, runs=None):
+    cited = (_runs(spark, d) if runs is None else runs).select("docket_id", F.explode("x.precedents_cited").alias("name")).distinct()
     return C.unknown_names(cited, table(spark, d, "cases").select("case_name").where("case_name <> ''").distinct(), T.case_name_key)
 
 
-def c2_statute(spark, d):
-    cited = _runs(spark, d).select("docket_id", F.explode("x.statutes_cited").alias("statute")).distinct()
+def c2_statute(spark, d, runs=None):
+    cited = (_runs(spark, d) if runs is None else runs).select("docket_id", F.explode("x.statutes_cited").alias("statute")).distinct()
     return C.ungrounded(cited, table(spark, d, "cases").select("cause").where("cause <> ''").distinct(), T.statute_key)
 
 
-def _pairs(spark, d):
-    g = CaseGraph(spark, d)
+def _pairs(g):
     facts = g.cases().select("docket_id", F.coalesce("court_id", F.lit("")).alias("court_id"), F.coalesce("date_filed", F.lit("")).alias("date"))
     own = g.has_opinion()
     links = g.cites().join(own.select(F.col("opinion_id").alias("src"), "docket_id"), "src").join(own.select(F.col("opinion_id").alias("dst"), F.col("docket_id").alias("cited_docket")), "dst")
@@ -146,29 +147,33 @@ def _pairs(spark, d):
 
 
 def c3_circuit(spark, d):
-    return C.not_binding(_pairs(spark, d))
+    return C.not_binding(_pairs(CaseGraph(spark, d)))
 
 
 def c4_temporal(spark, d):
-    return C.too_late(_pairs(spark, d))
+    return C.too_late(_pairs(CaseGraph(spark, d)))
 
 
-def c5_contested(spark, d):
-    args, _, _ = S.reinforce(_edges(spark, d), rounds=5)
-    uses = CaseGraph(spark, d).involves().select("docket_id", F.col("text_hash").alias("arg_id"))
-    return C.contested(uses.join(args, "arg_id").select("docket_id", F.col("arg_id").alias("subject"), F.round("score", 6).alias("score")))
+def c5_contested(spark, d, g=None):
+    g = g or CaseGraph(spark, d, keep=True)
+    args, _, _ = S.reinforce(_edges(spark, d, g))
+    uses = g.involves().select("docket_id", F.col("text_hash").alias("arg_id"))
+    return C.contested(uses.join(args, "arg_id").select("docket_id", F.col("arg_id").alias("subject"), F.round("score", DIGITS).alias("score")))
 
 
-def c6_missing(spark, d):
-    return C.missing_elements(X.element_rows(_runs(spark, d)))
+def c6_missing(spark, d, runs=None):
+    return C.missing_elements(X.element_rows(_runs(spark, d) if runs is None else runs))
 
 
 def validate_all(spark, d):
-    return C.all_of(c1_citation(spark, d), c2_statute(spark, d), c3_circuit(spark, d), c4_temporal(spark, d), c5_contested(spark, d), c6_missing(spark, d))
+    """All checks; the extractions are parsed once, and cases and links are written once."""
+    g, runs = CaseGraph(spark, d, keep=True), durable(_runs(spark, d), "latest")
+    pairs = durable(_pairs(g), "pairs")
+    return C.all_of(c1_citation(spark, d, runs), c2_statute(spark, d, runs), C.not_binding(pairs), C.too_late(pairs), c5_contested(spark, d, g), c6_missing(spark, d, runs))
 
 
 def violation_rates(spark, d):
-    return C.rates(validate_all(spark, d), table(spark, d, "cases").agg(F.countDistinct("docket_id").alias("n")))
+    return C.rates(validate_all(spark, d), table(spark, d, "cases").agg(F.countDistinct("docket_id")).first()[0])
 
 
 QUERIES = {f.__name__: f for f in (cosine_top5, label_retrieval, same_statute, same_judge, same_court, graph_distance, fused_rank, pack_context, format_brief, c1_citation, c2_statute, c3_circuit, c4_temporal, c5_contested, c6_missing, validate_all, violation_rates)}
@@ -178,14 +183,14 @@ _VEC = """vec AS (SELECT opinion_id AS key, max_by(embedding, struct_pack(a := c
 _GD = r""", q AS (SELECT docket_id AS query FROM kase WHERE docket_id % 50 = 0),
 st AS (SELECT DISTINCT query, y.docket_id FROM q JOIN charged x ON x.docket_id = query JOIN charged y USING (statute) WHERE y.docket_id <> query AND y.docket_id IN (SELECT docket_id FROM kase)),
 ju AS (SELECT DISTINCT query, y.docket_id FROM q JOIN decided x ON x.docket_id = query JOIN decided y USING (judge) WHERE y.docket_id <> query AND y.docket_id IN (SELECT docket_id FROM kase)),
-co AS (SELECT DISTINCT query, y.docket_id FROM q JOIN kase x ON x.docket_id = query JOIN kase y USING (court_id) WHERE court_id <> '' AND y.docket_id <> query),
+co AS (SELECT query, docket_id FROM (SELECT query, y.docket_id, row_number() OVER (PARTITION BY query ORDER BY y.docket_id) AS rn FROM q JOIN kase x ON x.docket_id = query JOIN kase y USING (court_id) WHERE court_id <> '' AND y.docket_id <> query) WHERE rn <= 50),
 n AS (SELECT src, dst, src AS s, dst AS t FROM cites WHERE src <> dst UNION ALL SELECT dst, src, src, dst FROM cites WHERE src <> dst),
 qo AS (SELECT query, opinion_id AS start FROM q JOIN hasop ON docket_id = query),
 hop AS (SELECT query, dst AS opinion_id, 1 AS distance FROM qo JOIN n ON src = start UNION ALL SELECT query, y.dst, 2 FROM qo JOIN n x ON x.src = start JOIN n y ON x.dst = y.src WHERE (x.s, x.t) <> (y.s, y.t) AND y.dst <> start),
 allc AS (SELECT query, opinion_id, distance, 0 AS reason_rank FROM hop UNION ALL SELECT query, opinion_id, 3, 1 FROM st JOIN hasop USING (docket_id) UNION ALL SELECT query, opinion_id, 3, 2 FROM ju JOIN hasop USING (docket_id) UNION ALL SELECT query, opinion_id, 4, 3 FROM co JOIN hasop USING (docket_id)),
 gd0 AS (SELECT *, row_number() OVER (PARTITION BY query, opinion_id ORDER BY distance, reason_rank) AS rn FROM allc WHERE opinion_id IN (SELECT opinion_id FROM ops) AND (query, opinion_id) NOT IN (SELECT docket_id, opinion_id FROM hasop WHERE docket_id IS NOT NULL)),
 gd AS (SELECT query, opinion_id, distance, reason_rank FROM gd0 WHERE rn = 1)"""
-_FUSED = _ANCO + _GD + ", " + _VEC + r""",
+_FUSED = _DONE + _GD + ", " + _VEC + r""",
 first_ AS (SELECT query, min(start) AS key FROM qo GROUP BY 1),
 sem0 AS (SELECT query, v.key AS opinion_id, list_cosine_similarity(a.v, v.v) AS semantic, row_number() OVER (PARTITION BY query ORDER BY list_cosine_similarity(a.v, v.v) DESC, v.key) AS rn FROM first_ JOIN vec a USING (key) JOIN vec v ON v.key <> a.key),
 sem AS (SELECT query, opinion_id, semantic FROM sem0 WHERE rn <= 20 AND (query, opinion_id) NOT IN (SELECT docket_id, opinion_id FROM hasop WHERE docket_id IS NOT NULL)),
@@ -213,7 +218,7 @@ _CHECKS = {
     "c5_contested": "SELECT docket_id, 'ambiguity_flag' AS name, 'INFO' AS severity, text_hash AS subject FROM involves JOIN scores ON entity_id = text_hash AND entity_type = 'argument' WHERE abs(score) <= 0.1",
     "c6_missing": "SELECT docket_id, 'missing_element' AS name, 'WARNING' AS severity, k AS subject FROM (SELECT docket_id, j, unnest(json_keys(j, '$.elements')) AS k FROM lx) WHERE json_extract_string(j, '$.elements.' || k || '.status') = 'NOT_ANALYZED'",
 }
-_WITH = _LATEST + _CP + _ANCO[len(BASE) :]
+_WITH = _LATEST + _CP + _DONE[len(BASE) :]
 _ALL = _WITH + ", v AS (" + " UNION ALL ".join(_CHECKS.values()) + ")"
 _PACK = _FUSED + r""", tx AS (SELECT opinion_id, max(length(plain_text)) AS n FROM opinions GROUP BY 1),
 sz AS (SELECT f.query, f.opinion_id, f.rank, CAST(floor((least(coalesce(n, 0), 900) + length(coalesce(case_name, ''))) / 2.6) AS BIGINT) AS ft, CAST(floor((length(coalesce(case_name, '')) + 60) / 2.6) AS BIGINT) AS bt

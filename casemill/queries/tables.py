@@ -54,8 +54,7 @@ def _dense(spark, d):
 
 
 def density_median(spark, d):
-    rows = _dense(spark, d)
-    return Pr.upper_median(rows, "density").join(rows.agg(F.round(F.avg("density"), 6).alias("mean")))
+    return Pr.upper_median(_dense(spark, d), "density").select("median", "mean")
 
 
 def density_bins(spark, d):

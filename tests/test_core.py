@@ -211,7 +211,8 @@ def test_statistics(spark):
 def test_profile(spark):
     df = spark.createDataFrame([("a", None), ("", "x"), ("b", " ")], "p string, q string")
     assert rows(Pr.fill_rates(df).select("column_name", "n_filled")) == [("p", 2), ("q", 1)]
-    assert rows(Pr.upper_median(spark.createDataFrame([(1,), (2,), (3,), (4,)], "v int"), "v")) == [(3,)]
+    assert rows(Pr.upper_median(spark.createDataFrame([(1,), (2,), (3,), (4,)], "v int"), "v").select("median", "mean", "n")) == [(3, 2.5, 4)]
+    assert rows(Pr.upper_median(spark.createDataFrame([], "v int"), "v").select("median", "n")) == [(None, 0)]
     assert one(spark, Pr.decode(F.lit(99), Pr.DISPOSITIONS)) == "Code 99"
     assert one(spark, Pr.decode(F.lit(None).cast("int"), Pr.DISPOSITIONS)) is None
     assert one(spark, Pr.role_class(F.lit("Relief Defendant"))) == "defendant"
