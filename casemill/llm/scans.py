@@ -1,9 +1,10 @@
 """Noise in text from scanned pages: running headers, page numbers, broken words, misread characters.
 
 Two averaged perceptrons are trained here. One tells body lines from headers and page numbers by their position and
-repetition on the pages. The other edits words: it scores keep, replace, insert (two characters for one), delete (one
-for two) and line-join operations. It learns from words of the corpus to which known misreadings were applied, with the
-counts of all words over all texts as its lexicon; so no label is needed.
+repetition on the pages. The other is a character editor: it labels the characters of a token with keep, replace, delete
+(one for two), insert (two for one) and line-join, and the sequence of labels that scores best is the repair. It learns
+from words of the corpus to which known misreadings were applied, with the counts of all words over all texts as its
+lexicon; so no label is needed.
 """
 
 from __future__ import annotations
@@ -65,8 +66,8 @@ def skeleton(line: str) -> str:
 
 
 def edged(line: str) -> bool:
-    """Whether a line can be a running header: short, with a number at an end or a gap inside, or set off from the margin."""
-    if not 4 < len(line) < 110:
+    """Whether a line can be a running header: with a number at an end or a gap inside, or set off from the margin."""
+    if len(line) < 5:
         return False
     first, last = line[0], line[-1]
     if not (first == " " or last == " " or first.isdigit() or last.isdigit() or "   " in line) or last in ",;-":
@@ -134,14 +135,14 @@ class Page:
         self.lines = text.split("\n")
         self.blank = [not x.strip() for x in self.lines]
         self.feed = [("\f" in x) for x in self.lines]
-        self.short = [k for k, x in enumerate(self.lines) if not self.blank[k] and len(x.strip()) <= 100]
+        self.printed = [k for k in range(len(self.lines)) if not self.blank[k]]
         self.number: dict[int, tuple[str, int]] = {}
-        for k in self.short:
-            if len(self.lines[k].strip()) <= 24 and (m := _NUMBER.match(self.lines[k].replace("\f", ""))):
+        for k in self.printed:
+            if (m := _NUMBER.match(self.lines[k].replace("\f", ""))):
                 self.number[k] = (m.lastgroup or "bare", int(m[m.lastgroup]))
         self.chain = self._chain()
         self.common = common
-        self.bones = {k: b for k in self.short if k not in self.number and edged(self.lines[k].replace("\f", "")) and len(b := skeleton(self.lines[k])) > 3 and (self._apart(k) or self._usual(b))}
+        self.bones = {k: b for k in self.printed if k not in self.number and edged(self.lines[k].replace("\f", "")) and len(b := skeleton(self.lines[k])) > 3 and (self._apart(k) or self._usual(b))}
         self.times = Counter(self.bones.values())
 
     def _apart(self, k: int) -> bool:
@@ -214,6 +215,8 @@ class Page:
 
     def weak(self, k: int) -> str | None:
         """A label that is right where the page shows it beyond doubt, None where it doesn't; used to train only."""
+        if len(self.lines[k]) > 110:
+            return None  # a paragraph's line tells little about the furniture that lines near it are
         if k in self.number:
             if k in self.chain:
                 return "page_number" if len(self.chain) > 2 else None
@@ -254,104 +257,280 @@ def train_lines(texts: list[str], common: dict[str, tuple[int, int]], rounds: in
 # ---------------------------------------------------------------- words
 
 
-def edits_of(word: str) -> Iterator[tuple[str, str, int]]:
-    """(operation, result, place) of every single edit that undoes a misreading."""
+class Editor:
+    """Averaged perceptron over the operations on the characters of a token.
+
+    A label stands at every character: keep it, replace it, delete it (as the second of two that were one), insert one
+    after it (as one that was two), or, for the hyphen at a line's end, join the lines. A sequence of labels scores the
+    sum of its places' features and of features of the word it makes; the best sequence is the repair.
+    """
+
+    def __init__(self, weights: dict[str, float] | None = None):
+        self.w: dict[str, float] = weights or {}
+        self._sum: dict[str, float] = defaultdict(float)
+        self._t = 0
+
+    def score(self, features: list[str]) -> float:
+        get = self.w.get
+        return sum(get(f, 0.0) for f in features)
+
+    def learn(self, good: list[str], bad: list[str]) -> None:
+        for features, step in ((good, 1.0), (bad, -1.0)):
+            for f in features:
+                self.w[f] = self.w.get(f, 0.0) + step
+                self._sum[f] += step * self._t
+
+    def average(self) -> None:
+        for f, total in self._sum.items():
+            self.w[f] -= total / max(1, self._t)
+        self._sum.clear()
+        self._t = 0
+
+
+#: a run of edits in a token: (place, characters read, characters meant)
+Edit = tuple[int, str, str]
+#: edits beside each other in a word that are looked up in the lexicon, and letters of the longest token that is
+MOST_EDITS, LONGEST = 2, 40
+
+
+def edits_of(word: str, capital: bool = False) -> list[Edit]:
+    """Every single run of labels that undoes a misreading. The misreadings are those of small letters, so a capital stays."""
+    out = []
     for i, c in enumerate(word):
+        if capital and i == 0 and c in LETTERS:
+            continue
         if c == BOX:
-            for x in LETTERS:
-                yield f"{BOX}>*", word[:i] + x + word[i + 1 :], i
+            out += [(i, c, x) for x in LETTERS]
             continue
-        for meant in _BY_SEEN.get(c, ()):
-            yield f"{c}>{meant}", word[:i] + meant + word[i + 1 :], i
-        for meant in _BY_SEEN.get(word[i : i + 2], ()):
-            yield f"{word[i : i + 2]}>{meant}", word[:i] + meant + word[i + 2 :], i
+        out += [(i, c, meant) for meant in _BY_SEEN.get(c, ())]
+        pair = word[i : i + 2]
+        out += [(i, pair, meant) for meant in _BY_SEEN.get(pair, ())]
+    return out
 
 
-def _kind(op: str) -> str:
-    seen, meant = op.split(">")
-    return "replace" if len(seen) == len(meant) else "delete" if len(seen) > len(meant) else "insert"
+def apply(word: str, edits: tuple[Edit, ...]) -> str:
+    """The word with the edits, which are in order and apart."""
+    out, at = [], 0
+    for i, seen, meant in edits:
+        out += [word[at:i], meant]
+        at = i + len(seen)
+    return "".join(out) + word[at:]
 
 
-def _rate(n: float) -> int:
-    return min(14, int(math.log2(n + 1)))
+def labels(edit: Edit) -> list[str]:
+    """The labels of an edit's characters."""
+    _, seen, meant = edit
+    if len(seen) == len(meant):
+        return [f"replace {seen}>{meant}" if seen != BOX else f"replace {BOX}"]
+    return [f"replace {seen[0]}>{meant}", f"delete {seen[1]}"] if len(seen) > 1 else [f"replace {seen}>{meant[0]}", f"insert {meant[1]}"]
 
 
-def word_features(word: str, n: float, op: str, result: str, place: int, m: float) -> list[tuple[str, str]]:
-    """Features of an operation; n and m: counts of the word as read and as edited."""
-    strange = any(c.isdigit() for c in word) or BOX in word or "|" in word
-    ratio = max(-6, min(12, _rate(m) - _rate(n)))
-    kind = _kind(op)
-    left = word[place - 1] if place else "^"
-    return [(f"op:{op}", kind), (f"ratio:{ratio}", kind), (f"counts:{min(_rate(n), 6)}:{min(_rate(m), 8)}", kind), (f"strange:{strange}:{min(_rate(m), 2)}", kind), (f"len:{min(len(word), 8)}", kind), (f"left:{left}:{op}", kind)]
+def edit_features(word: str, edit: Edit) -> list[str]:
+    """Features of an edit's labels and their surroundings."""
+    i, seen, _ = edit
+    name = "+".join(labels(edit))
+    left, right = word[i - 1] if i else "^", word[i + len(seen)] if i + len(seen) < len(word) else "$"
+    return [name, f"{name}|{left}", f"{name}||{right}", f"{name}|{_type(left)}{_type(right)}"]
 
 
-def keep_features(word: str, n: float) -> list[tuple[str, str]]:
-    strange = any(c.isdigit() for c in word) or BOX in word or "|" in word
-    return [("keep", "keep"), (f"counts:{min(_rate(n), 14)}", "keep"), (f"strange:{strange}", "keep"), (f"len:{min(len(word), 8)}", "keep")]
+def keep_features(word: str, i: int) -> list[str]:
+    """Features of keeping a character that could be a misreading."""
+    left, right = word[i - 1] if i else "^", word[i + 1] if i + 1 < len(word) else "$"
+    return [f"keep {word[i]}", f"keep {word[i]}|{_type(left)}{_type(right)}"]
 
 
-def join_features(joined: float, kept: float, x: float, y: float, len_x: int, len_y: int, fixed: bool) -> list[str]:
-    """Features of a line-join; joined, kept, x, y: counts of the word, of the compound and of the two parts."""
-    if joined > 1e-9 or kept > 1e-9:
-        sign = "even" if joined == kept else "joined" if joined > kept else "kept"
-        return [f"join:{sign}", f"join:{sign}:{max(-3, min(3, _rate(joined) - _rate(kept)))}"]
-    low = min(x, y)
-    return ["join:unseen", f"join:fixed:{fixed}", f"join:low:{min(_rate(low), 10)}", f"join:parts:{min(_rate(x), 10) // 3}:{min(_rate(y), 10) // 3}", f"join:short:{min(len_x, 4)}:{min(len_y, 4)}"]
+def _type(c: str) -> str:
+    return "9" if c.isdigit() else "a" if c.isalpha() and c != BOX else c
 
 
-def _score(p: Perceptron, features: list[tuple[str, str]]) -> float:
-    return sum(p.w.get(f, {}).get(c, 0.0) for f, c in features)
+def _rate(n: float) -> int:
+    return min(14, int(math.log2(n + 1)))
 
 
-def best_edit(p: Perceptron, word: str, n: float, count) -> tuple[str, int] | None:
-    """The edit that beats keeping the word, as (result, place)."""
-    best, chosen = _score(p, keep_features(word, n)), None
-    for op, result, place in edits_of(word):
-        m = count(result)
-        if m > 0 and (s := _score(p, word_features(word, n, op, result, place, m))) > best:
-            best, chosen = s, (result, place)
+def word_features(word: str, n: float, m: float, edits: int) -> list[str]:
+    """Features of what the labels make: n and m are the counts of the word as read and as edited."""
+    strange = any(c.isdigit() for c in word) or BOX in word or "|" in word
+    size = min(len(word), 8)
+    if not edits:
+        return [f"same|{strange}", f"same|counts:{_rate(n)}", f"same|{strange}:{min(_rate(n), 3)}", f"same|len:{size}", f"same|ordinal:{bool(strange and _ORDINAL.fullmatch(word))}"]
+    k = min(edits, 3)
+    ratio = max(-6, min(12, _rate(m) - _rate(n)))
+    out = [f"{k}|ratio:{ratio}", f"{k}|counts:{min(_rate(n), 6)}:{min(_rate(m), 8)}", f"{k}|{strange}:{min(_rate(m), 2)}", f"{k}|len:{size}"]
+    if strange:
+        out.append(f"figures:{min(sum(c.isdigit() for c in word), 3)}:{min(sum(c.isalpha() for c in word), 5)}:{word[0].isdigit()}:{m > 0}")
+    return out
+
+
+def local_features(edit: Edit, mine: int, theirs: int) -> list[str]:
+    """Features of an edit of a word that the lexicon lacks, by uses of both in the same text."""
+    return [f"local:{min(mine, 4)}:{min(theirs, 9)}", f"local:{max(-3, min(3, theirs - 2 * mine))}", "local " + "+".join(labels(edit))]
+
+
+def certain_edits(editor: Editor, word: str, singles: list[Edit]) -> tuple[Edit, ...]:
+    """The edits of figures whose own features beat keeping them, from left to right and apart: the best labels without a lexicon."""
+    best: dict[int, tuple[float, Edit]] = {}
+    for e in singles:
+        if any(c in "0123456789|" for c in e[1]):
+            s = editor.score(edit_features(word, e)) - editor.score(keep_features(word, e[0]))
+            if s > 0 and s > best.get(e[0], (0.0, e))[0]:
+                best[e[0]] = s, e
+    out, end = [], 0
+    for i in sorted(best):
+        if i >= end:
+            out.append(best[i][1])
+            end = i + len(best[i][1][1])
+    return tuple(out)
+
+
+def options(editor: Editor, word: str, count, capital: bool = False) -> Iterator[tuple[tuple[Edit, ...], str, float]]:
+    """(edits, result, count of the result) of the label sequences that are weighed against keeping the word.
+
+    All sequences with one edit, or, where none makes a known word, with two, that make one; and the one that goes by
+    the characters alone.
+    """
+    singles = edits_of(word, capital)
+    if not singles:
+        return
+    known = False
+    for e in singles:
+        if (m := count(r := apply(word, (e,)))) > 0:
+            known = True
+            yield (e,), r, m
+    if not known and len(word) <= LONGEST:
+        for k, e in enumerate(singles):
+            for f in singles[k + 1 :]:
+                if f[0] >= e[0] + len(e[1]) and (m := count(r := apply(word, (e, f)))) > 0:
+                    yield (e, f), r, m
+    # without the lexicon only a character that no word has calls for an edit
+    if (sure := certain_edits(editor, word, singles)):
+        yield sure, (r := apply(word, sure)), count(r)
+
+
+def sequence_features(word: str, n: float, edits: tuple[Edit, ...], m: float) -> tuple[list[str], list[str]]:
+    """Features of a sequence of labels, and those of keeping the same places; the rest is kept in both."""
+    changed = [f for e in edits for f in edit_features(word, e)] + word_features(word, n, m, len(edits))
+    return changed, [f for e in edits for i in range(len(e[1])) for f in keep_features(word, e[0] + i)] + word_features(word, n, n, 0)
+
+
+def best_edit(editor: Editor, word: str, n: float, count, capital: bool = False) -> tuple[str, list[int]] | None:
+    """The best sequence of labels that isn't keep throughout, as (result, places), if it beats that one."""
+    best, chosen = 0.0, None
+    for edits, result, m in options(editor, word, count, capital):
+        changed, kept = sequence_features(word, n, edits, m)
+        if (s := editor.score(changed) - editor.score(kept)) > best:
+            best, chosen = s, (result, [e[0] for e in edits])
     return chosen
 
 
-def train_words(lexicon: dict[str, float], amount: int = 12_000, seed: int = 3) -> Perceptron:
-    """Trained on words of the lexicon, half of them with one misreading applied as a scanner would."""
-    rng, p = random.Random(seed), Perceptron()
+def misread(word: str, times: int, rng: random.Random, only: str = "") -> tuple[str, tuple[Edit, ...]]:
+    """The word as a scanner may read it, and the edits that undo it; ``only``: characters that the misreadings must show."""
+    out, edits, at, shift = word, [], 0, 0
+    reverse = [(seen, meant) for seen, meant in MISREADINGS if not only or any(c in only for c in seen)] + ([] if only else [(BOX, "")])
+    spots = [(i, seen, meant) for seen, meant in reverse for i in range(len(word)) if meant and word.startswith(meant, i)]
+    spots += [(i, BOX, word[i]) for i in range(len(word)) if not only and word[i] in LETTERS and rng.random() < 0.1]
+    for i, seen, meant in sorted(rng.sample(spots, min(times, len(spots)))):
+        if i >= at:
+            out = out[: i + shift] + seen + out[i + shift + len(meant) :]
+            edits.append((i + shift, seen, meant))
+            shift += len(seen) - len(meant)
+            at = i + len(meant)
+    return out, tuple(edits)
+
+
+def numeral(rng: random.Random) -> str:
+    """A token of figures and few letters that isn't a word: an ordinal, a section, a court, or a misread number."""
+    n = str(rng.randint(1, 999))
+    kind = rng.random()
+    if kind < 0.4:
+        return n + rng.choice(["st", "nd", "rd", "th", "d", "s", *"abcdefghkm"])
+    if kind < 0.75:
+        return "".join(rng.choices(LETTERS, k=rng.randint(1, 2))) + str(rng.randint(0, 19))
+    return "".join({"1": rng.choice("li"), "0": "o", "5": "s", "8": "b"}.get(c, c) if rng.random() < 0.5 else c for c in n)
+
+
+def train_words(lexicon: dict[str, float], amount: int = 16_000, seed: int = 3) -> Editor:
+    """Trained on words of the lexicon, half of them with one or two misreadings applied as a scanner would.
+
+    A part of them is taken out of the lexicon, so that figures among letters and uses in the same text are learned too.
+    """
+    rng, editor = random.Random(seed), Editor()
     words = sorted(w for w, n in lexicon.items() if w.isalpha() and len(w) > 2)
+    figures = sorted(w for w, n in lexicon.items() if n >= 16 and w.isalnum() and any(map(str.isdigit, w)) and any(map(str.isalpha, w)))
+    figures = [w for w in figures if all(lexicon.get(apply(w, (e,)), 0) < 8 * lexicon[w] for e in edits_of(w))]
     if not words:
-        return p
-    weights = [math.sqrt(lexicon[w]) for w in words]
+        return editor
     count = lambda w: lexicon.get(w, 0)
-    reverse = [(meant, seen) for seen, meant in MISREADINGS] + [(x, BOX) for x in LETTERS]
-    for word in rng.choices(words, weights, k=amount):
-        truth = None
-        if rng.random() < 0.5:
-            spots = [(i, meant, seen) for meant, seen in reverse for i in range(len(word)) if word.startswith(meant, i)]
-            if spots:
-                i, meant, seen = rng.choice(spots)
-                truth, word = word, word[:i] + seen + word[i + len(meant) :]
-        if truth is None and lexicon.get(word, 0) < 2 * 8:
+    drawn = rng.choices(words, [math.sqrt(lexicon[w]) for w in words], k=amount)
+
+    def step(word: str, n: float, truth: tuple[Edit, ...], seen, hidden: bool = False) -> None:
+        ways = [(e, sequence_features(word, n, e, m)) for e, _, m in options(editor, word, seen)]
+        score = lambda f: editor.score(f[0]) - editor.score(f[1])
+        meant = apply(word, truth)
+        guess = max(ways, key=lambda x: score(x[1]), default=None)
+        guess = guess if guess and score(guess[1]) > 0 else None
+        right = next((x for x in ways if x[0] == truth), None) or next((x for x in ways if apply(word, x[0]) == meant), None)
+        if truth and not right and hidden:
+            right = truth, sequence_features(word, n, truth, 0)
+        editor._t += 1
+        if truth and right and (not guess or apply(word, guess[0]) != meant):
+            editor.learn(right[1][0] + (guess[1][1] if guess else []), right[1][1] + (guess[1][0] if guess else []))
+        elif not truth and guess:
+            editor.learn(guess[1][1], guess[1][0])
+
+    for word in drawn:
+        draw = rng.random()
+        if draw < 0.5:
+            # a rare word beside a far more frequent one may be a misreading itself
+            if lexicon[word] >= 2 * 8 or all(count(apply(word, (e,))) < 8 * max(1, lexicon[word]) for e in edits_of(word)):
+                step(word, lexicon[word], (), count)
+        elif draw < 0.9:
+            read, truth = misread(word, 1 if draw < 0.8 else 2, rng)
+            # a misreading that makes another common word can't be told by the word alone
+            if truth and lexicon[word] >= 8 * max(1, count(read)):
+                step(read, count(read), truth, count)
+        elif draw < 0.935:
+            read, truth = misread(word, rng.randint(1, 2), rng, "01568|")
+            if truth:
+                step(read, 0, truth, lambda w: 0, True)
+        elif figures and draw < 0.945:
+            word = rng.choice(figures)
+            step(word, lexicon[word] if rng.random() < 0.5 else 0, (), lambda w, own=word: 0 if w == own else count(w))
+        else:
+            step(numeral(rng), 0, (), count)
+    for word in drawn[: amount // 4]:
+        # words that the lexicon lacks: a misreading of a name that the text uses more often, or a name beside another
+        wrong = rng.random() < 0.5
+        read, truth = misread(word, 1, rng)
+        if not truth:
             continue
-        n = count(word)
-        options = [(keep_features(word, n), None)] + [(word_features(word, n, op, r, at, count(r)), r) for op, r, at in edits_of(word) if count(r)]
-        if truth is not None and lexicon[truth] < 8 * max(1, n):
-            continue  # a misreading that makes another common word can't be told by the word alone
-        p.tick()
-        good = next((f for f, r in options if r == truth), None)
-        guess = max(options, key=lambda o: _score(p, o[0]))
-        if good is not None and guess[1] != truth:
-            p.update(good, guess[0])
-    p.average()
-    return p
+        mine, theirs = (1, rng.randint(2, 9)) if wrong else (rng.randint(1, 6), rng.randint(1, 6))
+        if not wrong and theirs > 2 * mine:
+            continue
+        changed, kept = local_features(truth[0], mine, theirs), ["local:same"]
+        editor._t += 1
+        if (editor.score(changed) > editor.score(kept)) != wrong:
+            editor.learn(*((changed, kept) if wrong else (kept, changed)))
+    editor.average()
+    return editor
+
+
+def join_features(joined: float, kept: float, x: float, y: float, len_x: int, len_y: int, fixed: bool) -> list[str]:
+    """Features of the label of a hyphen at a line's end; joined, kept, x, y: counts of the word, of the compound and of the two parts."""
+    if joined > 1e-9 or kept > 1e-9:
+        sign = "even" if joined == kept else "joined" if joined > kept else "kept"
+        return [f"{sign}", f"{sign}:{max(-3, min(3, _rate(joined) - _rate(kept)))}"]
+    low = min(x, y)
+    return ["unseen", f"fixed:{fixed}", f"low:{min(_rate(low), 10)}", f"parts:{min(_rate(x), 10) // 3}:{min(_rate(y), 10) // 3}", f"short:{min(len_x, 4)}:{min(len_y, 4)}"]
 
 
 def train_joins(repairer: Repairer, amount: int = 4_000, seed: int = 3) -> None:
-    """Adds line-join to the word perceptron: words of the lexicon broken anywhere, compounds at a hyphen.
+    """Teaches the editor the line-join label: words of the lexicon broken anywhere, compounds at a hyphen.
 
     Half of them count as if the corpus had them nowhere else, as most words do that the lexicon lacks. The weights
     begin at the verdict of the counts.
     """
-    rng, p, lexicon = random.Random(seed), Perceptron(), repairer.lexicon
-    p.w = {"join:joined": {"join": 1.0}, "join:even": {"join": 1.0}, "join:kept": {"hyphen": 1.0}}
+    rng, editor, lexicon = random.Random(seed), Editor(), repairer.lexicon
+    editor.w = {"join joined": 1.0, "join even": 1.0, "hyphen kept": 1.0}
     whole = sorted(w for w in lexicon if w.isalpha() and len(w) > 4)
     compounds = sorted(w for w in lexicon if w.count("-") == 1 and all(len(x) > 1 and x.isalpha() for x in w.split("-")))
     pool = whole + compounds
@@ -363,51 +542,47 @@ def train_joins(repairer: Repairer, amount: int = 4_000, seed: int = 3) -> None:
         else:
             at = rng.randint(2, len(word) - 2)
             features, truth, other = repairer._evidence(word[:at], word[at:], Counter(), less_joined=hidden), "join", "hyphen"
-        p.tick()
-        lead = _score(p, [(f, "join") for f in features]) - _score(p, [(f, "hyphen") for f in features])
+        editor._t += 1
+        lead = editor.score([f"join {f}" for f in features]) - editor.score([f"hyphen {f}" for f in features])
         if (lead >= 0) != (truth == "join"):
-            p.update([(f, truth) for f in features], [(f, other) for f in features])
-    p.average()
-    for f, row in p.w.items():
-        repairer.words.w.setdefault(f, {}).update(row)
+            editor.learn([f"{truth} {f}" for f in features], [f"{other} {f}" for f in features])
+    editor.average()
+    repairer.editor.w.update(editor.w)
 
 
 # ---------------------------------------------------------------- texts
 
 
 class Repairer:
-    def __init__(self, lexicon: dict[str, float], common: dict[str, tuple[int, int]], lines: Perceptron, words: Perceptron):
-        self.lexicon, self.common, self.lines, self.words = dict(lexicon), common, lines, words
+    def __init__(self, lexicon: dict[str, float], common: dict[str, tuple[int, int]], lines: Perceptron, editor: Editor):
+        self.lexicon, self.common, self.lines, self.editor = dict(lexicon), common, lines, editor
         for w, n in lexicon.items():
             if "-" in w:  # the parts of compounds are words too
                 for part in w.split("-"):
                     self.lexicon[part] = self.lexicon.get(part, 0) + n
-        self.memo: dict[str, tuple[str, int] | None] = {}
-
-    def global_edit(self, word: str) -> tuple[str, int] | None:
-        if word not in self.memo:
-            if len(self.memo) > 400_000:
-                self.memo.clear()
-            self.memo[word] = best_edit(self.words, word, self.lexicon.get(word, 0), lambda w: self.lexicon.get(w, 0))
-        return self.memo[word]
-
-    def edit(self, word: str, local: Counter) -> tuple[str, int] | None:
-        """As global_edit, and for words that the lexicon lacks, words of the same text."""
-        found = self.global_edit(word)
+        self.memo: dict[bool, dict[str, tuple[str, list[int]] | None]] = {False: {}, True: {}}
+
+    def global_edit(self, word: str, capital: bool = False) -> tuple[str, list[int]] | None:
+        memo = self.memo[capital]
+        if word not in memo:
+            if len(memo) > 200_000:
+                memo.clear()
+            memo[word] = best_edit(self.editor, word, self.lexicon.get(word, 0), lambda w: self.lexicon.get(w, 0), capital)
+        return memo[word]
+
+    def edit(self, word: str, local: Counter, capital: bool = False) -> tuple[str, list[int]] | None:
+        """As global_edit, and for words that the lexicon lacks, by their uses in the same text."""
+        found = self.global_edit(word, capital)
         if found or self.lexicon.get(word, 0) > FAMILIAR:
             return found
-        mine = local[word]
-        best = None
-        for _, result, place in edits_of(word):
-            n = local.get(result, 0)
-            if n >= 2 and n > 2 * mine and (best is None or n > best[0]):
-                best = (n, result, place)
-        if best:
-            return best[1:]
-        if any(c in "01568|" + BOX for c in word) and not word.isdigit() and re.search(r"[a-z][01568|□]+[a-z]|^[01568|□][a-z]{3,}$|[a-z]{3,}[01568|□]$|□", word) and not _ORDINAL.fullmatch(word):
-            fixed = word.replace("0", "o").replace("1", "l").replace("5", "s").replace("6", "b").replace("8", "b").replace("|", "l")
-            return fixed, next(i for i, c in enumerate(word) if c in "01568|" + BOX)
-        return None
+        best, chosen, mine = 0.0, None, local[word]
+        for e in edits_of(word):
+            theirs = local.get(result := apply(word, (e,)), 0)
+            if theirs > 1:
+                s = self.editor.score(local_features(e, mine, theirs)) - self.editor.score(["local:same"])
+                if s > best:
+                    best, chosen = s, (result, [e[0]])
+        return chosen
 
     def _evidence(self, first: str, second: str, local: Counter, less_joined: float = 0, less_kept: float = 0) -> list[str]:
         """Features of a break, from counts without those of the word or compound that is left out."""
@@ -418,16 +593,16 @@ class Repairer:
         kept = max(count(a + "-" + b), *(count(w + "-" + tail) for w in (a, x)), self.prefixes.get(x + "-" + tail, 0)) - less_kept
         known = lambda w: max(0.0, self.lexicon.get(w, 0) - less_kept)
         if less_joined:
-            fix = best_edit(self.words, a + b, 0, lambda w: self.lexicon.get(w, 0) if w != a + b else 0)
+            fix = best_edit(self.editor, a + b, 0, lambda w: self.lexicon.get(w, 0) if w != a + b else 0)
         else:
             fix = self.global_edit(a + b)
         fixed = bool(fix and count(fix[0]))
         return join_features(max(0.0, joined), max(0.0, kept), known(x), known(tail), len(x), len(tail), fixed)
 
     def join(self, first: str, second: str, local: Counter) -> bool:
-        """Line-join: whether the hyphen between the two parts is only there because the line broke."""
+        """The label of the hyphen between the two parts: whether it is only there because the line broke."""
         features = self._evidence(first, second, local)
-        return _score(self.words, [(f, "join") for f in features]) >= _score(self.words, [(f, "hyphen") for f in features])
+        return self.editor.score([f"join {f}" for f in features]) >= self.editor.score([f"hyphen {f}" for f in features])
 
     def _words_broken(self, lines: list[str], broken: list[int]) -> int:
         """Line ends that break a word of the lexicon, which nothing but a page does."""
@@ -483,9 +658,9 @@ class Repairer:
             if joins[k]:
                 noise.append((k + 1, "hyphen"))
             word = (a.rpartition("-")[2] + b.split("-")[0] if joins[k] else "").lower()
-            if word and (fix := self.edit(word, local)):
+            if word and (fix := self.edit(word, local, a[:1].isupper())):
                 head = len(a.rpartition("-")[2])
-                bad.add(k if fix[1] < head else nxt)
+                bad.update(k if place < head else nxt for place in fix[1])
                 fixes[k]["\n"] = fix[0]
         common = self.lexicon
         for k in body:
@@ -496,12 +671,14 @@ class Repairer:
                 words = words[1:]
             for w in words:
                 low = w.lower()
-                if low in self.memo and self.memo[low] is None and common.get(low, 0) > FAMILIAR:
+                if common.get(low, 0) > FAMILIAR and not self.memo[w[:1].isupper()].get(low, True):
                     continue
+                at = 0
                 for part in re.split(r"[-'’]", low) if not low.isalnum() else (low,):
-                    if len(part) > 2 and (fix := self.edit(part, local)):
+                    if len(part) > 2 and (fix := self.edit(part, local, w[at : at + 1].isupper())):
                         bad.add(k)
                         fixes[k][part] = fix[0]
+                    at += len(part) + 1
         noise += [(k + 1, "misread") for k in bad]
         return sorted(noise), self._text(page, kinds, joins, fixes) if want_text else ""
 
@@ -562,7 +739,8 @@ def fit(texts: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Repaire
     h = texts.withColumn("h", F.xxhash64("text"))
     chosen = [r["h"] for r in h.select("h").distinct().orderBy("h").limit(sample).collect()]
     drawn = [r["text"] for r in h.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()] if chosen else []
-    repairer = Repairer(lexicon, common, train_lines(drawn, common), train_words(lexicon))
+    repairer = Repairer(lexicon, common, train_lines(drawn, common), Editor())
+    repairer.editor = train_words(repairer.lexicon)
     train_joins(repairer)
     return repairer
 

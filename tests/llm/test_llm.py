@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out accuracy."""
 
+import itertools
 import os
 import random
 import sys
@@ -360,7 +361,7 @@ def test_joins_of_broken_words_are_learned():
     words = sorted({"".join(rng.choices("abdghkmnoprstuvwz", k=rng.randint(4, 9))) for _ in range(500)})
     held, words = words[:100], words[100:]
     lexicon = dict.fromkeys(words, 60) | {f"{rng.choice(words)}-{rng.choice(words)}": 5 for _ in range(150)}
-    r = O.Repairer(lexicon, {}, O.Perceptron(), O.Perceptron())
+    r = O.Repairer(lexicon, {}, O.Perceptron(), O.Editor())
     O.train_joins(r)
     pairs = [(x, y) for x, y in zip(words, words[7:]) if f"{x}-{y}" not in lexicon]
     assert sum(not r.join(x, y, Counter()) for x, y in pairs) > 0.9 * len(pairs)
@@ -368,6 +369,29 @@ def test_joins_of_broken_words_are_learned():
     assert r.join(words[0][:2], words[0][2:], Counter()) and not r.join(*next(w for w in lexicon if "-" in w).split("-"), Counter())
 
 
+def test_characters_are_edited_by_their_labels():
+    """Held-out misreadings of one and two places; words stay as they are; figures among letters go without a lexicon."""
+    rng = random.Random(11)
+    parts = "con rep tra men der sti bil gro fal cum ner vol fin dic mar tel ous ive".split()
+    words = sorted({"".join(rng.choices(parts, k=rng.randint(2, 4))) for _ in range(1500)})
+    lexicon = {w: rng.choice([20, 60, 300]) for w in words} | {"10b": 40, "2d": 30, "15u": 20, "401k": 30}
+    editor = O.train_words(lexicon)
+    count = lambda w: lexicon.get(w, 0)
+    asked = [(*O.misread(w, times, rng), w, times) for w in rng.choices(words, k=1500) for times in (1, 2)]
+    asked = [(read, w, times) for read, edits, w, times in asked if len(edits) == times and read not in lexicon]
+    for times in (1, 2):
+        got = [O.best_edit(editor, read, 0, count) for read, _, t in asked if t == times]
+        true = [w for _, w, t in asked if t == times]
+        assert sum(g is not None and g[0] == w for g, w in zip(got, true)) > 0.95 * len(true)
+    assert sum(O.best_edit(editor, w, lexicon[w], count) is None for w in words) > 0.99 * len(words)
+    held = sorted({"".join(rng.choices(parts, k=3)) for _ in range(200)} - set(words))
+    read = [(O.misread(w, 1, rng, "0")[0], w) for w in held if "o" in w]
+    assert sum((e := O.best_edit(editor, r, 0, count)) is not None and e[0] == w for r, w in read) > 0.9 * len(read)
+    assert O.best_edit(editor, "10b", 40, count) is None and O.best_edit(editor, "", 0, count) is None
+    for word, edits in (("modem", ((2, "d", "cl"), (4, "m", "rn"))), ("rn", ((0, "rn", "m"),)), ("x", ())):
+        assert [*itertools.chain(*map(O.labels, edits))] == {"modem": ["replace d>c", "insert l", "replace m>r", "insert n"], "rn": ["replace r>m", "delete n"], "x": []}[word]
+
+
 def test_unbroken_drops_both_halves():
     assert O.unbroken("one two-\nthree four").split() == ["one", "four"]
     assert O.unbroken("plain text") == "plain text"
@@ -434,6 +458,20 @@ def test_myers_against_table():
     assert L.myers(rng.integers(0, 2, (3, 64)), rng.integers(0, 2, (3, 70))).shape == (3,)
 
 
+def test_word_hashes_follow_words_in_any_slice_and_company(monkeypatch):
+    """Equal words have equal hashes wherever they stand; slices and joined texts give the words that the pattern gives."""
+    texts = ["Straße 12,5 ab-cd", "", "กรุงเทพ 東京 \U0001d504x", "İstanbul ΟΔΟΣ ΟΔΟΣ.", "x" * 50, "a b c d e f g h"]
+    split = lambda t: L._WORD.findall(t.lower())
+    known = {w: L.word_hashes(w)[0] for t in texts for w in split(t)}
+    assert len(set(known.values())) == len(known)
+    for chunk in (400_000, 7, 1):
+        monkeypatch.setattr(L, "CHUNK", chunk)
+        for t in texts:
+            assert L.word_hashes(t).tolist() == [known[w] for w in split(t)]
+        got = [(k, h) for words, of in L.chunks(texts) for k, h in zip(of.tolist(), words.tolist())]
+        assert got == [(k, known[w]) for k, t in enumerate(texts) for w in split(t)]
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -448,18 +486,20 @@ def test_leaks_against_brute_force(spark):
                 passage[at : at + rng.randrange(0, 2)] = [rng.choice(vocabulary)] * rng.randrange(0, 2)
             words[5:5] = passage
         docs.append((k, ", ".join(words).upper()))
+    docs += [(100, "w1 w2"), (101, ""), (102, items[3][1]), (103, " ".join(items[4][1].split()[1:])), (104, " ".join(items[4][1].split()[:1]))]
     want = {}
     for d, text in docs:
-        t = L.words(text)
+        t = text.lower().replace(",", " ").split()
         for i, item in items:
-            w = L.words(item)
-            best = min((edits(w[a : a + 13], t) for a in range(len(w) - 12)), default=99)
-            if best <= 2:
-                want[d, i] = best
+            w = item.split()
+            m = min(13, len(w))
+            best = min(edits(w[a : a + m], t) for a in range(len(w) - m + 1))
+            if best <= (2 if m == 13 else 2 * m // 13):
+                want[d, i] = best, m
     data = docs + [(0, docs[0][1]), (999, None), (998, "")]
     for chars in (10_000, 150):  # one block, and several
-        got = L.leaks(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items + [(77, None), (78, "short")], "item_id long, text string"), block_chars=chars)
-        assert {(r["doc_id"], r["item_id"]): r["edits"] for r in got.collect()} == want and got.count() == len(want)
+        got = L.leaks(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items + [(77, None), (78, "absent"), (79, "--")], "item_id long, text string"), block_chars=chars)
+        assert {(r["doc_id"], r["item_id"]): (r["edits"], r["words"]) for r in got.collect()} == want and got.count() == len(want)
     assert L.leaks(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert L.leaks(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
