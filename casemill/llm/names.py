@@ -1,9 +1,11 @@
 """Variant spellings of names typed by people: from spellings to entities.
 
-Each distinct spelling is read once: titles and remarks are dropped, abbreviations expanded, parts put in order. Its
-head (surname, or a firm's own name) meets the heads within one edit through a trie join, and spellings whose heads
-have the same most used neighbour form a family. Within a family the other parts are compared in any order: given names
-with nicknames, initials and typos, businesses with abbreviations, legal forms.
+Each distinct spelling is read once: titles and remarks are dropped, abbreviations expanded, parts found. Every part
+of every name (surnames, given names, firms' own names, lines of business) meets the parts within one edit through one
+trie join; a rare part is read as the far more used one beside it, a short one only where the name's other part agrees.
+Then the orders of a person's parts are checked: of two orders the one that more names have is taken. Spellings whose
+heads (surname, or a firm's own name) agree form a family, and within it given names are compared with nicknames and
+initials, businesses with abbreviations and legal forms.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,8 +65,18 @@ TITLES = "hon honorable judge justice chief magistrate senior district circuit p
 SUFFIXES = "jr sr ii iii iv"
 #: what may follow a name
 REMARKS = r"\(.*?\)|\bet\.? al\b\.?|,? and (?:its|their|all) (?:\w+ ?)*|, an? [a-z ]*\b(?:company|corporation|partnership|firm|individual|entity)\b.*|,? (?:as|in (?:his|her|their)) (?:trustee|executor|administrator|receiver|guardian|capacity)\b.*|,? individually\b.*|,? (?:pro se|nominal defendant|deceased)\b.*|,? (?:d/?b/?a|f/?k/?a|a/?k/?a)\b.*"
-#: names of nobody
-NOBODY = r"\b(?:does?|roes?)\b|\b(?:unknown|unnamed|unidentified|anonymous|undisclosed|unassigned|redacted|sealed|n/a|none|null|tbd|various|fictitious|to be (?:named|determined|assigned))\b"
+#: words of placeholders: for somebody without a name, names put before them, for what isn't known, and for what it is
+NOBODIES = "doe does roe roes"
+PLAIN = "john jane jack jim richard mary baby minor"
+UNKNOWN = "unknown unnamed unidentified anonymous undisclosed unassigned redacted sealed n/a none null tbd various fictitious"
+GENERIC = (
+    "defendant defendants plaintiff plaintiffs party parties person persons people individual individuals entity entities trader traders purchaser "
+    "purchasers seller sellers officer officers director directors judge insider insiders tippee tippees account accounts holder holders owner owners "
+    "investor investors shareholder shareholders employee employees agent agents witness witnesses corporation corporations company companies "
+    "partnership partnerships business businesses affiliate affiliates name names"
+)
+AROUND = "the a an and or through thru to inclusive no nos number numbers et al other others of as yet i ii iii iv v vi vii viii ix x"
+TO_COME = r"to be (?:named|determined|assigned|announced)"
 
 _KIND = {a: k for k, v in KINDS.items() for a in [k, *v.split()]}
 _FORM = {a: k for k, v in FORMS.items() for a in [k, *v.split()]}
@@ -72,7 +84,9 @@ _FULL = defaultdict(set)
 for _name, _short in NICKNAMES.items():
     for _s in _short.split():
         _FULL[_s].add(_name)
-_TITLES, _REMARKS, _NOBODY = frozenset(TITLES.split()), re.compile(REMARKS), re.compile(NOBODY)
+_TITLES, _REMARKS, _TO_COME = frozenset(TITLES.split()), re.compile(REMARKS), re.compile(TO_COME)
+_NOBODIES, _UNKNOWN, _AROUND = frozenset(NOBODIES.split()), frozenset(UNKNOWN.split()), frozenset(AROUND.split())
+_FILL = frozenset([*PLAIN.split(), *GENERIC.split()])
 
 
 def distance(a: str, b: str, most: int = 1) -> int:
@@ -98,16 +112,26 @@ def _dotted(m: re.Match) -> str:
     return word + " " if word in _FORM or (len(word) > 2 and word in _TITLES) else m[1].replace(".", ". ")
 
 
+def is_placeholder(text: str) -> bool:
+    """Whether a lower-cased name as a whole stands for nobody known: "John Doe", "Does 1-10", "Unknown Defendants"; not "Doe Run Co"."""
+    words = [w for w in re.findall(r"n/a|[^\W\d_]+", text) if w not in _AROUND]
+    named = [w for w in words if w not in _NOBODIES and w not in _UNKNOWN]
+    return bool(_TO_COME.match(text)) or (len(named) < len(words) and all(w in _FILL for w in named))
+
+
 def read_name(name: str) -> dict | None:
     """The parts of a spelling; None for blanks and placeholders, which denote nobody.
 
-    person: {org: False, head, given, middle}; firm: {org: True, core: parts that are neither kind nor legal form, kind,
+    person: {org: False, head, given, middle, turned: the three if the first part is the surname, None if a comma or
+    initials leave no doubt}; firm: {org: True, core: parts that are neither kind nor legal form, kind,
     form}. Empty strings stand for what is missing.
     """
     text = " ".join(name.lower().replace("’", "'").split())
-    if not re.search(r"\w", text) or _NOBODY.search(text):
+    if not re.search(r"\w", text) or is_placeholder(text):
         return None
     text = " ".join(_REMARKS.sub(" ", text).split()).strip(" ,;")
+    if is_placeholder(text):
+        return None
     text = re.sub(r"\bthe (?=\w)", "", text).replace("'", "")
     text = re.sub(r"\b((?:\w\.){2,}\w?)(?=\W|$)", _dotted, text)
     text = re.sub(r"\blimited partnership\b", "limitedpartnership", text)
@@ -132,7 +156,13 @@ def read_name(name: str) -> dict | None:
     rest = [x for t in rest for x in (t if len(t) == 2 and t not in _FULL else [t])]  # ML: two initials
     if len(head) == 1 and any(len(t) > 1 for t in rest):
         head, rest = max(rest, key=len), [t for t in rest if t != max(rest, key=len)] + [head]
-    return {"org": False, "head": head.replace("-", ""), "given": rest[0].replace("-", "") if rest else "", "middle": rest[1][0] if len(rest) > 1 else ""}
+    plain = [t.replace("-", "") for t in (*rest, head)]
+    turned = None
+    if len(sides) == 1 and len(plain) > 1 and len(plain[0]) > 1 and len(plain[1]) > 1:
+        turned = (plain[0], plain[1], plain[2][0] if len(plain) > 2 else "")
+    elif len(sides) == 1 and len(plain) > 2 and len(plain[0]) > 1 and len(plain[-1]) > 1:  # an initial between: Smith J. Robert
+        turned = (plain[0], plain[-1], plain[1][0])
+    return {"org": False, "head": plain[-1], "given": plain[0] if rest else "", "middle": rest[1][0] if len(rest) > 1 else "", "turned": turned}
 
 
 @lru_cache(100_000)
@@ -258,7 +288,7 @@ def firms(rows: list[dict]) -> list[str]:
     return out
 
 
-_PARTS = "struct<org:boolean,head:string,second:string,third:string,given:string,middle:string,kind:string,form:string,n_core:int>"
+_PARTS = "struct<org:boolean,head:string,second:string,third:string,given:string,middle:string,kind:string,form:string,n_core:int,turned_head:string,turned_given:string,turned_middle:string>"
 
 
 def _read(names: pd.Series) -> pd.DataFrame:
@@ -266,28 +296,73 @@ def _read(names: pd.Series) -> pd.DataFrame:
     for name in names:
         p = read_name(name) if isinstance(name, str) else None
         if p is None:
-            rows.append((None,) * 9)
+            rows.append((None,) * 12)
         elif p["org"]:
             core = p["core"]
-            rows.append((True, core[0], core[1] if len(core) > 1 else None, "".join(core[2:]) or None, None, None, p["kind"], p["form"], len(core)))
+            rows.append((True, core[0], core[1] if len(core) > 1 else None, "".join(core[2:]) or None, None, None, p["kind"], p["form"], len(core), None, None, None))
         else:
-            rows.append((False, p["head"], None, None, p["given"], p["middle"], None, None, 1))
-    return pd.DataFrame(rows, columns=["org", "head", "second", "third", "given", "middle", "kind", "form", "n_core"]).astype({"n_core": "Int32"})
+            rows.append((False, p["head"], None, None, p["given"], p["middle"], None, None, 1, *(p["turned"] or (None,) * 3)))
+    return pd.DataFrame(rows, columns=["org", "head", "second", "third", "given", "middle", "kind", "form", "n_core", "turned_head", "turned_given", "turned_middle"]).astype({"n_core": "Int32"})
 
 
-def followed(words: DataFrame, least: int, max_edits: int) -> DataFrame:
-    """(tag, word, lead): words of at least ``least`` letters beside which one within ``max_edits`` is used far more.
+#: letters of a word that is read as its neighbour whatever stands beside it, and of one that is never: an edit to an
+#: initial or to one of two letters makes another name
+SURE, INITIALS = 5, 2
 
-    words: tag, word, n. A rare spelling follows a neighbour used four times as often or more; of spellings used once or
-    twice the lesser follows the greater, by use and then by the text.
+
+def followed(words: DataFrame, near: DataFrame, sure: int = SURE) -> DataFrame:
+    """(tag, word, beside, lead): words beside which a neighbour is used far more. words: tag, word, beside, n; near: word, near.
+
+    A rare spelling follows a neighbour used four times as often or more; of spellings used once or twice the lesser
+    follows the greater, by use and then by the text. beside is the name's other part: a word of fewer than ``sure``
+    letters follows only a neighbour used with the same one, and only one used four times as often. Longer words follow
+    whatever is beside them, and have a null there. Words of up to INITIALS letters follow none.
     """
-    counts = durable(words.where(F.length("word") >= least).groupBy("tag", "word").agg(F.sum("n").alias("n")), "counts")
-    here, there = counts.toDF("tag", "word", "n"), counts.toDF("tag", "near", "n_near")
-    lead = (F.col("n") * 4 <= F.col("n_near")) | ((F.col("n") <= 2) & (F.col("n_near") <= 2)) | ((F.col("n") <= 2) & (F.col("n_near") > F.col("n")))
+    by = durable(words.where("word <> ''").groupBy("tag", "word", "beside").agg(F.sum("n").alias("n")), "counts")
+    total = by.groupBy("tag", "word").agg(F.sum("n").alias("n"))
     ahead = F.struct("n_near", "near") > F.struct("n", "word")
-    pairs = trie_join(counts.select("word"), max_edits).join(here, "word").join(there, ["tag", "near"]).where(lead & ahead)
-    best = pairs.groupBy("tag", "word").agg(F.max(F.struct("n_near", "near")).alias("m"))
-    return durable(best.select("tag", "word", F.col("m.near").alias("lead")), "follow")
+    rare = F.col("n") * 4 <= F.col("n_near")
+    few = (F.length("near") >= sure) & (F.col("n") <= 2) & ((F.col("n_near") <= 2) | (F.col("n_near") > F.col("n")))
+    best = F.max(F.struct("n_near", "near")).alias("m")
+    long = total.where(F.length("word") >= sure).join(near, "word").join(total.toDF("tag", "near", "n_near"), ["tag", "near"])
+    long = long.where((rare | few) & ahead).groupBy("tag", "word").agg(best).withColumn("beside", F.lit(None).cast("string"))
+    short = by.where(F.length("word").between(INITIALS + 1, sure - 1) & (F.col("beside") != "")).join(near, "word").join(by.toDF("tag", "near", "beside", "n_near"), ["tag", "near", "beside"])
+    short = short.where(rare & ahead & (F.length("near") > INITIALS)).groupBy("tag", "word", "beside").agg(best)
+    return durable(long.unionByName(short).select("tag", "word", "beside", F.col("m.near").alias("lead")), "follow")
+
+
+def led(rows: DataFrame, follow: DataFrame, word: str, beside: str, out: str, keep: list[str] = (), sure: int = SURE) -> DataFrame:
+    """Adds ``out``: what the word is read as beside the other part; words of ``keep`` as themselves."""
+    long = F.length(word) >= sure
+    key = F.when(~long, F.col(beside))
+    found = follow.select(F.col("tag").alias("_t"), F.col("word").alias("_w"), F.col("beside").alias("_b"), F.col("lead").alias("_l"))
+    joined = rows.join(found, (F.col("tag") == F.col("_t")) & (F.col(word) == F.col("_w")) & key.eqNullSafe(F.col("_b")), "left")
+    lead = F.when(~F.col(word).isin(list(keep)), F.col("_l")) if keep else F.col("_l")
+    return joined.withColumn(out, F.coalesce(lead, F.col(word))).drop("_t", "_w", "_b", "_l")
+
+
+def ordered(people: DataFrame) -> DataFrame:
+    """The rows with the parts of each name in the order that more names have.
+
+    people: name, n, head, given, middle and turned_head, turned_given, turned_middle (null where the order is certain).
+    The turned order is taken if more uses have it than the order as typed; if as many do, or if no other name has either,
+    by whether its surname is mostly a surname and its given name mostly a given name in other names; if that doesn't tell
+    and both orders are used, by the text, so that all spellings of a pair come out the same way.
+    """
+    support = people.groupBy("head", "given").agg(F.sum("n").alias("s"))
+    votes = people.select(F.explode(F.array(F.struct(F.col("head").alias("w"), F.col("n").alias("v")), F.struct(F.col("given").alias("w"), (-F.col("n")).alias("v")))).alias("x"))
+    votes = durable(votes.groupBy("x.w").agg(F.sum("x.v").alias("v")), "votes")
+    rows = people.join(support.toDF("head", "given", "s1"), ["head", "given"]).join(support.toDF("turned_head", "turned_given", "s2"), ["turned_head", "turned_given"], "left")
+    rows = rows.join(votes.toDF("head", "v1"), "head", "left").join(votes.toDF("turned_head", "v2"), "turned_head", "left")
+    typed, turned = F.col("s1"), F.coalesce("s2", F.lit(0))
+    # heads and given names elsewhere: without what the two orders of this pair add
+    as_head, as_given = F.coalesce("v2", F.lit(0)) + typed - turned, F.col("v1") - typed + turned
+    fits, unfits = (as_head > 0) & (as_given < 0), (as_head < 0) & (as_given > 0)
+    tie = F.when(fits, True).when(unfits, False).otherwise(F.col("turned_head") < F.col("head"))
+    turn = F.when((typed == F.col("n")) & (turned == 0), fits).when(turned == typed, tie).otherwise(turned > typed)
+    turn = F.col("turned_head").isNotNull() & turn
+    part = lambda c: F.when(turn, F.col(f"turned_{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select("name", "n", part("head"), part("given"), part("middle"))
 
 
 def entities(names: DataFrame, max_edits: int = 1) -> DataFrame:
@@ -312,17 +387,31 @@ def entities(names: DataFrame, max_edits: int = 1) -> DataFrame:
         "name", "n", "org",
         F.when(turned, F.col("second")).when(turned3, F.concat("second", "third")).when((F.col("n_core") > 2) | split, F.concat("head", "second")).otherwise(F.col("head")).alias("head"),
         F.when(turned | turned3, F.col("head")).when(F.col("n_core") > 2, F.col("third")).when(split, F.lit("")).otherwise(F.coalesce("second", F.lit(""))).alias("business"),
-        "kind", "form", F.lit("").alias("given"), F.lit("").alias("middle"),
+        "kind", "form",
     )
-    person = read.where("not org").select("name", "n", "org", "head", F.lit("").alias("business"), F.lit("").alias("kind"), F.lit("").alias("form"), "given", "middle")
-    parts = durable(firm.unionByName(person).withColumn("tag", F.when(F.col("org"), "o").otherwise("p")), "parts")
-    follow = followed(parts.select("tag", F.col("head").alias("word"), "n"), 5, max_edits).toDF("tag", "head", "lead")
-    onward = follow.toDF("tag", "lead", "next")
-    family = follow.join(onward, ["tag", "lead"], "left").select("tag", "head", F.coalesce("next", "lead").alias("family"))
+    firm = durable(firm, "firms")
+    person = read.where("not org").select("name", "n", "head", "given", "middle", "turned_head", "turned_given", "turned_middle")
+    # every part of every name through one trie join
+    columns = [firm.select("head"), firm.select("business"), *(person.select(c) for c in ("head", "given", "turned_head", "turned_given"))]
+    near = durable(trie_join(reduce(DataFrame.union, columns).toDF("word").where("word <> ''"), max_edits), "near")
+    tagged = lambda rows, tag: rows.withColumn("tag", F.lit(tag))
+    words = lambda rows, tag, word, beside: tagged(rows, tag).select("tag", F.col(word).alias("word"), F.coalesce(F.col(beside), F.lit("")).alias("beside"), "n")
+    listed = sorted({*NICKNAMES, *_FULL})
     # a misspelt given name is read as the far more frequent one beside it, a listed one as itself
-    given = followed(parts.where("length(given) > 3").select("tag", F.col("given").alias("word"), "n"), 4, max_edits).toDF("tag", "given", "meant").where(~F.col("given").isin(sorted({*NICKNAMES, *_FULL})))
-    parts = parts.join(given, ["tag", "given"], "left").withColumn("given", F.coalesce("meant", "given")).drop("meant")
-    placed = parts.join(family, ["tag", "head"], "left").withColumn("family", F.coalesce("family", "head"))
+    surnames, givens = followed(words(person, "p", "head", "given"), near), followed(words(person, "p", "given", "head"), near, 4)
+    person = tagged(person, "p")
+    for head, given in (("head", "given"), ("turned_head", "turned_given")):
+        person = led(led(person, surnames, head, given, "_head"), givens, given, head, "_given", listed, 4).drop(head, given).withColumnsRenamed({"_head": head, "_given": given})
+    person = ordered(durable(person, "people"))
+    own, lines = followed(words(firm, "o", "head", "business"), near), followed(words(firm, "o", "business", "head"), near)
+    firm = led(led(tagged(firm, "o"), own, "head", "business", "_head"), lines, "business", "head", "_business").drop("head", "business").withColumnsRenamed({"_head": "head", "_business": "business"})
+    blank = lambda *names: [F.lit("").alias(c) for c in names]
+    parts = firm.select("name", "n", "org", "head", "business", "kind", "form", *blank("given", "middle"))
+    parts = parts.unionByName(person.select("name", "n", F.lit(False).alias("org"), "head", *blank("business", "kind", "form"), "given", "middle"))
+    parts = durable(parts.withColumn("tag", F.when(F.col("org"), "o").otherwise("p")), "parts")
+    # heads lead one another once more, as a lead may follow a greater one
+    onward = durable(surnames.unionByName(own).where("beside is null"), "onward")
+    placed = led(parts, onward, "head", "given", "family")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by family; a family may run on into the next batch."""

@@ -170,6 +170,27 @@ def test_nobody(name):
     assert N.read_name(name) is None
 
 
+@pytest.mark.parametrize("name", ["Doe Run Co", "Sealed Air Corp", "Unknown Worlds Entertainment Inc.", "Doeman, Peter", "Various Artists Holdings LLC"])
+def test_somebody(name):
+    assert N.read_name(name) is not None
+
+
+@pytest.mark.parametrize("name", ["Doe 3", "Jane Roe", "John Does 1 through 10", "To be assigned", "UNKNOWN", "Sealed Defendant 2", "Unnamed Trader No. 4", "Redacted", "Doe Corporations 1-5"])
+def test_nobody_by_whole_name(name):
+    assert N.read_name(name) is None
+
+
+def test_orders_and_short_names(spark):
+    """Parts in any order, short names beside a far more used one with the same other part, and neither without support."""
+    names = [f"{g} {h}" for g in ("John", "Mary", "Peter", "Alice") for h in ("Smith", "Wagner", "Hooper")] + ["Smith John", "Hooper Mary Ann", "Thomas James", "James Thomas"]
+    names += ["John Kim"] * 20 + ["John Kin", "Susan Kin", "Robert Wong", "Robert Wang"] + ["Robert Wong"] * 19 + ["John Carter"] * 20 + ["John Cartre", "Mary Ann Hooper"]
+    got = {r["name"]: r["entity"] for r in N.entities(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    same = [("Smith John", "John Smith"), ("Hooper Mary Ann", "Mary Ann Hooper"), ("Thomas James", "James Thomas"), ("John Kin", "John Kim"), ("Robert Wang", "Robert Wong"), ("John Cartre", "John Carter")]
+    apart = [("Susan Kin", "John Kim"), ("John Smith", "Mary Smith"), ("John Smith", "John Wagner"), ("Robert Wong", "John Kim")]
+    assert all(got[a] == got[b] for a, b in same), [(a, got[a], b, got[b]) for a, b in same if got[a] != got[b]]
+    assert all(got[a] != got[b] for a, b in apart)
+
+
 PEOPLE = {
     "a": ["Edward M. Butnallid", "BUTNALLID, EDWARD", "Butnallid, E.M.", "Ted  Butnallid et al.", "Mr. Edwadr Butnallid (pro se)", "Edward Butnalild"],
     "b": ["Olga E. Butnallid", "O. Butnallid", "Butnallid, Olga E., as Trustee"],
