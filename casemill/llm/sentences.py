@@ -11,10 +11,13 @@ Text inside quotation marks and brackets holds no event, blank lines and the end
 
 from __future__ import annotations
 
+import copy
 import json
+import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 import regex
@@ -55,7 +58,22 @@ _DIGITS = regex.compile(r"\d+")
 _LEAD = "".join(OPENERS) + "\"'¿¡*_"
 
 
-_FLAT = str.maketrans(dict.fromkeys("\n\t\f\r\v\u00a0\u202f\u2009\u2028\u2029", " "))
+_FLAT = "\n\t\f\r\v\u00a0\u202f\u2009\u2028\u2029"
+_WIDE_LETTER = regex.compile(rf"[{_WIDE}]").match
+_GOES_ON = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}]").match
+_WORD = regex.compile(r"\p{L}+")
+_THAI, _THAI_END = regex.compile(r"\p{Thai}"), regex.compile(r"\p{Thai}$")
+_TAIL = regex.compile(rf"[{ENDS}]*[^{ENDS}]*$")
+
+
+def flattened(block: str) -> str:
+    """The block with all kinds of single white space made spaces; positions stay."""
+    for c in _FLAT[: 5 if block.isascii() else None]:
+        if c in block:
+            block = block.replace(c, " ")
+    return block
+
+
 _LANGUAGES = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _SCRIPTS = [(k, regex.compile(v)) for k, v in (("th", r"\p{Thai}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}"), ("ru", r"\p{Cyrillic}"), ("ar", r"\p{Arabic}"), ("hi", r"\p{Devanagari}"), ("ko", r"\p{Hangul}"), ("el", r"\p{Greek}"))]
 _FOREIGN = regex.compile(r"[^\p{Latin}\p{Common}\p{Inherited}]")
@@ -63,7 +81,7 @@ _FOREIGN = regex.compile(r"[^\p{Latin}\p{Common}\p{Inherited}]")
 
 def language_of(text: str) -> str:
     """A name of the text's script, or of its language where the script is Latin; any stable grouping serves the model."""
-    if _FOREIGN.search(text):
+    if not text.isascii() and _FOREIGN.search(text):
         best = max((len(x.findall(text)) * (3 if k in ("ja", "zh") else 1), k) for k, x in _SCRIPTS)
         if best[0] * 4 > len(text):
             return best[1]
@@ -128,7 +146,7 @@ def is_heading(line: str) -> bool:
         return False
     marked = _HEAD_MARK.match(line)
     body = line[marked.end() :] if marked else line
-    words = regex.findall(r"\p{L}+", body)
+    words = _WORD.findall(body)
     if not words or any(c.isdigit() for c in body):
         return False
     if body.upper() == body and body.lower() != body and max(map(len, words)) > 3:
@@ -159,7 +177,7 @@ def blocks_of(text: str) -> Iterator[tuple[int, int, bool]]:
                             yield start, at, False
                         yield at, stop, True
                         start = stop
-                    ended = own or line.rstrip("".join(CLOSERS) + "\"' ")[-1:] in ENDS + ":" or bool(regex.search(r"\p{Thai}$", line))
+                    ended = own or line.rstrip("".join(CLOSERS) + "\"' ")[-1:] in ENDS + ":" or bool(_THAI_END.search(line))
                 at = stop + 1
             if text[start:end].strip():
                 yield start, end, False
@@ -171,12 +189,12 @@ def candidates_of(block: str) -> list[tuple[int, int, str, str, str]]:
 
     end: after the last character of the sentence; next: the first of the following one. The words are normal forms.
     """
-    flat = block.translate(_FLAT)
+    flat = flattened(block)
     outer = pairs_of(flat)
     closing = {b: a for a, b in outer}
     out, k = [], 0
     size = len(flat)
-    thai = _GAP.finditer(flat) if "฀" < max(flat, default="") else ()
+    thai = _GAP.finditer(flat) if not flat.isascii() and _THAI.search(flat) else ()
     spots = [(m.start(), m.end(), True) for m in thai] + [(m.start(), m.end(), False) for m in _POINT.finditer(flat)]
     spots.sort()
     for start, end, gap in spots:
@@ -213,7 +231,7 @@ def candidates_of(block: str) -> list[tuple[int, int, str, str, str]]:
             nxt = flat[after + 1 : after + 2]
             if not (start and (flat[start - 1].islower() or flat[start - 1].isdigit() or flat[start - 1] in CLOSERS or flat[start - 1] == "%")) or (nxt == "." and flat[after + 2 : after + 3] != "g") or (c.isupper() and not (nxt.islower() or nxt in " .")):
                 continue
-        if flat[start] in "。！？｡" or regex.match(rf"[{_WIDE}]", c):
+        if flat[start] in "。！？｡" or (c > "⺀" and _WIDE_LETTER(c)):
             out.append((end, after, "", flat[start:end], flat[after : after + 2]))
             continue
         left = flat.rfind(" ", 0, start) + 1
@@ -228,7 +246,7 @@ def candidates_of(block: str) -> list[tuple[int, int, str, str, str]]:
 def certain(last: str, following: str) -> bool | None:
     """What needs no model: a word in lower case goes on."""
     c = following.lstrip(_LEAD)[:1]
-    if c.islower() and regex.match(r"[\p{Latin}\p{Cyrillic}\p{Greek}]", c):
+    if c.islower() and (c.isascii() or _GOES_ON(c)):
         return False
     return None
 
@@ -257,10 +275,12 @@ class Model:
         self.triples = alone
         self.memo.clear()
 
-    def settle(self) -> None:
-        """Drops what only training needs."""
-        self.memo.clear()
-        del self.triples, self.seed, self.seed_of
+    def settled(self) -> Model:
+        """A copy without what only training needs."""
+        model = copy.copy(self)
+        model.memo = {}
+        del model.triples, model.seed, model.seed_of
+        return model
 
     def _shares(self) -> dict[str, float]:
         """The share of each word among the following words of its shape."""
@@ -405,59 +425,124 @@ def chains_of(places: list[tuple]) -> Iterator[list[tuple]]:
         i = j
 
 
-def sentences_of(text: str, models: dict[str, Model]) -> list[tuple[int, int]]:
-    """(start, end) of each sentence, counted from 0, end exclusive. models: by language_of; the largest if it has none."""
-    out: list[tuple[int, int]] = []
-    model = models.get(language_of(text)) or models.get("") or Model(set(), [], Counter(), Counter())
+class Layout(NamedTuple):
+    """What a text has for the model: its group, its blocks, and the places of blocks where an event may hide."""
+
+    group: str
+    starts: list[int]
+    ends: list[int]
+    #: a heading or list item, which is one unit
+    whole: list[bool]
+    #: of each block, how many of the places are its
+    n_places: list[int]
+    #: where a sentence ends at the place (exclusive), and where the next one begins
+    stops: list[int]
+    nexts: list[int]
+    before: list[str]
+    last: list[str]
+    following: list[str]
+    #: whether the place's last word is the following word of the place before it
+    linked: list[bool]
+    #: first and last words of the blocks that aren't whole
+    firsts: list[str]
+    lasts: list[str]
+
+
+LAYOUT = "g string, starts array<int>, ends array<int>, whole array<boolean>, n_places array<int>, stops array<int>, nexts array<int>, before array<string>, last array<string>, following array<string>, linked array<boolean>, firsts array<string>, lasts array<string>"
 
-    def add(a: int, b: int) -> None:
-        piece = text[a:b]
-        left = len(piece) - len(piece.lstrip())
-        piece = piece.strip()
-        if piece:
-            out.append((a + left, a + left + len(piece)))
 
+def layout(text: str) -> Layout:
+    out = Layout(language_of(text), *([] for _ in range(12)))
     for begin, end, whole in blocks_of(text):
-        if whole:
-            add(begin, end)
+        raw = text[begin:end]
+        block = raw.strip()
+        if not block:
             continue
-        block = text[begin:end]
-        at = begin
-        places = candidates_of(block)
-        for linked in chains_of(places):
-            for place, p in zip(linked, model.run([x[2:] for x in linked])):
-                if p >= 0.5:
-                    add(at, begin + place[0])
-                    at = begin + place[1]
-        add(at, end)
+        begin += len(raw) - len(raw.lstrip())
+        out.starts.append(begin)
+        out.ends.append(begin + len(block))
+        out.whole.append(whole)
+        n = 0
+        if not whole:
+            for chain in chains_of(candidates_of(block)):
+                for k, (stop, following, *words) in enumerate(chain):
+                    while stop and block[stop - 1].isspace():
+                        stop -= 1
+                    while following < len(block) and block[following].isspace():
+                        following += 1
+                    out.stops.append(begin + stop)
+                    out.nexts.append(begin + following)
+                    for column, w in zip((out.before, out.last, out.following), words):
+                        column.append(w)
+                    out.linked.append(k > 0)
+                    n += 1
+            first, last = _ends_of(block)
+            out.firsts.append(first)
+            out.lasts.append(last)
+        out.n_places.append(n)
     return out
 
 
+def chains(x) -> Iterator[list[tuple[str, str, str]]]:
+    """The (before, last, following) of each chain of a layout."""
+    chain: list[tuple[str, str, str]] = []
+    for before, last, following, linked in zip(x.before, x.last, x.following, x.linked):
+        if chain and not linked:
+            yield chain
+            chain = []
+        chain.append((before, last, following))
+    if chain:
+        yield chain
+
+
+def cut(x, model: Model) -> list[tuple[int, int]]:
+    """(start, end) of each sentence of a layout, counted from 0, end exclusive."""
+    posterior = [p for chain in chains(x) for p in model.run(chain)]
+    out, i = [], 0
+    for begin, end, n in zip(x.starts, x.ends, x.n_places):
+        for j in range(i, i + n):
+            if posterior[j] >= 0.5:
+                if x.stops[j] > begin:
+                    out.append((begin, x.stops[j]))
+                begin = x.nexts[j]
+        i += n
+        if end > begin:
+            out.append((begin, end))
+    return out
+
+
+def sentences_of(text: str, models: dict[str, Model]) -> list[tuple[int, int]]:
+    """(start, end) of each sentence, counted from 0, end exclusive. models: by language_of; the largest if it has none."""
+    x = layout(text)
+    return cut(x, models.get(x.group) or models.get("") or Model(set(), [], Counter(), Counter()))
+
+
 def _last_words(block: str) -> tuple[str, str]:
     words = block.split()
     last = words[-1] if len(words) < 2 or words[-1].strip("".join(CLOSERS) + ENDS) else words[-2] + words[-1]
     return normal(words[0]), normal(last)
 
 
-def _gather(text: str) -> tuple[list[list[tuple[str, str, str]]], list[str], list[str]]:
-    """Chains of places, first words and last words of the blocks of a text."""
-    places, firsts, lasts = [], [], []
-    for begin, end, whole in blocks_of(text):
-        if whole:
-            continue
-        block = text[begin:end].strip()
-        places += [[x[2:] for x in linked] for linked in chains_of(candidates_of(block))]
-        if regex.match(r"\p{Thai}", block):
-            firsts.append(block[:6].partition(" ")[0])
-            lasts.append(block[-6:].rpartition(" ")[2])
-        elif regex.match(rf"[{_WIDE}]", block):
-            firsts.append(block[:2])
-            lasts.append(regex.search(rf"[{ENDS}]*[^{ENDS}]*$", block)[0][:3])
-        else:
-            a, b = _last_words(block)
-            firsts.append(a)
-            lasts.append(b)
-    return places, firsts, lasts
+def _ends_of(block: str) -> tuple[str, str]:
+    """First and last words of a block, or what stands for words in scripts without spaces."""
+    if _THAI.match(block):
+        return block[:6].partition(" ")[0], block[-6:].rpartition(" ")[2]
+    if _WIDE_LETTER(block):
+        return block[:2], _TAIL.search(block)[0][:3]
+    return _last_words(block)
+
+
+def laid_out(texts: DataFrame) -> DataFrame:
+    """(k, layout columns) of the texts of (k, t): each is parsed once, and training and cutting read this table."""
+    kind = dict(texts.dtypes)["k"]
+    names = [c.split()[0] for c in LAYOUT.split(", ")]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [layout(t) for t in batch["t"]]
+            yield pd.DataFrame(dict(zip(names, zip(*rows))) if rows else {c: [] for c in names}).assign(k=batch["k"].to_numpy())[["k", *names]]
+
+    return durable(texts.where("t is not null").mapInPandas(parse, f"k {kind}, {LAYOUT}"), "layout")
 
 
 def _expected(chains: DataFrame, models: dict[str, Model]) -> DataFrame:
@@ -479,73 +564,76 @@ def _expected(chains: DataFrame, models: dict[str, Model]) -> DataFrame:
     return chains.mapInPandas(weigh, "g string, b string, a string, n string, c double, e double").groupBy("g", "b", "a", "n").agg(F.sum("c").alias("c"), F.sum("e").alias("e"))
 
 
-def train(documents: DataFrame, text: str = "text", share: float = OWN_SHARE) -> dict[str, Model]:
-    """Models by language, of all documents. Words with counts of their own are at most 1 / share a language."""
-    texts = documents.select(F.col(text).alias("t")).where("t is not null")
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: Counter = Counter()
-        for batch in batches:
-            for t in batch["t"]:
-                g = language_of(t)
-                places, firsts, lasts = _gather(t)
-                count.update((g, w) for linked in places for x in linked for w in x[1:])
-                count.update((g, w) for w in firsts)
-                count.update((g, w) for w in lasts)
-            if len(count) > 200_000:
-                yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["g", "w", "n"])
-                count.clear()
-        yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["g", "w", "n"])
+def train(rows: DataFrame, share: float = OWN_SHARE) -> dict[str, Model]:
+    """Models by language, of the layouts of all documents. Words with counts of their own are at most 1 / share a language.
 
-    counted = durable(texts.mapInPandas(words, "g string, w string, n long").groupBy("g", "w").agg(F.sum("n").alias("n")), "words")
+    Words and places are counted where they lie; each language's model is fitted in a task of its own, from counts of
+    own words and shapes only. Chains stay distributed and are weighed anew each round. What comes to the driver, to be
+    broadcast, are the models.
+    """
+    spark = rows.sparkSession
+    counted = rows.select("g", F.explode(F.concat("last", "following", "firsts", "lasts")).alias("w")).groupBy("g", "w").agg(F.count("*").alias("n"))
+    counted = durable(counted, "words")
     totals = counted.groupBy("g").agg(F.sum("n").alias("total"))
     own: dict[str, set[str]] = defaultdict(set)
     for r in counted.join(F.broadcast(totals), "g").where((F.col("n") >= 3) & (F.col("n") >= share * F.col("total"))).collect():  # at most 1 / share words a language
         own[r["g"]].add(r["w"])
-    own = dict(own)
-    shared = documents.sparkSession.sparkContext.broadcast(own)
+    shared = spark.sparkContext.broadcast(dict(own))
 
-    def triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count: Counter = Counter()
         for batch in batches:
-            for t in batch["t"]:
-                g = language_of(t)
-                known = shared.value.get(g, ())
+            for x in batch.itertuples(index=False):
+                g, known = x.g, shared.value.get(x.g, ())
                 key = lambda w: w if w in known else shape(w)  # noqa: B023, E731
-                places, firsts, lasts = _gather(t)
-                for linked in places:
-                    linked = [(shape(b), key(a), key(n)) for b, a, n in linked]
-                    count.update((g, "u" if len(linked) > 1 else "t", *x) for x in linked)
-                    if len(linked) > 1:
-                        count[g, "c", json.dumps(linked), "", ""] += 1
-                count.update((g, "s", "", "", key(w)) for w in firsts)
-                count.update((g, "e", "", key(w), "") for w in lasts)
+                for chain in chains(x):
+                    chain = [(shape(b), key(a), key(n)) for b, a, n in chain]
+                    count.update((g, "u" if len(chain) > 1 else "t", *y) for y in chain)
+                    if len(chain) > 1:
+                        count[g, "c", json.dumps(chain), "", ""] += 1
+                count.update((g, "s", "", "", key(w)) for w in x.firsts)
+                count.update((g, "e", "", key(w), "") for w in x.lasts)
+            if len(count) > 200_000:
+                yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["g", "kind", "b", "a", "n", "c"])
+                count.clear()
         yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["g", "kind", "b", "a", "n", "c"])
 
-    kinds = durable(texts.mapInPandas(triples, "g string, kind string, b string, a string, n string, c long").groupBy("g", "kind", "b", "a", "n").agg(F.sum("c").alias("c")), "places")
-    # all words are own words or shapes here, so the rows are bounded too; chains have no bound and stay where they are
-    parts: dict[str, tuple] = defaultdict(lambda: ([], Counter(), Counter(), []))
-    for r in kinds.where("kind <> 'c'").collect():
-        found, ends, starts, linked = parts[r["g"]]
-        if r["kind"] == "e":
-            ends[r["a"]] += r["c"]
-        elif r["kind"] == "s":
-            starts[r["n"]] += r["c"]
-        else:
-            (linked if r["kind"] == "u" else found).append((r["b"], r["a"], r["n"], r["c"]))
-    models = {g: Model(own.get(g, set()), *x) for g, x in parts.items()}
-    chains = kinds.where("kind = 'c'").select("g", "b", "c")
+    needed = rows.select("g", "before", "last", "following", "linked", "firsts", "lasts")
+    kinds = needed.mapInPandas(places, "g string, kind string, b string, a string, n string, c long").groupBy("g", "kind", "b", "a", "n").agg(F.sum("c").alias("c"))
+    kinds = durable(kinds, "places")
+    state = "g string, ends long, state binary, model binary"
+
+    def packed(g: str, model: Model) -> pd.DataFrame:
+        return pd.DataFrame({"g": [g], "ends": [sum(model.ends.values())], "state": [pickle.dumps(model)], "model": [pickle.dumps(model.settled())]})
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, found, linked, ends, starts = pdf["g"].iloc[0], [], [], Counter(), Counter()
+        for kind, b, a, n, c in sorted(zip(pdf["kind"], pdf["b"], pdf["a"], pdf["n"], pdf["c"])):
+            if kind == "e":
+                ends[a] += c
+            elif kind == "s":
+                starts[n] += c
+            else:
+                (linked if kind == "u" else found).append((b, a, n, c))
+        return packed(g, Model(shared.value.get(g, set()), found, ends, starts, linked))
+
+    def learn(key: tuple, before: pd.DataFrame, expected: pd.DataFrame) -> pd.DataFrame:
+        if before.empty:
+            return before
+        model = pickle.loads(before["state"].iloc[0])
+        model.learn(sorted(zip(expected["b"], expected["a"], expected["n"], expected["c"], expected["e"])))
+        return packed(key[0], model)
+
+    chained = kinds.where("kind = 'c'").select("g", "b", "c")
+    fitted = durable(kinds.where("kind <> 'c'").groupBy("g").applyInPandas(begin, state), "models")
+    unpacked = lambda: {r["g"]: pickle.loads(r["model"]) for r in fitted.select("g", "model").collect()}
     for _ in range(ROUNDS):
-        expected: dict[str, list] = defaultdict(list)
-        if any(x[3] for x in parts.values()):
-            for r in _expected(chains, models).collect():  # bounded as the triples are
-                expected[r["g"]].append((r["b"], r["a"], r["n"], r["c"], r["e"]))
-        for g, model in models.items():
-            model.learn(sorted(expected[g]))
-    for model in models.values():
-        model.settle()
-    if models:
-        models[""] = models[max(parts, key=lambda g: (sum(parts[g][2].values()), g))]
+        expected = _expected(chained, unpacked())
+        fitted = durable(fitted.groupBy("g").cogroup(expected.groupBy("g")).applyInPandas(learn, state), "models")
+    models = unpacked()
+    largest = fitted.orderBy(F.desc("ends"), F.desc("g")).select("g").first()
+    if largest:
+        models[""] = models[largest["g"]]
     return models
 
 
@@ -555,14 +643,16 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", mod
     Positions count characters from 1, both inclusive. Null and blank texts have none. A text that occurs under several
     keys is split under each. Texts of any length are read whole, one in one task.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(models or train(documents, text))
+    kind = dict(documents.dtypes)[key]
+    rows = laid_out(documents.select(F.col(key).alias("k"), F.col(text).alias("t")))
+    shared = documents.sparkSession.sparkContext.broadcast(models or train(rows))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = shared.value
+        other = models.get("") or Model(set(), [], Counter(), Counter())
         for batch in batches:
-            out = [(k, i, a + 1, b) for k, t in zip(batch["k"], batch["t"]) for i, (a, b) in enumerate(sentences_of(t, models), 1)]
+            out = [(x.k, i, a + 1, b) for x in batch.itertuples(index=False) for i, (a, b) in enumerate(cut(x, models.get(x.g) or other), 1)]
             yield pd.DataFrame(out, columns=["k", "sentence_no", "start_pos", "end_pos"])
 
-    kind = dict(documents.dtypes)[key]
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
-    return rows.mapInPandas(split, f"k {kind}, sentence_no int, start_pos int, end_pos int").withColumnRenamed("k", key)
+    needed = rows.drop("whole", "firsts", "lasts")
+    return needed.mapInPandas(split, f"k {kind}, sentence_no int, start_pos int, end_pos int").withColumnRenamed("k", key)

@@ -594,7 +594,7 @@ def test_rank_file_and_tokenizer_file_count_alike():
 
 @pytest.fixture(scope="module")
 def models(spark):
-    return S.train(table(spark, "/root/testdata/sf0.01", "documents"))
+    return S.train(S.laid_out(table(spark, "/root/testdata/sf0.01", "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("t"))))
 
 
 @pytest.mark.parametrize(
