@@ -85,8 +85,12 @@ def language_of(text: str) -> str:
         best = max((len(x.findall(text)) * (3 if k in ("ja", "zh") else 1), k) for k, x in _SCRIPTS)
         if best[0] * 4 > len(text):
             return best[1]
-    words = set(text.lower().split())
-    return max((len(words & v), k) for k, v in _LANGUAGES.items())[1]
+    words = set(text.split())
+    found = max((len(words & v), k) for k, v in _LANGUAGES.items())
+    if not found[0]:  # a text in capitals, or of other languages
+        words = set(text.lower().split())
+        found = max((len(words & v), k) for k, v in _LANGUAGES.items())
+    return found[1]
 
 
 @lru_cache(200_000)
@@ -385,7 +389,8 @@ class Model:
 
     def run(self, places: list[tuple[str, str, str]]) -> list[float]:
         """Posteriors of events of which each one's following word is the next one's last: forward-backward."""
-        places = [(shape(b), self.key(a), self.key(n)) for b, a, n in places]
+        own = self.own
+        places = [(shape(b), a if a in own else shape(a), n if n in own else shape(n)) for b, a, n in places]
         if len(places) == 1:
             return [self.alone(*places[0])]
         return [x[0][1] + x[1][1] for x in self.chain(places)]
@@ -414,17 +419,6 @@ class Model:
         return out
 
 
-def chains_of(places: list[tuple]) -> Iterator[list[tuple]]:
-    """Runs of a block's places of which each one's following word is the next one's last."""
-    i = 0
-    while i < len(places):
-        j = i + 1
-        while j < len(places) and places[j][3] == places[j - 1][4] and places[j][0] - places[j - 1][1] <= len(places[j][3]) + 2:
-            j += 1
-        yield places[i:j]
-        i = j
-
-
 class Layout(NamedTuple):
     """What a text has for the model: its group, its blocks, and the places of blocks where an event may hide."""
 
@@ -462,24 +456,23 @@ def layout(text: str) -> Layout:
         out.starts.append(begin)
         out.ends.append(begin + len(block))
         out.whole.append(whole)
-        n = 0
+        places = [] if whole else candidates_of(block)
         if not whole:
-            for chain in chains_of(candidates_of(block)):
-                for k, (stop, following, *words) in enumerate(chain):
-                    while stop and block[stop - 1].isspace():
-                        stop -= 1
-                    while following < len(block) and block[following].isspace():
-                        following += 1
-                    out.stops.append(begin + stop)
-                    out.nexts.append(begin + following)
-                    for column, w in zip((out.before, out.last, out.following), words):
-                        column.append(w)
-                    out.linked.append(k > 0)
-                    n += 1
+            if places:
+                stops, nexts, before, last, following = zip(*places)
+                out.stops.extend([begin + stop for stop in stops])
+                if not block.isascii():  # spaces that only wide scripts have
+                    nexts = [at + len(block[at:]) - len(block[at:].lstrip()) if block[at].isspace() else at for at in nexts]
+                out.nexts.extend([begin + at for at in nexts])
+                out.before.extend(before)
+                out.last.extend(last)
+                out.following.extend(following)
+                out.linked.append(False)
+                out.linked.extend([a == n and stop - at <= len(a) + 2 for a, n, stop, at in zip(last[1:], following, stops[1:], nexts)])
             first, last = _ends_of(block)
             out.firsts.append(first)
             out.lasts.append(last)
-        out.n_places.append(n)
+        out.n_places.append(len(places))
     return out
 
 
