@@ -77,3 +77,33 @@ def vector_of_blob(blob) -> Column:
             yield batch.map(lambda b: np.frombuffer(b, "<f4").tolist() if b is not None and len(b) % 4 == 0 else None)
 
     return decode(F.col(blob) if isinstance(blob, str) else blob)
+
+
+def blob_of_vector(vector) -> Column:
+    """An array of floats as float32 bytes; null for null and for arrays with nulls."""
+
+    @F.pandas_udf("binary")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda v: np.asarray(v, "<f4").tobytes() if v is not None else None)
+
+    c = F.col(vector) if isinstance(vector, str) else vector
+    return encode(F.when(~F.exists(c, lambda x: x.isNull()), c))
+
+
+def encoded(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray], width: int, key: str = "opinion_id", text: str = "plain_text") -> DataFrame:
+    """(key, embedding): vectors of a pluggable encoder, a picklable function from texts to rows of ``width`` floats.
+
+    Null and empty texts get no row. Texts go to the encoder batch by batch where they lie; a raised error fails the task,
+    which Spark repeats.
+    """
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = np.asarray(encoder(batch["t"].tolist()), np.float32) if len(batch) else np.zeros((0, width), np.float32)
+            if rows.shape != (len(batch), width):
+                raise ValueError(f"the encoder gave {rows.shape}, not {(len(batch), width)}")
+            yield pd.DataFrame({key: batch["k"], "embedding": list(rows)})
+
+    return texts.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t <> ''").mapInPandas(run, f"{key} {kind}, embedding array<float>")

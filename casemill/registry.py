@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: modules that define QUERIES: name -> function, and ORACLES: name -> SQL
-MODULES = tuple(f"casemill.queries.{m}" for m in ("orphans", "text", "graph", "retrieval", "evaluation", "tables", "dockets"))
+MODULES = tuple(f"casemill.queries.{m}" for m in ("orphans", "text", "graph", "retrieval", "evaluation", "lifting", "tables", "dockets"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
