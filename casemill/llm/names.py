@@ -267,7 +267,7 @@ def firms(rows: list[dict]) -> list[str]:
     kinds, forms = defaultdict(Counter), defaultdict(Counter)
     for r in rows:
         if r["business"]:
-            kinds[group[r["business"]]][r["kind"]] += r["n"]
+            kinds[group[r["business"]]][r["sort"]] += r["n"]
     people = set()
     for k, c in kinds.items():
         c.pop("", None)
@@ -275,20 +275,20 @@ def firms(rows: list[dict]) -> list[str]:
     for r in rows:
         if r["business"] and r["form"]:
             for p in people:
-                if p[0] == group[r["business"]] and r["kind"] in ("", p[1]):
+                if p[0] == group[r["business"]] and r["sort"] in ("", p[1]):
                     forms[p][r["form"]] += r["n"]
     out = []
     for r in rows:
-        fit = [p for p in people if (not r["business"] or p[0] == group[r["business"]]) and (not r["kind"] or p[1] in ("", r["kind"]))]
+        fit = [p for p in people if (not r["business"] or p[0] == group[r["business"]]) and (not r["sort"] or p[1] in ("", r["sort"]))]
         if len(fit) > 1 and r["form"]:
             fit = [p for p in fit if not forms[p] or forms[p].most_common(1)[0][0] == r["form"]] or fit
-        if r["form"] and not r["business"] and not r["kind"]:
+        if r["form"] and not r["business"] and not r["sort"]:
             fit = [p for p in fit if not forms[p] or r["form"] in forms[p]]
-        out.append(f"{fit[0][0]}:{fit[0][1]}" if len(fit) == 1 else f"?{r['business']}:{r['kind']}:{r['form'] if not r['business'] else ''}")
+        out.append(f"{fit[0][0]}:{fit[0][1]}" if len(fit) == 1 else f"?{r['business']}:{r['sort']}:{r['form'] if not r['business'] else ''}")
     return out
 
 
-_PARTS = "struct<org:boolean,head:string,second:string,third:string,given:string,middle:string,kind:string,form:string,n_core:int,turned_head:string,turned_given:string,turned_middle:string>"
+_PARTS = "struct<org:boolean,head:string,second:string,third:string,given:string,middle:string,sort:string,form:string,n_core:int,turned_head:string,turned_given:string,turned_middle:string>"
 
 
 def _read(names: pd.Series) -> pd.DataFrame:
@@ -302,7 +302,7 @@ def _read(names: pd.Series) -> pd.DataFrame:
             rows.append((True, core[0], core[1] if len(core) > 1 else None, "".join(core[2:]) or None, None, None, p["kind"], p["form"], len(core), None, None, None))
         else:
             rows.append((False, p["head"], None, None, p["given"], p["middle"], None, None, 1, *(p["turned"] or (None,) * 3)))
-    return pd.DataFrame(rows, columns=["org", "head", "second", "third", "given", "middle", "kind", "form", "n_core", "turned_head", "turned_given", "turned_middle"]).astype({"n_core": "Int32"})
+    return pd.DataFrame(rows, columns=["org", "head", "second", "third", "given", "middle", "sort", "form", "n_core", "turned_head", "turned_given", "turned_middle"]).astype({"n_core": "Int32"})
 
 
 #: letters of a word that is read as its neighbour whatever stands beside it, and of one that is never: an edit to an
@@ -344,16 +344,17 @@ def led(rows: DataFrame, follow: DataFrame, word: str, beside: str, out: str, ke
 def ordered(people: DataFrame) -> DataFrame:
     """The rows with the parts of each name in the order that more names have.
 
-    people: name, n, head, given, middle and turned_head, turned_given, turned_middle (null where the order is certain).
+    people: kind, tag, name, n, head, given, middle and turned_head, turned_given, turned_middle (null where the order is certain).
     The turned order is taken if more uses have it than the order as typed; if as many do, or if no other name has either,
     by whether its surname is mostly a surname and its given name mostly a given name in other names; if that doesn't tell
     and both orders are used, by the text, so that all spellings of a pair come out the same way.
     """
-    support = people.groupBy("head", "given").agg(F.sum("n").alias("s"))
-    votes = people.select(F.explode(F.array(F.struct(F.col("head").alias("w"), F.col("n").alias("v")), F.struct(F.col("given").alias("w"), (-F.col("n")).alias("v")))).alias("x"))
-    votes = durable(votes.groupBy("x.w").agg(F.sum("x.v").alias("v")), "votes")
-    rows = people.join(support.toDF("head", "given", "s1"), ["head", "given"]).join(support.toDF("turned_head", "turned_given", "s2"), ["turned_head", "turned_given"], "left")
-    rows = rows.join(votes.toDF("head", "v1"), "head", "left").join(votes.toDF("turned_head", "v2"), "turned_head", "left")
+    support = people.groupBy("tag", "head", "given").agg(F.sum("n").alias("s"))
+    votes = people.select("tag", F.explode(F.array(F.struct(F.col("head").alias("w"), F.col("n").alias("v")), F.struct(F.col("given").alias("w"), (-F.col("n")).alias("v")))).alias("x"))
+    votes = durable(votes.groupBy("tag", "x.w").agg(F.sum("x.v").alias("v")), "votes")
+    rows = people.join(support.toDF("tag", "head", "given", "s1"), ["tag", "head", "given"])
+    rows = rows.join(support.toDF("tag", "turned_head", "turned_given", "s2"), ["tag", "turned_head", "turned_given"], "left")
+    rows = rows.join(votes.toDF("tag", "head", "v1"), ["tag", "head"], "left").join(votes.toDF("tag", "turned_head", "v2"), ["tag", "turned_head"], "left")
     typed, turned = F.col("s1"), F.coalesce("s2", F.lit(0))
     # heads and given names elsewhere: without what the two orders of this pair add
     as_head, as_given = F.coalesce("v2", F.lit(0)) + typed - turned, F.col("v1") - typed + turned
@@ -362,56 +363,54 @@ def ordered(people: DataFrame) -> DataFrame:
     turn = F.when((typed == F.col("n")) & (turned == 0), fits).when(turned == typed, tie).otherwise(turned > typed)
     turn = F.col("turned_head").isNotNull() & turn
     part = lambda c: F.when(turn, F.col(f"turned_{c}")).otherwise(F.col(c)).alias(c)
-    return rows.select("name", "n", part("head"), part("given"), part("middle"))
+    return rows.select("kind", "tag", "name", "n", part("head"), part("given"), part("middle"))
 
 
 def entities(names: DataFrame, max_edits: int = 1) -> DataFrame:
-    """(name, entity) of the distinct spellings of a one-column frame, for those that denote anybody.
+    """(kind, name, entity) of the distinct spellings of a frame of names, for those that denote anybody.
 
+    names: name, and kind if there are several kinds of names, which don't bear on one another and never share an entity.
     Work goes by distinct spelling: a name with a third of all rows is one spelling. Frequencies, roles of words and
     families cover all spellings. entity is a stable text. Repeated parts, ties and any order of rows give the same
     result: all choices fall by count, then by the text itself.
     """
-    counted = names.toDF("name").where("name is not null").groupBy(F.trim("name").alias("name")).agg(F.count("*").alias("n"))
-    read = durable(counted.withColumn("p", F.pandas_udf(_read, _PARTS)("name")).where("p.org is not null").select("name", "n", "p.*"), "names")
+    names = names if "kind" in names.columns else names.withColumn("kind", F.lit(""))
+    counted = names.where("name is not null").groupBy("kind", F.trim("name").alias("name")).agg(F.count("*").alias("n"))
+    read = durable(counted.withColumn("p", F.pandas_udf(_read, _PARTS)("name")).where("p.org is not null").select("kind", "name", "n", "p.*"), "names")
     firm = read.where("org")
     # words after a firm's own name more often than first, and after several, are lines of business
-    votes = firm.where("n_core = 2").select(F.explode(F.expr("array(struct(head as w, 1L as v, cast(null as string) as after), struct(second as w, -1L as v, head as after))")).alias("x"), "n")
-    votes = durable(votes.groupBy(F.col("x.w").alias("w")).agg(F.sum(F.col("x.v") * F.col("n")).alias("v"), F.countDistinct("x.after").alias("several")), "votes")
-    firm = firm.join(votes.select(F.col("w").alias("head"), F.col("v").alias("v1"), (F.expr("v < 0 and several > 1")).alias("b1")), "head", "left")
-    firm = firm.join(votes.select(F.col("w").alias("second"), F.col("v").alias("v2"), (F.expr("v < 0 and several > 1")).alias("b2")), "second", "left")
+    votes = firm.where("n_core = 2").select("kind", F.explode(F.expr("array(struct(head as w, 1L as v, cast(null as string) as after), struct(second as w, -1L as v, head as after))")).alias("x"), "n")
+    votes = durable(votes.groupBy("kind", F.col("x.w").alias("w")).agg(F.sum(F.col("x.v") * F.col("n")).alias("v"), F.countDistinct("x.after").alias("several")), "votes")
+    firm = firm.join(votes.select("kind", F.col("w").alias("head"), F.col("v").alias("v1"), (F.expr("v < 0 and several > 1")).alias("b1")), ["kind", "head"], "left")
+    firm = firm.join(votes.select("kind", F.col("w").alias("second"), F.col("v").alias("v2"), (F.expr("v < 0 and several > 1")).alias("b2")), ["kind", "second"], "left")
     turned = F.expr("n_core = 2 and coalesce(b1, false) and coalesce(v2, 0) > v1")
     turned3 = F.expr("n_core > 2 and coalesce(b1, false)")
     split = F.expr("n_core = 2 and not coalesce(b2, false) and length(head) <= 4")  # a name broken in two
     firm = firm.select(
-        "name", "n", "org",
+        "kind", "name", "n",
         F.when(turned, F.col("second")).when(turned3, F.concat("second", "third")).when((F.col("n_core") > 2) | split, F.concat("head", "second")).otherwise(F.col("head")).alias("head"),
         F.when(turned | turned3, F.col("head")).when(F.col("n_core") > 2, F.col("third")).when(split, F.lit("")).otherwise(F.coalesce("second", F.lit(""))).alias("business"),
-        "kind", "form",
+        "sort", "form", F.concat("kind", F.lit("o")).alias("tag"),
     )
     firm = durable(firm, "firms")
-    person = read.where("not org").select("name", "n", "head", "given", "middle", "turned_head", "turned_given", "turned_middle")
+    person = read.where("not org").select("kind", F.concat("kind", F.lit("p")).alias("tag"), "name", "n", "head", "given", "middle", "turned_head", "turned_given", "turned_middle")
     # every part of every name through one trie join
     columns = [firm.select("head"), firm.select("business"), *(person.select(c) for c in ("head", "given", "turned_head", "turned_given"))]
     near = durable(trie_join(reduce(DataFrame.union, columns).toDF("word").where("word <> ''"), max_edits), "near")
-    tagged = lambda rows, tag: rows.withColumn("tag", F.lit(tag))
-    words = lambda rows, tag, word, beside: tagged(rows, tag).select("tag", F.col(word).alias("word"), F.coalesce(F.col(beside), F.lit("")).alias("beside"), "n")
+    words = lambda rows, word, beside: rows.select("tag", F.col(word).alias("word"), F.coalesce(F.col(beside), F.lit("")).alias("beside"), "n")
     listed = sorted({*NICKNAMES, *_FULL})
     # a misspelt given name is read as the far more frequent one beside it, a listed one as itself
-    surnames, givens = followed(words(person, "p", "head", "given"), near), followed(words(person, "p", "given", "head"), near, 4)
-    person = tagged(person, "p")
+    heads = followed(words(person, "head", "given").unionByName(words(firm, "head", "business")), near)
+    givens, lines = followed(words(person, "given", "head"), near, 4), followed(words(firm, "business", "head"), near)
     for head, given in (("head", "given"), ("turned_head", "turned_given")):
-        person = led(led(person, surnames, head, given, "_head"), givens, given, head, "_given", listed, 4).drop(head, given).withColumnsRenamed({"_head": head, "_given": given})
+        person = led(led(person, heads, head, given, "_head"), givens, given, head, "_given", listed, 4).drop(head, given).withColumnsRenamed({"_head": head, "_given": given})
     person = ordered(durable(person, "people"))
-    own, lines = followed(words(firm, "o", "head", "business"), near), followed(words(firm, "o", "business", "head"), near)
-    firm = led(led(tagged(firm, "o"), own, "head", "business", "_head"), lines, "business", "head", "_business").drop("head", "business").withColumnsRenamed({"_head": "head", "_business": "business"})
+    firm = led(led(firm, heads, "head", "business", "_head"), lines, "business", "head", "_business").drop("head", "business").withColumnsRenamed({"_head": "head", "_business": "business"})
     blank = lambda *names: [F.lit("").alias(c) for c in names]
-    parts = firm.select("name", "n", "org", "head", "business", "kind", "form", *blank("given", "middle"))
-    parts = parts.unionByName(person.select("name", "n", F.lit(False).alias("org"), "head", *blank("business", "kind", "form"), "given", "middle"))
-    parts = durable(parts.withColumn("tag", F.when(F.col("org"), "o").otherwise("p")), "parts")
+    parts = firm.select("kind", "tag", "name", "n", F.lit(True).alias("org"), "head", "business", "sort", "form", *blank("given", "middle"))
+    parts = parts.unionByName(person.select("kind", "tag", "name", "n", F.lit(False).alias("org"), "head", *blank("business", "sort", "form"), "given", "middle"))
     # heads lead one another once more, as a lead may follow a greater one
-    onward = durable(surnames.unionByName(own).where("beside is null"), "onward")
-    placed = led(parts, onward, "head", "given", "family")
+    placed = led(parts, heads.where("beside is null"), "head", "given", "family")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by family; a family may run on into the next batch."""
@@ -419,7 +418,7 @@ def entities(names: DataFrame, max_edits: int = 1) -> DataFrame:
 
         def done() -> list[tuple[str, str]]:
             labels = (firms if held[0]["org"] else persons)(held)
-            return [(r["name"], f"{r['tag']}:{r['family']}:{x}") for r, x in zip(held, labels)]
+            return [(r["kind"], r["name"], f"{r['tag']}:{r['family']}:{x}") for r, x in zip(held, labels)]
 
         for batch in batches:
             out = []
@@ -428,20 +427,24 @@ def entities(names: DataFrame, max_edits: int = 1) -> DataFrame:
                     out += done()
                     held = []
                 held.append(r)
-            yield pd.DataFrame(out, columns=["name", "entity"])
+            yield pd.DataFrame(out, columns=["kind", "name", "entity"])
         if held:
-            yield pd.DataFrame(done(), columns=["name", "entity"])
+            yield pd.DataFrame(done(), columns=["kind", "name", "entity"])
 
-    return placed.repartition("tag", "family").sortWithinPartitions("tag", "family", "name").mapInPandas(settle, "name string, entity string")
+    return placed.repartition("tag", "family").sortWithinPartitions("tag", "family", "name").mapInPandas(settle, "kind string, name string, entity string")
 
 
-def link(records: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, entity): the entities that the names of each key denote; blank, absent and placeholder names denote nobody."""
-    rows = records.select(F.col(key).alias("key"), F.trim(F.col(name)).alias("name")).where("key is not null and name <> ''").distinct()
-    return rows.join(entities(rows.select("name")), "name").select(F.col("key").alias(key), "entity").distinct()
+def link(records: DataFrame, key: str, name: str, kind: str | None = None) -> DataFrame:
+    """(kind, key, entity): the entities that the names of each key denote; blank, absent and placeholder names denote nobody.
+
+    kind: a column of kinds of records, which are never linked with each other; without it there is no kind in the result.
+    """
+    rows = records.select((F.col(kind) if kind else F.lit("")).alias("kind"), F.col(key).alias("key"), F.trim(F.col(name)).alias("name")).where("key is not null and name <> ''").distinct()
+    found = rows.join(entities(rows.select("kind", "name")), ["kind", "name"])
+    return found.select(*([F.col("kind").alias(kind)] if kind else []), F.col("key").alias(key), "entity").distinct()
 
 
-def linked_pairs(linked: DataFrame, key: str) -> DataFrame:
-    """(a, b), a < b: keys that share an entity."""
-    x, y = linked.select(F.col(key).alias("a"), "entity"), linked.select(F.col(key).alias("b"), "entity")
-    return x.join(y, "entity").where("a < b").select("a", "b").distinct()
+def linked_pairs(linked: DataFrame, key: str, *by: str) -> DataFrame:
+    """(by..., a, b), a < b: keys that share an entity, within equal ``by``."""
+    x, y = linked.select(*by, F.col(key).alias("a"), "entity"), linked.select(*by, F.col(key).alias("b"), "entity")
+    return x.join(y, [*by, "entity"]).where("a < b").select(*by, "a", "b").distinct()

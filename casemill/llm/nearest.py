@@ -235,8 +235,8 @@ def knn(vectors: DataFrame, k: int = 5, sample: int = SAMPLE, part_size: int = P
                 part, key = np.concatenate([top[:, 0], top[r, c + 1]]), np.concatenate([keys, keys[r]])
                 out = pd.DataFrame({"part": part, "key": key, "home": np.arange(part.size) < len(x)})
                 if with_data:
-                    half = unit(x.astype(np.float64)).astype(np.float16)
-                    out["data"] = [v.tobytes() for v in x] + [half[i].tobytes() for i in r]
+                    own = [v.tobytes() for v in x]
+                    out["data"] = own + [own[i] for i in r]
                 yield out
 
         return rows
@@ -267,7 +267,7 @@ def knn(vectors: DataFrame, k: int = 5, sample: int = SAMPLE, part_size: int = P
         take = min(k + 8, len(mk))
         for at in range(0, len(qk), 512):
             ids = qk[at : at + 512]
-            q = unit(np.stack([np.frombuffer(d, np.float32 if len(d) == 4 * exact.shape[1] else np.float16).astype(np.float64) for d in data[at : at + 512]]))
+            q = unit(np.stack([np.frombuffer(d, np.float32) for d in data[at : at + 512]]).astype(np.float64))
             sims = q.astype(np.float32) @ rough.T
             sims[ids[:, None] == mk[None, :]] = -2
             top = np.argpartition(-sims, take - 1, axis=1)[:, :take]

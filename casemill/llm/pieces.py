@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.plans.durable import broadcast_if_small, durable
+
 LIMIT, OVERLAP = 10_000, 200
 LEVELS = ("paragraph", "line", "sentence", "word")
 #: characters of str.isspace; fixed values
@@ -102,6 +104,23 @@ def cuts(bounds: list[np.ndarray], total: int, offsets: np.ndarray | None = None
         start, done = min(back(cut, overlap), cut), cut
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """One of the rows with equal key and text. Only keys and hashes are shuffled; texts move where a key has several rows."""
+    marked = rows.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(5), "text"))
+    again = broadcast_if_small(durable(marked.groupBy("key", "h", "h2").agg(F.count("*").alias("n")).where("n > 1").select("key", "h", "h2"), "again"))
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("h") == F.col("g")) & (F.col("h2") == F.col("g2"))
+    few = again.toDF("k", "g", "g2")
+    repeated = marked.join(few, same, "left_semi").dropDuplicates(["key", "h", "h2"])
+    return marked.join(few, same, "left_anti").unionByName(repeated).select("key", "text")
+
+
+def word_offsets(text: str) -> np.ndarray:
+    """Prefix sums of words per character, for pieces that are limited in words: each word counts where it begins."""
+    starts = np.zeros(len(text) + 1, np.int64)
+    starts[structure(code_points(text))["word_start"] + 1] = 1
+    return np.cumsum(starts)
+
+
 def split_pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, sizes: Callable[[str], np.ndarray] | None = None, repeats: bool = False, with_text: bool = True) -> DataFrame:
     """(key, piece_no, n_pieces, start_pos, end_pos, level, cut, piece) of the texts with more than ``limit`` units.
 
@@ -115,7 +134,7 @@ def split_pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap
     if sizes is None:
         rows = rows.where(F.length("text") > limit)
     if not repeats:
-        rows = rows.dropDuplicates(["key", "text"])
+        rows = _once(rows)
     kind = dict(df.dtypes)[key]
     columns = ("key", "piece_no", "n_pieces", "start_pos", "end_pos", "level", "cut", "piece")
 

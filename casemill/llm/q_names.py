@@ -8,20 +8,16 @@ from casemill.plans.durable import durable
 from casemill.tables import table
 
 
-def _linked(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    source, key, name = {"party": ("parties", "party_id", "name"), "judge": ("cases", "docket_id", "assigned_to_str")}[kind]
-    return durable(link(table(spark, d, source), key, name), "linked")
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The entity of every party and judge: the links without their pairs."""
+    parties = table(spark, d, "parties").select(F.lit("party").alias("kind"), F.col("party_id").alias("id"), "name")
+    judges = table(spark, d, "cases").select(F.lit("judge").alias("kind"), F.col("docket_id").alias("id"), F.col("assigned_to_str").alias("name"))
+    return link(parties.unionByName(judges), "id", "name", "kind")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    party, judge = linked_pairs(_linked(spark, d, "party"), "party_id"), linked_pairs(_linked(spark, d, "judge"), "docket_id")
-    return party.withColumn("kind", F.lit("party")).unionByName(judge.withColumn("kind", F.lit("judge"))).select("kind", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
-
-
-def p2_entities(spark: SparkSession, d: str) -> DataFrame:
-    """The entity of every party and judge: the links without their pairs."""
-    party, judge = _linked(spark, d, "party").toDF("id", "entity"), _linked(spark, d, "judge").toDF("id", "entity")
-    return party.withColumn("kind", F.lit("party")).unionByName(judge.withColumn("kind", F.lit("judge")))
+    pairs = linked_pairs(durable(p2_entities(spark, d), "linked"), "id", "kind")
+    return pairs.select("kind", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities}

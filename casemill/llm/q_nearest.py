@@ -16,7 +16,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five opinions with the most similar vectors of every opinion."""
-    return knn(_vectors(spark, d)).select(F.col("key").alias("opinion_id"), F.col("neighbour").alias("neighbour_id"), "rank", "cosine")
+    return knn(_vectors(spark, d)).select(F.col("key").alias("opinion_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round("cosine", 8).alias("cosine"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,5 +30,9 @@ ORACLES = {
     "p3_found": """WITH u AS (SELECT opinion_id, max_by(e, struct_pack(a := created_at, b := e)) AS v FROM (SELECT opinion_id, created_at, CAST(embedding AS DOUBLE[]) AS e FROM opinion_embeddings
   WHERE model_name = 'lexvec-base-768' AND len(embedding) = 768) WHERE len(list_filter(e, lambda x: isnan(x) OR x IS NULL)) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 GROUP BY 1),
 h AS (SELECT a.opinion_id AS a, b.opinion_id AS b FROM u a JOIN u b ON a.opinion_id <> b.opinion_id QUALIFY row_number() OVER (PARTITION BY a.opinion_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.opinion_id) <= 5)
-SELECT DISTINCT least(a, b) AS opinion_id_a, greatest(a, b) AS opinion_id_b FROM h"""
+SELECT DISTINCT least(a, b) AS opinion_id_a, greatest(a, b) AS opinion_id_b FROM h""",
+    "p3_neighbours": """WITH u AS (SELECT opinion_id, max_by(e, struct_pack(a := created_at, b := e)) AS v FROM (SELECT opinion_id, created_at, CAST(embedding AS DOUBLE[]) AS e FROM opinion_embeddings
+  WHERE model_name = 'lexvec-base-768' AND len(embedding) = 768) WHERE len(list_filter(e, lambda x: isnan(x) OR x IS NULL)) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 GROUP BY 1),
+h AS (SELECT a.opinion_id, b.opinion_id AS neighbour_id, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.opinion_id <> b.opinion_id)
+SELECT opinion_id, neighbour_id, row_number() OVER (PARTITION BY opinion_id ORDER BY c DESC, neighbour_id) AS rank, round(c, 8) AS cosine FROM h QUALIFY rank <= 5""",
 }

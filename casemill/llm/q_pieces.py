@@ -1,9 +1,9 @@
 """Queries of the pieces."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.pieces import split_pieces
+from casemill.llm.pieces import LIMIT, OVERLAP, split_pieces, word_offsets
 from casemill.tables import table
 
 
@@ -22,8 +22,24 @@ def p7_levels(spark: SparkSession, d: str) -> DataFrame:
     return pieces.groupBy("level").agg(F.count("*").alias("n_pieces"), F.sum(F.col("end_pos") - F.col("start_pos") + 1).alias("n_chars"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p7_levels": p7_levels}
+def p7_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Per opinion over the limit, whether its pieces obey: none over 10,000 characters, each beginning 200 before the last one's end, all covered."""
+    pieces = split_pieces(table(spark, d, "opinions"), "opinion_id", "plain_text", with_text=False)
+    before = F.lag("end_pos").over(Window.partitionBy("opinion_id").orderBy("piece_no"))
+    rows = pieces.withColumn("fits", F.col("end_pos") - F.col("start_pos") < LIMIT).withColumn("joins", F.col("start_pos") == F.coalesce(before - OVERLAP + 1, F.lit(1)))
+    return rows.groupBy("opinion_id").agg(F.max("end_pos").cast("long").alias("n_chars"), F.bool_and("fits").alias("fits"), F.bool_and("joins").alias("joins"))
+
+
+def p7_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of opinions over 2,000 words, counted by offsets per word: how many, and whether none is over the limit."""
+    pieces = split_pieces(table(spark, d, "opinions"), "opinion_id", "plain_text", 2000, 40, sizes=word_offsets)
+    words = F.size(F.split(F.trim(F.regexp_replace("piece", r"\s+", " ")), " "))
+    return pieces.groupBy("opinion_id").agg(F.count("*").alias("n_pieces"), F.bool_and(words <= 2001).alias("fits"))
+
+
+QUERIES = {"p7_rules": p7_rules, "p7_tokens": p7_tokens, "p7_found": p7_found, "p7_pieces": p7_pieces, "p7_levels": p7_levels}
 ORACLES = {
+    "p7_rules": "SELECT DISTINCT opinion_id, length(plain_text) AS n_chars, true AS fits, true AS joins FROM opinions WHERE length(plain_text) > 10000",
     "p7_found": r"""
 WITH o AS (SELECT DISTINCT opinion_id, plain_text FROM opinions WHERE length(plain_text) > 10000),
 l AS (SELECT opinion_id, plain_text, unnest(string_split(plain_text, chr(10))) AS line, generate_subscripts(string_split(plain_text, chr(10)), 1) AS i FROM o),

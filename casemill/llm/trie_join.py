@@ -125,7 +125,7 @@ def trie_join(words: DataFrame, k: int = 1) -> DataFrame:
                     shard, members, trie = s, [], None
                 if member:
                     members.append(w)
-                elif members:
+                elif members and members != [w]:
                     trie = trie or Trie(members)
                     out += [(w, x) for x in trie.near(w, k) if x != w]
             yield pd.DataFrame(out, columns=["word", "near"])
