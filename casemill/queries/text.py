@@ -182,6 +182,8 @@ _RULES = {
     "confidence": "len(list_filter(json_keys(j, '$.elements'), lambda k: NOT coalesce(CAST(json_extract_string(j, '$.elements.' || k || '.confidence') AS DOUBLE) BETWEEN 0 AND 1, true))) > 0",
 }
 ORACLES = {
+    # a cut-off object never closes, a whole one is the text between the fences
+    "extract_json": "SELECT DISTINCT ON (id) id, CASE WHEN json_valid(extraction) THEN sha256(extraction) END AS digest FROM irac_extractions",
     "firm_names": r"""WITH p AS (SELECT DISTINCT party_id, name FROM parties WHERE name IS NOT NULL), l AS (SELECT party_id, name, ['Phone: 555-0100', trim(name), '12 Main Street', trim(name || ' LLP')] AS lines FROM p)
       SELECT party_id, list_filter(lines, lambda x: length(x) >= 5 AND NOT regexp_matches(x, '"""
     + T.CONTACT_LINE

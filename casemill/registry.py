@@ -20,5 +20,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best precedents of every case."""
-    return queries()["fused_rank"](spark, sf_dir, every=1)
+    """The ten best precedents of every tenth case."""
+    return queries()["fused_rank"](spark, sf_dir, every=10)
