@@ -1,27 +1,22 @@
 """References to records that do not exist.
 
-Keys are dictionary-encoded as integers, the references of each period and key range become a bitmap, and
+Keys are dictionary-encoded as integers, the references of each period become bitmaps over ranges of 64 codes, and
 ``references AND NOT parents`` leaves the bits of the orphans, which are decoded back to keys.
 
 The dictionary is a written table (key, code): within a task's key range the codes are consecutive, so the bitmaps are
-dense whatever the keys look like. A bitmap covers 32,768 codes; references of one key range and period are at most
-4 KB however often a key is referenced, so a hot key costs one bit after the map-side combine.
+dense whatever the keys look like. A bitmap is kept by its words of 64 bits, and words without a bit aren't kept, so a
+sparse period costs what it refers to; however often a key is referenced it is one bit after the map-side combine.
+Parents are accumulated over the periods of each range once, in order, so the work grows with the periods and not with
+their square.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.plans.durable import durable
 
-#: codes per bitmap of bitmap_construct_agg: 4096 bytes
-BITS = 32768
-
 
 def dictionary(*keys: DataFrame) -> DataFrame:
     """(key, code) of all distinct non-null keys of one-column frames; written, so that codes are stable on recomputation."""
@@ -33,28 +28,15 @@ def dictionary(*keys: DataFrame) -> DataFrame:
 
 
 def bitmaps(coded: DataFrame, *by: str) -> DataFrame:
-    """One bitmap per ``by`` and key range of a frame with a column ``code``."""
-    return (
-        coded.withColumn("bucket", F.shiftright("code", 15))
-        .withColumn("bit", F.col("code") % BITS)
-        .groupBy(*by, "bucket")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
-    )
-
-
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bits set in ``bits`` and not in ``known``, as codes; bucket n holds the codes from n * 32768 on."""
-    for batch in batches:
-        parts = []
-        for period, bucket, bits, known in zip(batch["period"], batch["bucket"], batch["bits"], batch["known"]):
-            left = np.frombuffer(bits, np.uint8)
-            if known is not None:
-                left = left & ~np.frombuffer(known, np.uint8)
-            codes = np.flatnonzero(np.unpackbits(left, bitorder="little")) + bucket * BITS
-            if codes.size:
-                parts.append(pd.DataFrame({"period": period, "code": codes.astype("int64")}))
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
+    """(by..., word, bits): the bits of the codes of a frame with a column ``code``, 64 to a word, for words with any."""
+    bit = F.expr("shiftleft(1L, cast(code & 63 as int))")
+    return coded.groupBy(*by, F.shiftright("code", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def decoded(words: DataFrame, bits: str) -> DataFrame:
+    """The rows with a ``code`` for every bit that is set."""
+    places = F.expr(f"filter(sequence(0, 63), i -> shiftright({bits}, i) & 1 = 1)")
+    return words.where(F.col(bits) != 0).withColumn("_bit", F.explode(places)).withColumn("code", F.col("word") * 64 + F.col("_bit")).drop("_bit")
 
 
 def orphan_keys(references: DataFrame, parents: DataFrame) -> DataFrame:
@@ -70,13 +52,14 @@ def orphan_keys(references: DataFrame, parents: DataFrame) -> DataFrame:
     wanted = bitmaps(references.distinct().join(codes, "key"), "period")
     first = parents.groupBy("key").agg(F.min("arrived").alias("arrived"), F.count_if(F.col("arrived").isNull()).alias("always"))
     first = first.select("key", F.when(F.col("always") == 0, F.col("arrived")).alias("arrived"))
-    have = bitmaps(first.join(codes, "key"), "arrived").select("arrived", F.col("bucket").alias("had"), F.col("bits").alias("have"))
-    known = wanted.select("period", "bucket").join(
-        have, (F.col("bucket") == F.col("had")) & (F.col("arrived").isNull() | F.col("period").isNull() | (F.col("arrived") < F.col("period"))), "left"
-    )
-    known = known.groupBy(F.col("period").alias("of"), F.col("bucket").alias("at")).agg(F.bitmap_or_agg("have").alias("known"))
-    compared = wanted.join(known, F.col("period").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at"))).select("period", "bucket", "bits", "known")
-    left = compared.mapInPandas(_decode, "period string, code long")
+    have = bitmaps(first.join(codes, "key"), "arrived")
+    # parents that always were come first, references without a period last; a period's references come before its parents
+    nothing = F.lit(None).cast("long")
+    asked = wanted.select("word", "period", F.when(F.col("period").isNull(), 2).otherwise(1).alias("phase"), F.lit(0).alias("turn"), F.col("bits").alias("wanted"), nothing.alias("have"))
+    there = have.select("word", F.col("arrived").alias("period"), F.when(F.col("arrived").isNull(), 0).otherwise(1).alias("phase"), F.lit(1).alias("turn"), nothing.alias("wanted"), F.col("bits").alias("have"))
+    so_far = Window.partitionBy("word").orderBy("phase", "period", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    compared = asked.unionByName(there).withColumn("known", F.bit_or("have").over(so_far)).where("turn = 0")
+    left = decoded(compared.withColumn("left", F.expr("wanted & ~coalesce(known, 0L)")), "left")
     return left.join(codes, "code").select("period", "key")
 
 
