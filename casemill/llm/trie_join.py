@@ -2,7 +2,7 @@
 
 Distance: insertions, deletions, substitutions, and transpositions of neighbours, each 1. A string is cut into
 2k + 1 segments; k edits touch at most 2k of them (a transposition may touch two), so one segment survives, shifted by
-at most k. The shard of a (length, segment number, segment text) has the strings with that segment as a trie, and is
+what the edits before it insert or delete. The shard of a (length, segment number, segment text) has the strings with that segment as a trie, and is
 asked by the strings that have the text near that place.
 """
 
@@ -90,11 +90,21 @@ def segments(length: int, k: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cut, cut[1:])]
 
 
+def shifts(n: int, size: int, segment: int, k: int) -> list[int]:
+    """How far a segment of a string of ``size`` letters can have moved in one of n letters, k edits in all.
+
+    Edits before the segment move it, edits after it make up the rest of the difference in length; before the first and
+    after the last segment there is none.
+    """
+    rest = n - size
+    return [s for s in range(-k, k + 1) if abs(s) + abs(rest - s) <= k and (segment > 0 or s == 0) and (segment < 2 * k or s == rest)]
+
+
 def _keys(word: str, k: int) -> tuple[list[str], set[str]]:
     """Shards that the word is in, and those that it asks."""
     n = len(word)
     own = [f"{n}:{i}:{word[a : a + m]}" for i, (a, m) in enumerate(segments(n, k))]
-    asks = {f"{size}:{i}:{word[p : p + m]}" for size in range(max(1, n - k), n + k + 1) for i, (a, m) in enumerate(segments(size, k)) for p in range(max(0, a - k), min(n - m, a + k) + 1)}
+    asks = {f"{size}:{i}:{word[a + s : a + s + m]}" for size in range(max(1, n - k), n + k + 1) for i, (a, m) in enumerate(segments(size, k)) for s in shifts(n, size, i, k) if 0 <= a + s <= n - m}
     return own, asks
 
 
