@@ -2,7 +2,8 @@
 
 A neighbour graph of a bounded sample is cut into balanced parts; a small softmax classifier learns, for a vector, in
 which parts its neighbours lie. Every vector is placed in its most probable part and sent as a query to the most
-probable parts, where cosines are computed in double precision on a shortlist.
+probable parts, where cosines are computed in double precision on a shortlist. Two levels of classifiers are broadcast;
+parts that are still too large are cut again where they lie, level by level, each by a classifier of its own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ SAMPLE = 6144
 PART_SIZE, MAX_PARTS = 512, 64
 #: members and queries of one block
 BLOCK = 4096
+#: vectors of a part, in part sizes, beyond which it is cut again, rows of one task of that, and levels at most
+TOO_LARGE, STREAM, DEPTH = 8, 200_000, 6
 #: parts that a query is sent to: until so much of the probability is covered, at most PROBES
 COVER, PROBES = 0.97, 5
 
@@ -194,6 +197,61 @@ def fit_levels(vectors: DataFrame, n: int, sample: int, part_size: int, max_part
     return Router(router.first, _fit(drawn, "g", fan), fan)
 
 
+def deepen(rows: DataFrame, sample: int, part_size: int, max_parts: int, cover: float, probes: int) -> DataFrame:
+    """Rows (part, key, home, data) with every part of more than TOO_LARGE * part_size vectors cut into smaller ones.
+
+    A large part gets a classifier of its own, fitted on a sample of its vectors. The classifiers are a table: rows are
+    sorted behind the one of their part and stream past it, a part in as many tasks as its rows ask for, so neither the
+    number of parts nor their size meets a bound. A vector goes to its most probable new part, a query to those that
+    cover its neighbours, ``probes`` at most. Parts that stay too large after DEPTH levels, of equal vectors say, are
+    still cut into blocks and searched whole.
+    """
+    for _ in range(DEPTH):
+        sizes = rows.groupBy("part").agg(F.count_if("home").alias("n"), F.count("*").alias("rows")).where(F.col("n") > TOO_LARGE * part_size)
+        sizes = durable(sizes, "large")
+        if sizes.isEmpty():
+            return rows
+        spot = F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(1 << 30)) / float(1 << 30)
+        drawn = rows.where("home").join(F.broadcast(sizes.select("part", "n")), "part").where(spot < sample / F.col("n")).select("part", "n", "data")  # a row a part
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = unit(np.stack([np.frombuffer(d, np.float32) for d in pdf["data"]]))
+            fan = _power(int(pdf["n"].iloc[0]) // part_size, min(max_parts, max(2, len(x) // 8)))
+            return pd.DataFrame({"part": pdf["part"].iloc[:1], "data": [fit_router(x, fan).tobytes()]})
+
+        fitted = durable(drawn.groupBy("part").applyInPandas(fit, "part long, data binary"), "classifiers")
+        salts = F.ceil(F.col("rows") / STREAM).cast("long")
+        leads = fitted.join(sizes, "part").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).select("part", "salt", F.lit(None).cast("long").alias("key"), F.lit(None).cast("boolean").alias("home"), "data")
+        large = rows.join(F.broadcast(sizes.select("part", "rows")), "part").withColumn("salt", F.pmod(F.xxhash64("key"), salts)).select("part", "salt", "key", "home", "data")
+        sent = leads.unionByName(large).repartition("part", "salt").sortWithinPartitions("part", "salt", F.col("key").isNotNull())
+
+        def cut(batches, max_parts=max_parts):
+            w, of = None, None
+            for batch in batches:
+                out = []
+                new = np.flatnonzero(batch["key"].isna().to_numpy())
+                for a, b in zip([0, *new], [*new, len(batch)]):
+                    piece = batch.iloc[a:b]
+                    if a < b and a in new:
+                        w, of = np.frombuffer(piece["data"].iloc[0], np.float32), piece["part"].iloc[0]
+                        piece = piece.iloc[1:]
+                    if piece.empty:
+                        continue
+                    if of is None or (piece["part"] != of).any():
+                        raise ValueError("a part without a classifier")
+                    x = unit(np.stack([np.frombuffer(d, np.float32) for d in piece["data"]]))
+                    top, wanted = Router(w.reshape(x.shape[1] + 1, -1)).route(x, cover, probes)
+                    # a vector at home goes to one part as a member and to the others as a query
+                    home = piece["home"].to_numpy(bool)
+                    r, c = np.nonzero(wanted)
+                    out.append(pd.DataFrame({"part": piece["part"].to_numpy()[r] * max_parts + top[r, c], "key": piece["key"].to_numpy(np.int64)[r], "home": home[r] & (c == 0), "data": piece["data"].to_numpy()[r]}))
+                yield pd.concat(out) if out else pd.DataFrame({"part": [], "key": [], "home": [], "data": []})
+
+        small = rows.join(F.broadcast(sizes.select("part")), "part", "left_anti").withColumn("part", F.col("part") * max_parts)
+        rows = durable(small.unionByName(sent.mapInPandas(cut, "part long, key long, home boolean, data binary")), "parts")
+    return rows
+
+
 def usable(df: DataFrame, key: str, vector: str, order: str) -> DataFrame:
     """(key, vector) of the latest usable row of each key; ties in ``order`` fall to the greater hash of the vector.
 
@@ -221,30 +279,27 @@ def knn(vectors: DataFrame, k: int = 5, sample: int = SAMPLE, part_size: int = P
     """
     spark = vectors.sparkSession
     vectors = vectors.select("key", F.col("vector").cast("array<float>").alias("vector"))
-    router = fit_levels(vectors, vectors.count(), sample, part_size, max_parts)
+    n = vectors.count()
+    router = fit_levels(vectors, n, sample, part_size, max_parts)
     shared = spark.sparkContext.broadcast(router)  # width * MAX_PARTS * (MAX_PARTS + 1) floats at most
 
-    def send(with_data: bool):
-        def rows(batches):
-            for batch in batches:
-                if batch.empty:
-                    continue
-                x, keys = np.stack(batch["vector"].to_numpy()).astype(np.float32), batch["key"].to_numpy()
-                top, wanted = shared.value.route(unit(x), cover, probes)
-                r, c = np.nonzero(wanted[:, 1:])
-                part, key = np.concatenate([top[:, 0], top[r, c + 1]]), np.concatenate([keys, keys[r]])
-                out = pd.DataFrame({"part": part, "key": key, "home": np.arange(part.size) < len(x)})
-                if with_data:
-                    own = [v.tobytes() for v in x]
-                    out["data"] = own + [own[i] for i in r]
-                yield out
-
-        return rows
-
-    sizes = vectors.mapInPandas(send(False), "part int, key long, home boolean").groupBy("part").agg(F.ceil(F.count_if("home") / BLOCK).alias("mb"), F.ceil(F.count("*") / BLOCK).alias("qb"))
-    sizes = spark.createDataFrame(sizes.collect(), "part int, mb long, qb long")  # a row a part
+    def send(batches):
+        for batch in batches:
+            if batch.empty:
+                continue
+            x, keys = np.stack(batch["vector"].to_numpy()).astype(np.float32), batch["key"].to_numpy()
+            top, wanted = shared.value.route(unit(x), cover, probes)
+            r, c = np.nonzero(wanted[:, 1:])
+            own = [v.tobytes() for v in x]
+            yield pd.DataFrame({"part": np.concatenate([top[:, 0], top[r, c + 1]]), "key": np.concatenate([keys, keys[r]]), "home": np.arange(len(x) + r.size) < len(x), "data": own + [own[i] for i in r]})
+
+    routed = vectors.mapInPandas(send, "part long, key long, home boolean, data binary")
+    if n > TOO_LARGE * part_size * max_parts * max_parts:
+        routed = deepen(durable(routed, "parts"), sample, part_size, max_parts, cover, probes)
+    sizes = routed.groupBy("part").agg(F.ceil(F.count_if("home") / BLOCK).alias("mb"), F.ceil(F.count("*") / BLOCK).alias("qb"))
+    sizes = durable(sizes, "sizes")  # a row a part
     h = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
-    placed = vectors.mapInPandas(send(True), "part int, key long, home boolean, data binary").join(F.broadcast(sizes), "part").where("mb > 0")
+    placed = routed.join(broadcast_if_small(sizes), "part").where("mb > 0")
     placed = placed.withColumn("own_m", h % F.col("mb")).withColumn("own_q", F.shiftright(h, 8) % F.col("qb"))
 
     def place(m, q, member, query):

@@ -255,6 +255,44 @@ def test_knn_recall(spark, levels):
     assert hit / 4500 > 0.9 and len(got) == 4500
 
 
+def recall(x: np.ndarray, got, every: int) -> float:
+    """Share of the true five nearest, by brute force, of every so many vectors."""
+    u = K.unit(x.astype(np.float64))
+    found = defaultdict(set)
+    for r in got:
+        found[r["key"]].add(r["neighbour"])
+    asked = range(0, len(x), every)
+    hits = 0
+    for q in asked:
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(found[q] & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    return hits / (5 * len(asked))
+
+
+def test_recall_of_wide_vectors_at_two_levels(spark):
+    """Vectors of 768 numbers from the tables; the cosines are those of the whole vectors, in double precision."""
+    rows = K.usable(table(spark, "/root/testdata/sf0.1", "opinion_embeddings").where((F.col("model_name") == "lexvec-base-768") & (F.size("embedding") == 768)), "opinion_id", "embedding", "created_at").collect()
+    x = np.array([r["vector"] for r in rows], np.float32)
+    got = K.knn(vectors(spark, x), 5, sample=600, part_size=24, max_parts=8).collect()
+    assert len(x) > 1000 and recall(x, got, 7) > 0.9
+    u = K.unit(x.astype(np.float64))
+    assert all(abs(u[r["key"]] @ u[r["neighbour"]] - r["cosine"]) < 1e-12 for r in got[:500])
+
+
+def test_recall_of_parts_cut_level_by_level(spark, monkeypatch):
+    """More vectors than two levels hold: large parts are cut again until none is too large."""
+    monkeypatch.setattr(K, "TOO_LARGE", 2)
+    monkeypatch.setattr(K, "STREAM", 150)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((120, 48))
+    x = (np.repeat(centres, 12, axis=0) + 0.25 * rng.standard_normal((1440, 48))).astype(np.float32)
+    got = K.knn(vectors(spark, x), 5, sample=400, part_size=24, max_parts=4).collect()
+    assert recall(x, got, 5) > 0.9 and {r["key"] for r in got} == set(range(1440))
+    seen = Counter((r["key"], r["rank"]) for r in got)
+    assert max(seen.values()) == 1
+
+
 def test_usable(spark):
     nan = float("nan")
     data = [(1, [1.0, 0.0], "2024"), (1, [0.0, 2.0], "2025"), (2, [0.0, 0.0], "2025"), (3, [nan, 1.0], "2025"), (3, [3.0, 1.0], "2020"), (4, None, "2025"), (5, [], "2025"), (None, [1.0, 1.0], "2025"), (6, [1.0, None], "2025")]
