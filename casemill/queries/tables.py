@@ -11,7 +11,7 @@ from casemill.operators.extractions import latest_valid
 from casemill.operators.records import one_per_key, to_do, upsert
 from casemill.plans.durable import shared_dir
 from casemill.sources.landed import manifest, zipped
-from casemill.streaming.ingest import KeyedTable, ingest
+from casemill.streaming.ingest import KeyedTable, ingest, windowed_counts
 from casemill.tables import table, utc_stamp
 
 
@@ -85,14 +85,14 @@ def schema_profile(spark, d):
 
 
 def zip_arrays(spark, d):
-    """Parallel arrays of each extraction as rows, the first ten of each."""
+    """Parallel arrays of each extraction as rows."""
     x = latest_valid(table(spark, d, "irac_extractions")).select("id", F.col("x.statutes_cited").alias("statute"), F.col("x.precedents_cited").alias("precedent"))
-    return zipped(x, "id", ["statute", "precedent"], 10).withColumn("n", F.col("n").cast("long"))
+    return zipped(x, "id", ["statute", "precedent"]).withColumn("n", F.col("n").cast("long"))
 
 
 def file_manifest(spark, d):
     urls = table(spark, d, "opinions").select("download_url").where("download_url is not null").distinct()
-    return manifest(urls, "download_url").select("extension", "n")
+    return manifest(urls, "download_url").select("extension", "n", F.array_join("names", " ").alias("names"))
 
 
 def doc_types(spark, d):
@@ -125,7 +125,17 @@ def stream_ingest(spark, d):
     return target.read()
 
 
-QUERIES = {f.__name__: f for f in (resume_todo, upsert_replace, upsert_ignore, latest_scrape, first_opinion_per_docket, case_fill_rates, density_median, density_bins, density_by_status, value_counts, fjc_decode, role_route, schema_profile, zip_arrays, file_manifest, doc_types, pricing_summary, region_revenue, stream_ingest)}
+def event_windows(spark, d):
+    """Hourly counts and sums by event type, kept up to date by a stream with a watermark of an hour."""
+    source = table(spark, d, "events")
+    events = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
+    root = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    target = KeyedTable(spark, f"{root}/table", ["start", "event_type"], "n")
+    ingest(windowed_counts(events), target, f"{root}/checkpoint", "update")
+    return target.read().select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (resume_todo, upsert_replace, upsert_ignore, latest_scrape, first_opinion_per_docket, case_fill_rates, density_median, density_bins, density_by_status, value_counts, fjc_decode, role_route, schema_profile, zip_arrays, file_manifest, doc_types, pricing_summary, region_revenue, stream_ingest, event_windows)}
 
 _STAMP = "try_cast(rtrim(replace(trim(scraped_at), 'T', ' '), 'Z') AS TIMESTAMP)"
 _CASES = "docket_id case_name docket_number pacer_case_id slug absolute_url court_id cause nature_of_suit jurisdiction_type date_filed date_terminated date_last_filing assigned_to_str referred_to_str jury_demand idb_disposition idb_judgment idb_procedural_progress idb_nature_of_suit idb_monetary_demand idb_pro_se idb_class_action idb_origin idb_jury_demand has_opinions scrape_status scraped_at".split()
@@ -148,10 +158,11 @@ ORACLES = {
     "schema_profile": "WITH r AS (SELECT DISTINCT id, extraction FROM irac_extractions WHERE json_valid(extraction)) SELECT field, count(*) AS n FROM (SELECT unnest(json_keys(CAST(extraction AS JSON))) AS field FROM r) GROUP BY 1",
     "zip_arrays": """WITH v AS (SELECT *, row_number() OVER (PARTITION BY opinion_id ORDER BY try_cast(rtrim(replace(trim(created_at), 'T', ' '), 'Z') AS TIMESTAMP) DESC NULLS LAST, id DESC) AS rn FROM (SELECT DISTINCT id, opinion_id, extraction, created_at FROM irac_extractions WHERE is_valid = 1 AND json_valid(extraction))),
       a AS (SELECT id, CAST(CAST(extraction AS JSON)->'$.statutes_cited' AS VARCHAR[]) AS s, CAST(CAST(extraction AS JSON)->'$.precedents_cited' AS VARCHAR[]) AS p FROM v WHERE rn = 1)
-      SELECT id, n, s[n + 1] AS statute, p[n + 1] AS precedent FROM (SELECT *, unnest(range(0, greatest(coalesce(len(s), 0), coalesce(len(p), 0)))) AS n FROM a) WHERE n < 10""",
-    "file_manifest": r"SELECT lower(regexp_extract(download_url, '\.([A-Za-z0-9]+)$', 1)) AS extension, count(*) AS n FROM (SELECT DISTINCT download_url FROM opinions WHERE download_url IS NOT NULL) GROUP BY 1",
+      SELECT id, n, s[n + 1] AS statute, p[n + 1] AS precedent FROM (SELECT *, unnest(range(0, greatest(coalesce(len(s), 0), coalesce(len(p), 0)))) AS n FROM a)""",
+    "file_manifest": r"SELECT lower(regexp_extract(download_url, '\.([A-Za-z0-9]+)$', 1)) AS extension, count(*) AS n, array_to_string(list_slice(list_sort(list(download_url)), 1, 20), ' ') AS names FROM (SELECT DISTINCT download_url FROM opinions WHERE download_url IS NOT NULL) GROUP BY 1",
     "doc_types": "SELECT lower(trim(source)) AS source, count(*) AS n, count_if(coalesce(text, '') <> '') AS n_text, coalesce(min(n_chars), 0) AS least, coalesce(max(n_chars), 0) AS most FROM documents GROUP BY 1",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
     "region_revenue": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
+    "event_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_ingest": "SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY 1",
 }

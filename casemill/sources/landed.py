@@ -57,10 +57,11 @@ def attorneys(rows: DataFrame) -> DataFrame:
     return one.select("docket_id", F.col("a.id").alias("attorney_id"), "a.name", "a.contact_raw", "a.phone", "a.fax", "a.email", "a.roles").dropDuplicates(["docket_id", "attorney_id"])
 
 
-def filings(submissions: DataFrame, forms: list[str], most: int = 10) -> DataFrame:
-    """Rows from parallel arrays (form, accessionNumber, filingDate, primaryDocument), of the given forms, the first ``most``."""
+def filings(submissions: DataFrame, forms: list[str], most: int | None = None) -> DataFrame:
+    """Rows from parallel arrays (form, accessionNumber, filingDate, primaryDocument), of the given forms, the first ``most`` if given."""
     zipped = submissions.select(F.posexplode(F.arrays_zip("form", "accessionNumber", "filingDate", "primaryDocument")).alias("n", "f")).select("n", "f.*")
-    return zipped.where(F.col("form").isin(forms)).orderBy("n").limit(most)
+    found = zipped.where(F.col("form").isin(forms)).orderBy("n")
+    return found.limit(most) if most else found
 
 
 def zipped(df: DataFrame, key: str, arrays: list[str], most: int | None = None) -> DataFrame:

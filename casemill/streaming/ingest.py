@@ -14,7 +14,7 @@ def stream(spark: SparkSession, path: str, schema, per_batch: int = 100) -> Data
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", window: str = "1 hour") -> DataFrame:
     """Counts and sums per event type and window; events later than the watermark are dropped by the engine."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 class KeyedTable:
@@ -46,7 +46,10 @@ class KeyedTable:
         upsert(current, batch, self.keys, self.seq, self.policy).write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
 
 
-def ingest(events: DataFrame, target: KeyedTable, checkpoint: str) -> None:
-    """Runs what is there through the stream and stops; a restart goes on where the checkpoint ends."""
-    query = events.writeStream.foreachBatch(target.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest(events: DataFrame, target: KeyedTable, checkpoint: str, mode: str = "append") -> None:
+    """Runs what is there through the stream and stops; a restart goes on where the checkpoint ends.
+
+    mode: update for aggregates, of which a batch has the rows that changed.
+    """
+    query = events.writeStream.outputMode(mode).foreachBatch(target.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
