@@ -14,73 +14,92 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_steps: dict = {}
-
-
-def _step(state: frozenset, mask: int, left: int, k: int) -> frozenset:
-    """The universal automaton's transition, computed once for each (state, match mask, rest of the query).
-
-    A state has (offset, edits, pending): query position minus trie depth, edits so far, and whether a transposition is
-    half done. mask bit j: the trie's letter equals the query's at depth - k + j. left: query letters from the depth on,
-    capped above what can matter.
-    """
-    key = (state, mask, left, k)
-    found = _steps.get(key)
-    if found is not None:
-        return found
-    out = set()
-    for off, e, pending in state:
-        match = lambda j: 0 <= off + k + j and mask >> (off + k + j) & 1  # noqa: B023, E731
-        rest = left - off  # query letters from this position on
-        if pending:
-            if match(0):
-                out.add((off + 1, e, False))
-            continue
-        if match(0):
-            out.add((off, e, False))
-        if e < k:
-            out.add((off - 1, e + 1, False))
-            if rest > 0:
-                out.add((off, e + 1, False))
-            for skip in range(1, k - e + 1):
-                if match(skip):
-                    out.add((off + skip, e + skip, False))
-            if match(1):
-                out.add((off - 1, e + 1, True))
-    _steps[key] = result = frozenset(x for x in out if -k - 1 <= x[0] <= k)
-    return result
+class Node:
+    """The words of a sorted list that share their first ``depth`` letters; what is below is found when it is asked for."""
+
+    __slots__ = ("_children", "_rests", "_skips", "depth", "words")
+
+    def __init__(self, words: list[str], depth: int):
+        self.words, self.depth = words, depth
+        self._children = self._rests = self._skips = None
+
+    def child(self, letter: str) -> Node | None:
+        return self.children().get(letter)
+
+    def children(self) -> dict[str, Node]:
+        if self._children is None:
+            by: dict[str, list[str]] = {}
+            for w in self.words:
+                if len(w) > self.depth:
+                    by.setdefault(w[self.depth], []).append(w)
+            self._children = {c: Node(ws, self.depth + 1) for c, ws in by.items()}
+        return self._children
+
+    def rests(self) -> dict[str, str]:
+        """The words by what follows here."""
+        if self._rests is None:
+            self._rests = {w[self.depth :]: w for w in self.words}
+        return self._rests
+
+    def skips(self) -> dict[str, list[str]]:
+        """The words by what follows after one more letter, whichever it is."""
+        if self._skips is None:
+            self._skips = {}
+            for w in self.words:
+                if len(w) > self.depth:
+                    self._skips.setdefault(w[self.depth + 1 :], []).append(w)
+        return self._skips
 
 
 class Trie:
+    """A trie that is traversed with the query's Levenshtein automaton."""
+
     def __init__(self, words: list[str]):
-        self.root: dict = {}
-        for w in words:
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
+        self.root = Node(sorted(set(words)), 0)
 
     def near(self, query: str, k: int) -> list[str]:
-        """Words within distance k of query."""
-        out, n = [], len(query)
-        stack = [(self.root, 0, frozenset({(0, 0, False)}))]
+        """Words within distance k of query.
+
+        The automaton's states are (letters of the query read, edits left), advanced along the trie. A state without edits
+        left needs the rest of the query as it is, and one with a single edit left the rest after it: both are looked up
+        in the node's tables instead of being followed letter by letter, so with k = 1 only the query's own path is walked.
+        """
+        found, n = set(), len(query)
+        stack, seen = [(self.root, 0, k)], set()
         while stack:
-            node, d, state = stack.pop()
-            window = query[max(0, d - k) : d + k + 2]
-            shift = max(0, k - d)
-            for c, child in node.items():
-                if c == "":
-                    if any(not pending and e + n - d - off <= k for off, e, pending in state):
-                        out.append(child)
+            node, i, left = stack.pop()
+            if left == 0:
+                if (w := node.rests().get(query[i:])) is not None:
+                    found.add(w)
+                continue
+            if k > 1:
+                if (id(node), i, left) in seen:
                     continue
-                mask = 0
-                for j, x in enumerate(window):
-                    if x == c:
-                        mask |= 1 << j + shift
-                after = _step(state, mask, min(n - d, 2 * k + 2), k)
-                if after:
-                    stack.append((child, d + 1, after))
-        return out
+                seen.add((id(node), i, left))
+            swapped = None
+            if i < n:
+                if (child := node.child(query[i])) is not None:
+                    stack.append((child, i + 1, left))
+                if i + 1 < n and (other := node.child(query[i + 1])) is not None:
+                    swapped = other.child(query[i])
+            else:
+                found.update(w for w in node.words if len(w) <= node.depth + left)
+            if swapped is not None:
+                stack.append((swapped, i + 2, left - 1))
+            if left == 1:
+                found.update(node.skips().get(query[i:], ()))
+                if i < n:
+                    found.update(node.skips().get(query[i + 1 :], ()))
+                    if (w := node.rests().get(query[i + 1 :])) is not None:
+                        found.add(w)
+                continue
+            for child in node.children().values():
+                stack.append((child, i, left - 1))
+                if i < n:
+                    stack.append((child, i + 1, left - 1))
+            if i < n:
+                stack.append((node, i + 1, left - 1))
+        return sorted(found)
 
 
 def segments(length: int, k: int) -> list[tuple[int, int]]:
