@@ -14,6 +14,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,18 +47,19 @@ _EDGED = re.compile(r"\S {3,}\S|\d\s*$|^\s*\d|^ {5,}\S|^ {1,3}\S")
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "6": "b", "8": "b", "e": "c", "f": "t", "q": "g", BOX: ""})
 
 
+@lru_cache(100_000)
+def _bone(token: str) -> str:
+    """# for a token that is mostly figures; else its letters, those that scanners confuse made equal."""
+    if not token.isalpha():
+        letters, digits = sum(map(str.isalpha, token)), sum(map(str.isdigit, token))
+        if digits and digits >= letters and not (token[0].isalpha() and digits == 1):
+            return "#"
+    return re.sub(r"[^a-z]", "", token.translate(_FOLD).replace("rn", "m").replace("cl", "d").replace("rl", "n").replace("ll", "u"))
+
+
 def skeleton(line: str) -> str:
     """A line without its numbers, with letters that scanners confuse made equal."""
-    out = []
-    for token in line.lower().split():
-        letters = sum(c.isalpha() for c in token)
-        digits = sum(c.isdigit() for c in token)
-        if digits and digits >= letters and not (token[0].isalpha() and digits == 1):
-            out.append("#")
-        else:
-            folded = re.sub(r"[^a-z]", "", token.translate(_FOLD).replace("rn", "m").replace("cl", "d").replace("rl", "n").replace("ll", "u"))
-            if folded:
-                out.append(folded)
+    out = [b for b in map(_bone, line.lower().split()) if b]
     while out and out[0] == "#":
         out.pop(0)
     while out and out[-1] == "#":
