@@ -352,3 +352,45 @@ def test_zipped_arrays_and_manifests(spark):
     assert rows(landed.manifest(files, most=1)) == [("", 1, ["c"]), ("pdf", 2, ["a.PDF"])]
     arrays = spark.createDataFrame([(["8-K", "10-K", "X"], ["1", "2", "3"], ["d", "d", "d"], ["p", "q", "r"])], "form array<string>, accessionNumber array<string>, filingDate array<string>, primaryDocument array<string>")
     assert [r["accessionNumber"] for r in landed.filings(arrays, ["10-K", "8-K"], 1).collect()] == ["1"]
+
+
+def test_leading_gives_the_best_of_all(spark):
+    """A value that nearly all opinions share gives each query a few rows, and the ranks are those of all pairs."""
+    r = random.Random(3)
+    own = [(q, q * 1000 + i) for q in range(12) for i in range(r.randint(0, 4))]
+    ids = [o for _, o in own] + list(range(50_000, 50_400))
+    members = [(v, o) for o in ids for v in ("hot", "warm", "rare") if r.random() < {"hot": 0.9, "warm": 0.4, "rare": 0.02}[v]]
+    asked = [(q, v) for q in range(12) for v in ("hot", "warm", "rare") if r.random() < 0.7]
+    facts = [(o, r.choice((None, 0.5, -0.5, 0.25)), r.choice((None, True))) for o in ids if r.random() < 0.8]
+    near = [(q, o, r.random() - 0.2) for q in range(12) for o in r.sample(ids, 8) if (q, o) not in own]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    own_, members_, asked_ = frame(own, "query long, opinion_id long"), frame(members, "value string, opinion_id long"), frame(asked, "query long, value string")
+    facts_, near_ = frame(facts, "opinion_id long, score double, has_irac boolean"), frame(near, "query long, opinion_id long, semantic double")
+    every = asked_.join(members_, "value").select("query", "opinion_id").distinct().join(own_, ["query", "opinion_id"], "left_anti").withColumn("distance", F.lit(3))
+    few = R.leading(asked_, members_, own_, near_, facts_, "value", 3)
+    assert few.count() < every.count() / 3
+    assert {tuple(x) for x in R.fused(near_, few, facts_).collect()} == {tuple(x) for x in R.fused(near_, every, facts_).collect()}
+
+
+def test_fused_rank_forms_no_pairs_of_all(spark, monkeypatch):
+    """The ranking doesn't list every pair that graph_distance lists."""
+    from casemill.queries import retrieval as Q
+
+    monkeypatch.setattr(Q, "within_two", None)
+    monkeypatch.setattr(Q, "same_statute", None)
+    assert Q.fused_rank(spark, "/root/testdata/sf0.001", every=10).count() > 0
+
+
+def test_cosine_topk_over_chunks(spark, monkeypatch):
+    """Vectors in several chunks and batches, ties by key."""
+    from casemill.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "CHUNK", 3)
+    rows = [(i, [float(i % 4 + 1), float(i % 3), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "key long, vector array<double>").repartition(2)
+    got = {(x.query, x["rank"]): x.key for x in R.cosine_topk(df.where("key < 5"), df, 6).collect()}
+    v = np.array([x for _, x in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(5):
+        order = sorted((k for k in range(40) if k != q), key=lambda k: (-round(float(v[q] @ v[k]), 12), k))
+        assert [round(float(v[q] @ v[got[q, i + 1]]), 12) for i in range(6)] == [round(float(v[q] @ v[k]), 12) for k in order[:6]]
