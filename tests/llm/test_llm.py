@@ -344,6 +344,33 @@ def test_near_copies_against_brute_force(spark, t):
     assert set(groups) == set(range(len(texts))) and all(groups[i] == groups[j] for i, j in want)
 
 
+def test_common_phrases_form_no_pairs_of_all(spark, monkeypatch):
+    """Texts of phrases that many share, and copies of some: few candidates whatever the ranges, and no blob or list of pairs beyond its bound."""
+    rng = random.Random(8)
+    phrases = [" ".join(f"p{i}x{k}" for k in range(9)) for i in range(60)]
+    texts = [" ".join(rng.choice(phrases) if rng.random() < 0.55 else " ".join(f"u{n}y{k}z{j}" for j in range(9)) for k in range(40)) for n in range(300)]
+    texts += [f"{x} and one more end" for x in texts[::10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(1)
+    monkeypatch.setattr(D, "RANGE_SIZE", 500)
+    got = {tuple(r) for r in D.candidates(df, 5, 0.5).collect()}
+    sets = [shingles(x) for x in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(sets[i], sets[j]) >= 0.5}
+    assert len(want) >= 30 and want <= got and len(got) < len(texts) * 10
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 10**6])
+def test_runs_of_pairs_are_the_same(monkeypatch, pairs):
+    monkeypatch.setattr(D, "PAIRS", pairs)
+    rng = np.random.default_rng(2)
+    size = rng.integers(5, 40, 30)
+    rows = sorted({(int(a), int(size[b]), int(b)) for a, b in zip(rng.integers(0, 12, 200), rng.integers(0, 30, 200))})
+    token, doc = np.array([r[0] for r in rows]), np.array([r[2] for r in rows], np.int32)
+    got = [(int(a), int(b), int(n)) for x in D._pairs(token, doc, size, 0.5) for a, b, n in zip(*x)]
+    lists = {d: {x for x, _, e in rows if e == d} for d in range(30)}
+    want = {frozenset((a, b)): len(lists[a] & lists[b]) for a in range(30) for b in range(a) if lists[a] & lists[b] and 2 * min(size[a], size[b]) >= max(size[a], size[b])}
+    assert len(got) == len(want) and all(want[frozenset((a, b))] == n for a, b, n in got)
+
+
 def test_near_copies_of_nothing(spark):
     links, classes = D.near_copies(spark.createDataFrame([], "id long, body string"), "id", "body")
     assert links.count() == classes.count() == 0
