@@ -394,3 +394,45 @@ def test_cosine_topk_over_chunks(spark, monkeypatch):
     for q in range(5):
         order = sorted((k for k in range(40) if k != q), key=lambda k: (-round(float(v[q] @ v[k]), 12), k))
         assert [round(float(v[q] @ v[got[q, i + 1]]), 12) for i in range(6)] == [round(float(v[q] @ v[k]), 12) for k in order[:6]]
+
+
+def test_reinforce_over_several_plans_stops_at_its_round(spark):
+    """A plan of several rounds gives the same rounds and scores as one round a plan, where it ends within a plan too."""
+    rng = np.random.default_rng(5)
+    m = rng.integers(-1, 2, (9, 7))
+    edges = spark.createDataFrame([(int(i), f"a{j}", int(m[i, j]), int((-1) ** i)) for i in range(9) for j in range(7)], "case_id int, arg_id string, sign int, seed int")
+    single = S.reinforce(edges, epsilon=1e-3, step=1)
+    table = lambda r: ([tuple(x) for x in r[0].orderBy("arg_id").collect()], [tuple(x) for x in r[1].orderBy("case_id").collect()])
+    want = table(single)
+    assert 1 < single[2] < 200
+    for step in (2, 5, single[2] + 3):
+        got = S.reinforce(edges, epsilon=1e-3, step=step)
+        assert got[2] == single[2]
+        for a, b in zip(table(got), want, strict=True):
+            assert [x[0] for x in a] == [x[0] for x in b] and np.allclose([x[1] for x in a], [x[1] for x in b])
+    assert S.reinforce(edges.where("case_id < 0"))[2] == 1
+    assert [x["score"] for x in S.reinforce(edges, rounds=0)[0].collect()] == [1.0] * 7
+
+
+def test_ranking_metrics_run_their_input_once(spark):
+    """The ranked rows are read once, and a query of which nothing is in the first k doesn't count."""
+    from casemill.operators.statistics import ranking_metrics
+
+    hits = spark.createDataFrame([(1, 1, False), (1, 2, True), (1, 3, True), (2, 1, None), (3, 4, True)], "q int, r int, rel boolean")
+    out = ranking_metrics(hits, "q", "r", "rel", 3)
+    d = 1 + 1 / np.log2(3)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = out.first()
+    assert (got["p_at_k"], got["mrr"], got["n"]) == (round(2 / 3, 6), 0.25, 2)
+    assert got["ndcg"] == round((1 / np.log2(3) + 0.5) / d / 2, 6)
+
+
+def test_valid_runs_are_parsed_where_they_lie(spark):
+    """A broken row of an id doesn't hide its whole one, and no text of an extraction is shuffled."""
+    good = '{"outcome": "MIXED", "arguments_plaintiff": ["a"], "statutes_cited": ["s"], "elements": {"scienter": {"status": "SATISFIED"}}}'
+    table = spark.createDataFrame([(1, 5, 7, good[:40], 1), (1, 5, 7, good, 1), (1, 5, 7, good, 1), (2, 5, 7, good, 0), (3, 6, 8, "[", 1)], "id long, docket_id long, opinion_id long, extraction string, is_valid int")
+    for schema in (X.SCHEMA, X.LINKS):
+        runs = X.valid(table, schema)
+        assert [(r["id"], r["x"]["outcome"], r["x"]["arguments_plaintiff"], r["x"]["statutes_cited"]) for r in runs.collect()] == [(1, "MIXED", ["a"], ["s"])]
+        plan = runs._jdf.queryExecution().executedPlan().toString()
+        assert "from_json" in plan[plan.index("Exchange hashpartitioning") :]  # below the exchange
