@@ -436,3 +436,18 @@ def test_valid_runs_are_parsed_where_they_lie(spark):
         assert [(r["id"], r["x"]["outcome"], r["x"]["arguments_plaintiff"], r["x"]["statutes_cited"]) for r in runs.collect()] == [(1, "MIXED", ["a"], ["s"])]
         plan = runs._jdf.queryExecution().executedPlan().toString()
         assert "from_json" in plan[plan.index("Exchange hashpartitioning") :]  # below the exchange
+
+
+def test_leading_keeps_few_of_many_values(spark):
+    """A query with hundreds of values keeps room for the k best and its own, not that for each value; the ranks are those of all."""
+    r = random.Random(7)
+    members = sorted({(v, r.randrange(400)) for v in range(200) for _ in range(12)})
+    own = [(1, o) for o in (3, 5)]
+    facts = [(o, r.choice((None, 0.5, -0.25, 0.75)), r.choice((None, True))) for o in range(400)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    members_, own_, facts_ = frame(members, "value long, opinion_id long"), frame(own, "query long, opinion_id long"), frame(facts, "opinion_id long, score double, has_irac boolean")
+    asked, near = frame([(1, v) for v in range(200)], "query long, value long"), frame([(1, 17, 0.9), (1, 399, 0.1)], "query long, opinion_id long, semantic double")
+    few = R.leading(asked, members_, own_, near, facts_, "value", 2)
+    assert few.count() <= 10 + len(own) + 2
+    every = asked.join(members_, "value").select("query", "opinion_id").distinct().join(own_, ["query", "opinion_id"], "left_anti").withColumn("distance", F.lit(2))
+    assert sorted(map(tuple, R.fused(near, few, facts_).collect()), key=str) == sorted(map(tuple, R.fused(near, every, facts_).collect()), key=str)
