@@ -451,3 +451,21 @@ def test_leading_keeps_few_of_many_values(spark):
     assert few.count() <= 10 + len(own) + 2
     every = asked.join(members_, "value").select("query", "opinion_id").distinct().join(own_, ["query", "opinion_id"], "left_anti").withColumn("distance", F.lit(2))
     assert sorted(map(tuple, R.fused(near, few, facts_).collect()), key=str) == sorted(map(tuple, R.fused(near, every, facts_).collect()), key=str)
+
+
+def test_cosine_topk_over_blocks_of_queries(spark, monkeypatch):
+    """All vectors as queries in several blocks: equal vectors tie exactly wherever they lie, and what single precision can't tell apart is in order."""
+    from casemill.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "CHUNK", 7)
+    monkeypatch.setattr(retrieval, "PAIRS", 11)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 33))
+    v = np.concatenate([base, base, base + 1e-9 * rng.normal(size=base.shape), base])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "key long, vector array<double>").repartition(3)
+    got = {(x.query, x["rank"]): (x.key, x.cosine) for x in R.cosine_topk(df, df, 5, block=10).collect()}
+    assert len(got) == len(v) * 5
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(len(v)):
+        cos = np.einsum("ij,ij->i", np.repeat(u[q : q + 1], len(u), axis=0), u)
+        assert [got[q, i + 1][0] for i in range(5)] == sorted((k for k in range(len(v)) if k != q), key=lambda k: (-cos[k], k))[:5]

@@ -143,3 +143,14 @@ def test_kept_graph_gives_the_same_frames(spark):
     for name in ("cases", "has_opinion", "cites", "involves"):
         assert rows(getattr(lazy, name)()) == rows(getattr(kept, name)()) == rows(getattr(kept, name)())
     assert set(lazy.nodes()) == {"Case", "Opinion", "Statute", "Argument", "Judge", "Company", "Firm"} and len(lazy.edges()) == 7
+
+
+def test_case_retrieval_is_over_all_cases(spark):
+    """Every case that has a precedent counts, not every 50th."""
+    from casemill.queries import retrieval as Q
+    from casemill.queries.lifting import case_retrieval
+
+    sf = "/root/testdata/sf0.01"
+    g = CaseGraph(spark, sf, keep=True)
+    owned = Q.fused_rank(spark, sf, every=1, g=g).join(g.has_opinion(), "opinion_id")
+    assert case_retrieval(spark, sf).first()["n"] == owned.select("query").distinct().count() > g.cases().count() / 2
