@@ -371,6 +371,31 @@ def test_runs_of_pairs_are_the_same(monkeypatch, pairs):
     assert len(got) == len(want) and all(want[frozenset((a, b))] == n for a, b, n in got)
 
 
+@pytest.mark.parametrize("few", [0, 8, 10**6])
+def test_copies_are_left_out_without_moving_texts(spark, monkeypatch, few):
+    """Many copies of few texts: texts are read where they lie, or moved once where neither side is few; the pairs are the same."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(90)) for _ in range(60)) for _ in range(6)]
+    texts[1] = f"{texts[0]} and more"
+    data = [(100 * i + k, x) for i, x in enumerate(texts) for k in range(9)] + [(0, texts[0])]
+    monkeypatch.setattr(D, "FEW", few)
+    seen = []
+    monkeypatch.setattr(D, "candidates", lambda texts, n, t, was=D.candidates: (seen.append(texts._jdf.queryExecution().optimizedPlan().toString()), was(texts, n, t))[1])
+    links, classes = D.near_copies(spark.createDataFrame(data, "id long, body string"), "id", "body", 5, 0.5)
+    assert ("Join" in seen[0], "LeftSemi" in seen[0]) == ((False, False) if few == 0 else (True, few == 8))
+    got = [tuple(r) for r in D.all_pairs(links, classes).collect()]
+    want = {(a, b) for a, x in data for b, y in data if a < b and (a // 100 == b // 100 or a < 100 and b // 100 == 1)}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_packed_keys():
+    for keys in ([5], [-7, -6, 2**40], [2**62, 2**62 + 1], [-(2**63), 2**63 - 1]):
+        assert D.unpacked_keys(D.packed_keys(np.array(keys, np.int64))).tolist() == keys
+    assert len(D.packed_keys(np.arange(10**9, 10**9 + 100))) < 120
+    for x in ([], [3, 65535], [3, 65536]):
+        assert D._wide(D._narrow(np.array(x, np.int64)), len(x)).tolist() == x
+
+
 def test_near_copies_of_nothing(spark):
     links, classes = D.near_copies(spark.createDataFrame([], "id long, body string"), "id", "body")
     assert links.count() == classes.count() == 0
